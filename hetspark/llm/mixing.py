@@ -50,8 +50,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Every document of a source expects target / source_size copies. The prefix sum of these within the source, plus
     one random offset for the source, crosses mix_copies integers at the document. The order within a source is: size
-    class (binary length of the size), bucket of the id's hash, size, id. Sorting by size stratifies the sample, so
-    that its words come near the target as well as its documents.
+    class (binary length of the size), bucket of the id's hash, size (up in even buckets, down in odd ones), id. Such
+    an order stratifies the sample by size, so that its words come near the target as well as its documents.
 
     A source of any size is spread over blocks (class, bucket), the number of buckets growing with the square root of
     the rows: counts per block give each block its start, and the prefix sum runs within blocks. Rows are shuffled
@@ -61,11 +61,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size 0 and are taken like others; a source without words gets target 0 and no copies. Null ids come first. Rows
     equal in source, size and id tie and are ordered by a hash of the text. Other columns pass through.
     """
-    buckets = max(1, math.ceil(math.sqrt(docs.count()) / 50))
+    buckets = max(1, math.ceil(math.sqrt(docs.count()) / 10))
     s, size, block = F.col(source_col), F.col("mix_size"), F.col("__mix_block")
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
-    sized = docs.withColumn("mix_size", n_words(F.col(text_col)))
-    sized = sized.withColumn("__mix_block", F.length(F.bin(size)) * F.lit(1 << 24) + F.pmod(hashed, F.lit(buckets)))
+    bucket = F.pmod(hashed, F.lit(buckets))
+    sized = docs.withColumn("mix_size", n_words(F.col(text_col))).withColumn("__mix_tie", F.xxhash64(F.col(text_col)))
+    sized = sized.withColumn("__mix_block", F.length(F.bin(size)) * F.lit(1 << 24) + bucket).withColumn("__mix_order", size * (1 - 2 * (bucket % 2)))
 
     blocks = settled(sized.groupBy(s.alias("source"), block.alias("block")).agg(F.count("*").alias("n"), F.sum("mix_size").alias("words")))
     targets = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
         F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(F.lit(0)).cast("bigint").alias("__mix_step"),
     )
-    inside = W.Window.partitionBy(s, block).orderBy(size, F.col(id_col), F.xxhash64(F.col(text_col)))
+    inside = W.Window.partitionBy(s, block).orderBy("__mix_order", F.col(id_col), "__mix_tie")
     crossed = lambda rank: F.shiftright((F.col("__mix_start") + rank) * F.col("__mix_step") + F.col("__mix_offset"), UNIT_BITS)
     return (
         sized.join(plan, (block == F.col("__mix_at")) & s.eqNullSafe(F.col("__mix_source")))
