@@ -1,10 +1,398 @@
-"""The registered queries over the k-mer operators, and their SQL."""
+"""The registered queries over the k-mer operators, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from hetspark.functions import sequences as S
+from hetspark.operators import cluster, fit, kmers, pairs, report
+from hetspark.sources import reads
+from hetspark.streaming.kmers import count_available
+
+#: Parameters of the registered queries.
+K, LEAST = 21, 2
+DISTANCE, NOISE, COV = 2, 20, 7.0
+LOW, HIGH = 3, 20
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.from_documents(_table(spark, sf_dir, "documents"))
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.count_kmers(_reads(spark, sf_dir), K)
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.trim(_counted(spark, sf_dir), LEAST)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.countable(pairs.one_away(kmers.symmetric(_kept(spark, sf_dir)), K))
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.unique_pairs(_pairs(spark, sf_dir))
+
+
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense coverage histogram: quantities of lines against sizes of their parts."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    both = lines.join(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return both.groupBy(F.least("q", "p_size").alias("covB"), F.greatest("q", "p_size").alias("covA")).agg(F.count("*").alias("freq"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, mask: bool = True) -> DataFrame:
+    return cluster.local_aggregation(_bins(spark, sf_dir), DISTANCE, NOISE, mask)
+
+
+def _genomic(labelled: DataFrame) -> int:
+    return cluster.totals(labelled).first().genomic
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _labelled(spark, sf_dir)
+    return fit.cells(labelled, [COV], _genomic(labelled))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _peaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    labelled = _labelled(spark, sf_dir)
+    genomic = _genomic(labelled)
+    return labelled, fit.label_peaks(labelled, COV, genomic), genomic
+
+
+def _net_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _labelled(spark, sf_dir)
+    genomic = _genomic(labelled)
+    return report.structure_table(fit.cells(labelled, [COV], genomic).select(S.structure(F.col("a"), F.col("b")).alias("structure"), "size"), genomic)
+
+
+def _centrality(centre: str, dist: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(fit.centrality(_cells(spark, sf_dir), [COV], centre, dist), "centrality")
+
+    return query
+
+
+def _spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.spectrum(_counted(spark, sf_dir))
+
+
+def _user_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many users have so many events: a histogram of multiplicities with a valley."""
+    per_user = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("value"))
+    return per_user.groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures for the bins of unique pairs, as a table of structures would name them at coverage 2."""
+    found = pairs.histogram(_unique(spark, sf_dir))
+    a, b = F.greatest(F.lit(1), F.rint(F.col("covA") / 2)), F.greatest(F.lit(1), F.rint(F.col("covB") / 2))
+    return found.select("covB", "covA", S.short_structure(a, b).alias("smudge"))
+
+
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _kept(spark, sf_dir)
+    wanted = _reads(spark, sf_dir).where(F.length("seq") >= K).select(F.substring("seq", 1, K).alias("kmer")).distinct()
+    return kmers.lookup(kept, wanted)
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs.families(pairs.one_away(_kept(spark, sf_dir), K))
+    return found.select(S.decode(F.col("code"), K).alias("kmer"), S.decode(F.col("family"), K).alias("family"))
+
+
+def _family_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _kept(spark, sf_dir)
+    return pairs.family_coverage(pairs.families(pairs.one_away(kept, K)), kept)
+
+
+def _two_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs.two_away(_kept(spark, sf_dir), K)
+    return found.select(S.decode(F.col("code_a"), K).alias("kmer_a"), S.decode(F.col("code_b"), K).alias("kmer_b"), "count_a", "count_b")
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmers.profiles(_reads(spark, sf_dir), _kept(spark, sf_dir), K)
+    return found.select("read_id", "n", F.array_join(F.col("profile").cast("array<string>"), ",").alias("profile"))
+
+
+def _degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.degrees(_pairs(spark, sf_dir)).select(S.decode(F.col("code"), K).alias("kmer"), "degree")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled, peaks, genomic = _peaks(spark, sf_dir)
+    return report.wide_report(report.structure_table(peaks, genomic), cluster.totals(labelled), "lines")
+
+
+def _grid_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled, covs = _labelled(spark, sf_dir), fit.grid(0, LOW, HIGH)
+    return _rounded(fit.centrality(fit.cells(labelled, covs, _genomic(labelled)), covs), "cov", "centrality")
+
+
+def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _labelled(spark, sf_dir)
+    best, tested = fit.grid_search(labelled, _genomic(labelled), LOW, HIGH)
+    return tested.withColumn("best", F.lit(best))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parque[t]")
+    return count_available(reads.from_documents(stream), K)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "kmer_count": lambda s, d: kmers.count_kmers(_reads(s, d), K, by_strand=True),
+    "kmer_canonical": _counted,
+    "kmer_trim": _kept,
+    "kmer_symmetric": lambda s, d: kmers.symmetric(_kept(s, d)),
+    "kmer_symmetric_check": lambda s, d: kmers.asymmetric_rows(kmers.symmetric(_kept(s, d))).unionByName(kmers.asymmetric_rows(_kept(s, d))),
+    "kmer_spectrum": _spectrum,
+    "spectrum_rerange": lambda s, d: kmers.rerange(_spectrum(s, d), 2, 6),
+    "spectrum_instances": lambda s, d: kmers.toggle(_spectrum(s, d), instances=True),
+    "kmer_ordinals": lambda s, d: kmers.ordinals(_kept(s, d)),
+    "kmer_lookup": _lookup,
+    "kmer_codes": lambda s, d: pairs.coded(_kept(s, d)),
+    "kmer_prefix_buckets": lambda s, d: kmers.prefix_buckets(_kept(s, d)),
+    "read_profile": _profile,
+    "base_composition": lambda s, d: kmers.base_composition(_kept(s, d)),
+    "homopolymer_kmers": lambda s, d: kmers.count_kmers(_reads(s, d).withColumn("seq", S.collapse_runs(F.col("seq"))), K),
+    "hamming1_pairs": lambda s, d: pairs.named(_pairs(s, d), K),
+    "kmer_degree": _degree,
+    "unique_pairs": lambda s, d: pairs.named(_unique(s, d), K),
+    "pair_histogram": lambda s, d: pairs.written(pairs.histogram(_unique(s, d))),
+    "self_revcomp_pairs": lambda s, d: pairs.named(pairs.self_paired(_pairs(s, d), K), K),
+    "hamming2_pairs": _two_away,
+    "kmer_families": _families,
+    "family_coverage": _family_coverage,
+    "extract_pairs": lambda s, d: pairs.extract(_unique(s, d), _annotated(s, d), K),
+    "coverage_bins": _bins,
+    "local_aggregation": lambda s, d: _labelled(s, d, mask=False),
+    "local_aggregation_masked": _labelled,
+    "peak_summary": lambda s, d: cluster.peak_summary(_labelled(s, d)),
+    "kmer_totals": lambda s, d: _rounded(cluster.totals(_labelled(s, d)), "error_fraction"),
+    "fishnet_cells": lambda s, d: _cells(s, d).select("cov", "a", "b", "size"),
+    "fishnet_centres": lambda s, d: _rounded(_cells(s, d), "mean_a", "mean_b").drop("size"),
+    "structure_table": lambda s, d: _rounded(_net_table(s, d), "rel_size"),
+    "structure_table_peaks": lambda s, d: report.structure_table(*_peaks(s, d)[1:]),
+    "structure_labels": lambda s, d: _peaks(s, d)[1],
+    "annotated_bins": lambda s, d: report.annotated(*_peaks(s, d)[:2]),
+    "centrality_mode": _centrality("mode", "theoretical_center"),
+    "centrality_mean": _centrality("mean", "theoretical_center"),
+    "centrality_theoretical_edge": _centrality("mode", "theoretical_edge"),
+    "centrality_empirical_edge": _centrality("mode", "empirical_edge"),
+    "coverage_grid_level1": _grid_level,
+    "coverage_grid_search": _grid_search,
+    "cutoff_lower": lambda s, d: fit.cutoff_lower(_user_histogram(s, d)),
+    "cutoff_upper": lambda s, d: fit.cutoff_place(_user_histogram(s, d)),
+    "weighted_percentile": lambda s, d: fit.weighted_percentile(report.pair_columns(_bins(s, d)), "total_pair_cov", "freq", 95),
+    "filter_cov_quantile": lambda s, d: report.filtered(_bins(s, d), 5, 90).select("covB", "covA", "freq", "total_pair_cov"),
+    "relative_coverage": lambda s, d: _rounded(report.pair_columns(_bins(s, d)), "minor_variant_rel_cov"),
+    "hist_total_cov": lambda s, d: _rounded(report.weighted_histogram(report.pair_columns(_bins(s, d)), "total_pair_cov", "freq"), "low", "high"),
+    "hist_relative_cov": lambda s, d: _rounded(report.weighted_histogram(report.pair_columns(_bins(s, d)), "minor_variant_rel_cov", "freq", 60), "low", "high"),
+    "axis_limits": lambda s, d: report.axis_limits(_bins(s, d), COV),
+    "plot_boxes": lambda s, d: _rounded(report.boxes(_bins(s, d), COV), "left", "right"),
+    "plot_boxes_log": lambda s, d: _rounded(report.boxes(_bins(s, d), COV, log=True), "left", "right"),
+    "expected_structures": lambda s, d: _rounded(report.expected_structures(_net_table(s, d), COV), "x"),
+    "size_labels": lambda s, d: report.size_labels(_net_table(s, d)),
+    "legend_ticks": lambda s, d: report.legend_ticks(_bins(s, d)),
+    "legend_ticks_log": lambda s, d: report.legend_ticks(_bins(s, d), log=True),
+    "iso_grid_lines": lambda s, d: _rounded(report.iso_lines(_bins(s, d), COV), "x", "y"),
+    "five_numbers": lambda s, d: report.five_numbers(_labelled(s, d)),
+    "report_wide": _report,
+    "streaming_kmer_count": _stream,
+}
+
+
+# --- SQL -------------------------------------------------------------------------------------------------------------
+
+_RC = "translate(reverse({0}), 'acgt', 'tgca')"
+_READS = "reads AS (SELECT doc_id AS read_id, regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seq FROM documents)"
+_OCC = f"{_READS}, occ AS (SELECT read_id, i AS spot, substr(seq, i, {K}) AS kmer FROM (SELECT read_id, seq, unnest(range(1, len(seq) - {K} + 2)) AS i FROM reads))"
+_COUNTED = f"{_OCC}, counted AS (SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS count FROM occ GROUP BY 1)"
+_KEPT = f"{_COUNTED}, kept AS (SELECT kmer, least(count, 32767) AS count FROM counted WHERE count >= {LEAST})"
+_BOTH = f"{_KEPT}, sym AS (SELECT kmer, count FROM kept UNION ALL SELECT {_RC.format('kmer')}, count FROM kept WHERE {_RC.format('kmer')} <> kmer)"
+
+
+def _masked(table: str, condition: str = "true") -> str:
+    return f"""masks AS (SELECT kmer, count, p AS pos, substr(kmer, p + 1, 1) AS base, substr(kmer, 1, p) || '.' || substr(kmer, p + 2) AS mask FROM {table}, (SELECT unnest(range(0, {K})) AS p)),
+    pairs AS (SELECT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b, a.pos::INT AS pos FROM masks a JOIN masks b ON a.mask = b.mask AND a.base < b.base WHERE {condition})"""
+
+
+_PAIRS = f"{_BOTH}, {_masked('sym', 'a.count + b.count <= 1000')}"
+_UNIQUE = f"""{_PAIRS}, degree AS (SELECT kmer, count(*) AS degree FROM (SELECT kmer_a AS kmer FROM pairs UNION ALL SELECT kmer_b FROM pairs) GROUP BY kmer),
+    uniq AS (SELECT pairs.* FROM pairs JOIN degree a ON a.kmer = kmer_a AND a.degree = 1 JOIN degree b ON b.kmer = kmer_b AND b.degree = 1)"""
+_HISTOGRAM = f"{_UNIQUE}, histogram AS (SELECT least(count_a, count_b)::INT AS covB, greatest(count_a, count_b)::INT AS covA, count(*) AS freq FROM uniq GROUP BY 1, 2)"
+_FAMILIES = f"""{_KEPT}, {_masked('kept')}, links AS (SELECT kmer_a AS a, kmer_b AS b FROM pairs UNION SELECT kmer_b, kmer_a FROM pairs),
+    reach(kmer, other) AS (SELECT a, a FROM links UNION SELECT reach.kmer, links.b FROM reach JOIN links ON reach.other = links.a),
+    families AS (SELECT kmer, min(other) AS family FROM reach GROUP BY kmer)"""
+_SPECTRUM = f"{_COUNTED}, spectrum AS (SELECT count AS multiplicity, count(*) AS n_unique, sum(count)::BIGINT AS n_instances FROM counted GROUP BY 1)"
+
+_BINS = "bins AS (SELECT least(l_quantity::INT, p_size) AS covB, greatest(l_quantity::INT, p_size) AS covA, count(*) AS freq FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+
+
+def _clustered(mask: bool) -> str:
+    d = DISTANCE
+    return f"""{_BINS}, ranked AS (SELECT *, row_number() OVER (ORDER BY freq DESC, covA + covB, covB) AS rank, {mask} AND covB < min(covB) OVER () + {d} AS error FROM bins),
+    active AS (SELECT * FROM ranked WHERE freq >= {NOISE}),
+    wide AS (SELECT *, unnest(range(covA - {d}, covA + {d} + 1)) AS a FROM active WHERE NOT error),
+    looked AS (SELECT *, {d} - abs(covA - a) AS r, unnest(range(covB - ({d} - abs(covA - a)), covB + ({d} - abs(covA - a)) + 1)) AS v FROM wide),
+    placed AS (SELECT rank, a * 100000 + v AS turn, CASE WHEN v <= a THEN a ELSE v END AS at_a, CASE WHEN v <= a THEN v WHEN v = covB - r THEN a ELSE v - 1 END AS at_b FROM looked),
+    parents AS (SELECT p.rank, arg_max(t.rank, t.freq * 1000000000::HUGEINT - p.turn) AS parent FROM placed p JOIN active t ON t.covA = p.at_a AND t.covB = p.at_b AND t.rank < p.rank GROUP BY p.rank),
+    up AS (SELECT a.rank, coalesce(p.parent, a.rank) AS parent, a.error FROM active a LEFT JOIN parents p USING (rank)),
+    climb(rank, spot) AS (SELECT rank, parent FROM up UNION SELECT c.rank, u.parent FROM climb c JOIN up u ON c.spot = u.rank),
+    root AS (SELECT rank, min(spot) AS top FROM climb GROUP BY rank),
+    numbered AS (SELECT rank, row_number() OVER (ORDER BY rank)::INT AS number FROM up WHERE parent = rank AND NOT error),
+    labelled AS (SELECT covB, covA, freq, coalesce(CASE WHEN t.error THEN -1 ELSE n.number END, 0) AS smudge
+        FROM ranked LEFT JOIN root USING (rank) LEFT JOIN up t ON t.rank = root.top LEFT JOIN numbered n ON n.rank = root.top)"""
+
+
+_LABELLED = _clustered(True)
+_TOTALS = f"""{_LABELLED}, totals AS (SELECT sum(freq)::BIGINT AS total_kmers, coalesce(sum(freq) FILTER (smudge <> -1), 0)::BIGINT AS genomic,
+    coalesce(sum(freq) FILTER (smudge > 0), 0)::BIGINT AS in_peaks, coalesce(sum(freq) FILTER (smudge = -1), 0)::BIGINT AS errors FROM labelled)"""
+
+
+def _net(covs: str) -> str:
+    return f"""{_TOTALS}, covs AS (SELECT unnest([{covs}])::DOUBLE AS cov),
+    inside AS (SELECT l.*, cov, b, a FROM labelled l, covs, (SELECT unnest(range(1, 9))::INT AS b), (SELECT unnest(range(1, 16))::INT AS a)
+        WHERE smudge <> -1 AND a >= b AND a + b <= 16 AND covB > CASE WHEN b = 1 THEN 0 ELSE cov * (b - 0.5::DOUBLE) END AND covB < cov * (b + 0.5::DOUBLE)
+        AND covA > CASE WHEN a = 1 THEN 0 ELSE cov * (a - 0.5::DOUBLE) END AND covA < cov * (a + 0.5::DOUBLE)),
+    cells AS (SELECT cov, a, b, sum(freq)::BIGINT AS size, arg_max(covA, freq * 1000000::BIGINT - covA * 1000 - covB) AS mode_a, arg_max(covB, freq * 1000000::BIGINT - covA * 1000 - covB) AS mode_b,
+        sum(freq * covA) / sum(freq) AS mean_a, sum(freq * covB) / sum(freq) AS mean_b, min(covA) AS min_a, max(covA) AS max_a, min(covB) AS min_b, max(covB) AS max_b FROM inside GROUP BY cov, a, b)"""
+
+
+_CELLS = _net(str(COV))
+_NET_TABLE = f"{_CELLS}, found AS (SELECT repeat('A', a) || repeat('B', b) AS structure, sum(size)::BIGINT AS size, round_even(sum(size) / any_value(genomic)::DOUBLE, 4) AS rel_size FROM cells, totals GROUP BY 1)"
+_SHORT = "CASE WHEN len(structure) > 4 THEN len(replace(structure, 'B', ''))::VARCHAR || 'A' || len(replace(structure, 'A', ''))::VARCHAR || 'B' ELSE structure END"
+_PEAKS = f"""{_TOTALS}, tops AS (SELECT smudge, sum(freq)::BIGINT AS size, arg_max(covA, freq * 1000000::BIGINT - covA * 1000 - covB) AS ta, arg_max(covB, freq * 1000000::BIGINT - covA * 1000 - covB) AS tb FROM labelled WHERE smudge > 0 GROUP BY smudge),
+    peaks AS (SELECT smudge, size, round_even(ta / {COV}::DOUBLE, 0)::INT AS a, round_even(tb / {COV}::DOUBLE, 0)::INT AS b FROM tops),
+    shown AS (SELECT *, repeat('A', a) || repeat('B', b) AS structure FROM peaks)"""
+
+
+def _central(expr: str, covs: str = str(COV)) -> str:
+    """expr: the distance along one axis, with x for a or b."""
+    both = " + ".join(expr.replace("@", x) for x in "ab")
+    return f"WITH RECURSIVE {_net(covs)} SELECT round(covs.cov, 6) AS cov, round(coalesce(sum(({both}) * size) / sum(size), 1.0), 6) AS centrality FROM covs LEFT JOIN cells ON cells.cov = covs.cov GROUP BY covs.cov"
+
+
+_EVENTS = "per_user AS (SELECT user_id, count(*) AS value FROM events GROUP BY 1), h AS (SELECT value, count(*) AS n FROM per_user GROUP BY 1)"
+_PLOT = f"{_BINS}, p AS (SELECT *, covA + covB AS total_pair_cov, covB / (covA + covB) AS minor_variant_rel_cov FROM bins)"
+_PERCENTILE = "(SELECT min(total_pair_cov) FROM (SELECT total_pair_cov, sum(sum(freq)) OVER (ORDER BY total_pair_cov) AS upto, sum(sum(freq)) OVER () AS whole FROM {1} GROUP BY 1) WHERE upto >= {0} / 100::DOUBLE * whole)"
+_LIMITS = f"""{_PLOT}, lim AS (SELECT 0.0::DOUBLE AS x_low, 0.5::DOUBLE AS x_high, CASE WHEN edge = {COV} THEN least_ ELSE least_ - 1 END::DOUBLE AS y_low,
+    CASE WHEN edge = {COV} THEN most_ ELSE least(greatest(100, 10 * {COV}), most_) END::DOUBLE AS y_high
+    FROM (SELECT min(total_pair_cov) AS least_, max(total_pair_cov) AS most_, {_PERCENTILE.format(95, 'p')} AS edge FROM p))"""
+
+
+def _boxes(weight: str) -> str:
+    return f"""WITH {_LIMITS}, w AS (SELECT *, {weight.replace('@', 'CASE WHEN covA = covB THEN freq * 2 ELSE freq END::DOUBLE')} AS weight FROM p)
+    SELECT covB, covA, round(minor_variant_rel_cov - 1.0::DOUBLE / (total_pair_cov * 2), 6) AS "left", round(least(0.5::DOUBLE, minor_variant_rel_cov + 1.0::DOUBLE / (total_pair_cov * 2)), 6) AS "right",
+        (total_pair_cov - 0.5)::DOUBLE AS low, (total_pair_cov + 0.5)::DOUBLE AS high, round_even(31.0::DOUBLE * weight / (SELECT max(weight) FROM w), 0)::INT AS colour
+    FROM w, lim WHERE total_pair_cov >= greatest((SELECT min(total_pair_cov) FROM w), y_low) AND total_pair_cov < y_high"""
+
+
+def _histogram(value: str, bins: str) -> str:
+    return f"""WITH {_PLOT}, e AS (SELECT min({value})::DOUBLE AS lo, max({value})::DOUBLE AS hi FROM p), g AS (SELECT lo, hi, hi - lo AS span, {bins}::INT AS k FROM e),
+    binned AS (SELECT least(floor(({value} - lo) / span * k)::INT, k - 1) AS bin, lo, span, k, freq FROM p, g)
+    SELECT bin, round(lo + bin * span / k, 6) AS low, round(lo + (bin + 1) * span / k, 6) AS high, sum(freq)::BIGINT AS n FROM binned GROUP BY bin, lo, span, k"""
+
+
+def _legend(raw: str) -> str:
+    steps = {"linear": "0, 1, 2, 3, 4, 5, 6", "log": "0, 3.5, 4, 4.5, 5, 5.5, 6"}["log" if "pow" in raw else "linear"]
+    return f"""WITH {_BINS}, m AS (SELECT max(CASE WHEN covA = covB THEN freq * 2 ELSE freq END)::DOUBLE AS top FROM bins), s AS (SELECT [{steps}]::DOUBLE[] AS x),
+    t AS (SELECT unnest(range(0, 7))::INT AS tick), r AS (SELECT tick, {raw} AS raw FROM m, s, t)
+    SELECT tick, CASE WHEN raw > 1000 THEN round_even(raw / 1000, 0) * 1000 WHEN raw > 100 THEN round_even(raw / 100, 0) * 100 ELSE round_even(raw / 10, 0) * 10 END::BIGINT AS value FROM r"""
+
+
+def _wide() -> str:
+    columns = ", ".join(f"coalesce(sum(size) FILTER (label = '{n}'), 0)::BIGINT AS \"{n}\"" for n in report.report_labels())
+    return f"WITH RECURSIVE {_PEAKS}, named AS (SELECT {_SHORT} AS label, size FROM shown) SELECT 'lines' AS dataset, any_value(total_kmers) AS total_kmers, any_value(errors) AS total_error_kmers, {columns} FROM totals LEFT JOIN named ON true"
+
+
+SQL: dict[str, str] = {
+    "kmer_count": f"WITH {_OCC} SELECT kmer, count(*) AS count FROM occ GROUP BY kmer",
+    "kmer_canonical": f"WITH {_COUNTED} SELECT * FROM counted",
+    "kmer_trim": f"WITH {_KEPT} SELECT * FROM kept",
+    "kmer_symmetric": f"WITH {_BOTH} SELECT * FROM sym",
+    "kmer_symmetric_check": f"WITH {_KEPT} SELECT * FROM kept WHERE {_RC.format('kmer')} <> kmer",
+    "kmer_spectrum": f"WITH {_SPECTRUM} SELECT * FROM spectrum",
+    "spectrum_rerange": f"WITH {_SPECTRUM} SELECT greatest(2, least(6, multiplicity)) AS multiplicity, sum(n_unique)::BIGINT AS n_unique, sum(n_instances)::BIGINT AS n_instances FROM spectrum GROUP BY 1",
+    "spectrum_instances": f"WITH {_SPECTRUM} SELECT multiplicity AS value, n_instances AS n FROM spectrum",
+    "kmer_ordinals": f"WITH {_KEPT} SELECT kmer, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept",
+    "kmer_lookup": f"""WITH {_KEPT}, placed AS (SELECT kmer, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept), wanted AS (SELECT DISTINCT substr(seq, 1, {K}) AS kmer FROM reads WHERE len(seq) >= {K})
+        SELECT w.kmer, coalesce(ordinal, -1) AS ordinal, coalesce(count, 0) AS count FROM wanted w LEFT JOIN placed p ON p.kmer = least(w.kmer, {_RC.format('w.kmer')})""",
+    "kmer_codes": f"WITH {_KEPT} SELECT (list_sum(list_transform(range(1, {K + 1}), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1)::BIGINT << (2 * ({K} - i)))))::BIGINT AS code, count FROM kept",
+    "kmer_prefix_buckets": f"WITH {_KEPT}, n AS (SELECT substr(kmer, 1, 4) AS prefix, count(*) AS n FROM kept GROUP BY 1) SELECT prefix, n, n = max(n) OVER () AS largest FROM n",
+    "read_profile": f"WITH {_KEPT} SELECT read_id, count(*) AS n, string_agg(coalesce(count, 0)::VARCHAR, ',' ORDER BY spot) AS profile FROM occ LEFT JOIN kept ON kept.kmer = least(occ.kmer, {_RC.format('occ.kmer')}) GROUP BY read_id",
+    "base_composition": f"WITH {_KEPT} SELECT kmer, count, " + ", ".join(f"{K} - len(replace(kmer, '{b}', '')) AS n_{b}" for b in "acgt") + ", least(" + ", ".join(f"{K} - len(replace(kmer, '{b}', ''))" for b in "acgt") + ") AS least_base FROM kept",
+    "homopolymer_kmers": f"""WITH raw AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seq FROM documents),
+        reads AS (SELECT doc_id AS read_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'a+', 'a', 'g'), 'c+', 'c', 'g'), 'g+', 'g', 'g'), 't+', 't', 'g') AS seq FROM raw),
+        {_COUNTED.split(', occ AS', 1)[1].join(['occ AS', ''])} SELECT * FROM counted""",
+    "hamming1_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
+    "kmer_degree": f"WITH {_UNIQUE} SELECT * FROM degree",
+    "unique_pairs": f"WITH {_UNIQUE} SELECT * FROM uniq",
+    "pair_histogram": f"WITH {_HISTOGRAM} SELECT * FROM histogram WHERE covB < 500",
+    "self_revcomp_pairs": f"WITH {_PAIRS} SELECT * FROM pairs WHERE {_RC.format('kmer_a')} = kmer_b",
+    "hamming2_pairs": f"""WITH {_KEPT}, parts AS (SELECT kmer, count, [substr(kmer, 1, 5), substr(kmer, 6, 5), substr(kmer, 11, 5), substr(kmer, 16)] AS q FROM kept),
+        filed AS (SELECT kmer, count, i * 10 + j AS choice, q[i] || '/' || q[j] AS key FROM parts, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j) WHERE i < j)
+        SELECT DISTINCT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b FROM filed a JOIN filed b ON a.choice = b.choice AND a.key = b.key AND a.kmer < b.kmer WHERE hamming(a.kmer, b.kmer) = 2""",
+    "kmer_families": f"WITH RECURSIVE {_FAMILIES} SELECT * FROM families",
+    "family_coverage": f"WITH RECURSIVE {_FAMILIES}, each AS (SELECT family, count(*) AS size, sum(count) AS total FROM families JOIN kept USING (kmer) GROUP BY family) SELECT size, count(*) AS n_families, sum(total)::BIGINT AS total_count FROM each GROUP BY size",
+    "extract_pairs": f"""WITH {_HISTOGRAM}, named AS (SELECT covB, covA, greatest(1, round_even(covA / 2, 0))::INT || 'A' || greatest(1, round_even(covB / 2, 0))::INT || 'B' AS smudge FROM histogram),
+        sided AS (SELECT *, substr(kmer_a, pos + 1, 1) AS x, substr(kmer_b, pos + 1, 1) AS y FROM uniq)
+        SELECT smudge, substr(kmer_a, 1, pos) || '(' || CASE WHEN count_a >= count_b THEN x || '/' || y ELSE y || '/' || x END || ')' || substr(kmer_a, pos + 2) AS line
+        FROM sided JOIN named ON covB = least(count_a, count_b) AND covA = greatest(count_a, count_b)""",
+    "coverage_bins": f"WITH {_BINS} SELECT * FROM bins",
+    "local_aggregation": f"WITH RECURSIVE {_clustered(False)} SELECT * FROM labelled",
+    "local_aggregation_masked": f"WITH RECURSIVE {_LABELLED} SELECT * FROM labelled",
+    "peak_summary": f"""WITH RECURSIVE {_LABELLED}, k AS (SELECT *, freq * 1000000::BIGINT - covA * 1000 - covB AS key FROM labelled WHERE smudge > 0)
+        SELECT smudge, count(*) AS n_bins, sum(freq)::BIGINT AS size, arg_max(covA, key) AS mode_a, arg_max(covB, key) AS mode_b, max(freq) AS mode_freq FROM k GROUP BY smudge""",
+    "kmer_totals": f"WITH RECURSIVE {_TOTALS} SELECT *, round(errors / total_kmers, 6) AS error_fraction FROM totals",
+    "fishnet_cells": f"WITH RECURSIVE {_CELLS} SELECT cov, a, b, size FROM cells",
+    "fishnet_centres": f"WITH RECURSIVE {_CELLS} SELECT cov, a, b, mode_a, mode_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, min_a, max_a, min_b, max_b FROM cells",
+    "structure_table": f"WITH RECURSIVE {_NET_TABLE} SELECT * FROM found",
+    "structure_table_peaks": f"WITH RECURSIVE {_PEAKS} SELECT structure, sum(size)::BIGINT AS size, round_even(sum(size) / any_value(genomic)::DOUBLE, 4) AS rel_size FROM shown, totals GROUP BY 1",
+    "structure_labels": f"WITH RECURSIVE {_PEAKS} SELECT * FROM shown",
+    "annotated_bins": f"WITH RECURSIVE {_PEAKS} SELECT covB, covA, freq, a::VARCHAR || 'A' || b::VARCHAR || 'B' AS smudge FROM labelled JOIN shown USING (smudge)",
+    "centrality_mode": _central("abs((mode_@ - cells.cov * @) / cells.cov)"),
+    "centrality_mean": _central("abs((mean_@ - cells.cov * @) / cells.cov)"),
+    "centrality_theoretical_edge": _central("least(abs(mode_@ - cells.cov * (@ - 0.5::DOUBLE)), abs(cells.cov * (@ + 0.5::DOUBLE) - mode_@))"),
+    "centrality_empirical_edge": _central("least(abs(max_@ - mode_@), abs(mode_@ - min_@))"),
+    "coverage_grid_level1": _central("abs((mode_@ - cells.cov * @) / cells.cov)", ", ".join(map(repr, fit.grid(0, LOW, HIGH)))),
+    "cutoff_lower": f"""WITH {_EVENTS}, s AS (SELECT row_number() OVER w - 1 AS place, coalesce(lag(n) OVER w >= n, true) AND coalesce(n < lead(n) OVER w, true) AS low FROM h WINDOW w AS (ORDER BY value))
+        SELECT greatest(10, round_even(min(place) * 1.25::DOUBLE, 0))::INT AS cutoff FROM s WHERE low""",
+    "cutoff_upper": f"""WITH {_EVENTS}, s AS (SELECT row_number() OVER (ORDER BY value) - 2 AS place, value, n FROM h), t AS (SELECT place, sum(n) OVER (ORDER BY value) / sum(n) OVER () AS share FROM s WHERE place >= 0)
+        SELECT min(place) AS place FROM t WHERE share > 0.998""",
+    "weighted_percentile": f"WITH {_PLOT} SELECT {_PERCENTILE.format(95, 'p')} AS value",
+    "filter_cov_quantile": f"WITH {_PLOT}, f AS (SELECT * FROM p WHERE covA >= 5 AND covB >= 5) SELECT covB, covA, freq, total_pair_cov FROM f WHERE total_pair_cov < {_PERCENTILE.format(90, 'f')}",
+    "relative_coverage": f"WITH {_PLOT} SELECT covB, covA, freq, total_pair_cov, round(minor_variant_rel_cov, 6) AS minor_variant_rel_cov FROM p",
+    "hist_total_cov": _histogram("total_pair_cov", "greatest(1, hi - lo)"),
+    "hist_relative_cov": _histogram("minor_variant_rel_cov", "60"),
+    "axis_limits": f"WITH {_LIMITS} SELECT * FROM lim",
+    "plot_boxes": _boxes("@"),
+    "plot_boxes_log": _boxes("log10(@)"),
+    "expected_structures": f"""WITH RECURSIVE {_NET_TABLE} SELECT {_SHORT} AS label, round(len(replace(structure, 'A', '')) / len(structure), 6) AS x, len(structure) * {COV}::DOUBLE AS y,
+        len(replace(structure, 'A', '')) * 2 = len(structure) AS right_aligned FROM found WHERE rel_size > 0.05""",
+    "size_labels": f"""WITH RECURSIVE {_NET_TABLE}, s AS (SELECT {_SHORT} AS label, round_even(rel_size, 2) AS size FROM found) SELECT label, size, printf('%.2f', size) || '   ' || rpad(label, 6, ' ') AS line FROM s WHERE size >= 0.03""",
+    "legend_ticks": _legend("top * x[tick + 1] / 6"),
+    "legend_ticks_log": _legend("pow(10::DOUBLE, log10(top) * x[tick + 1] / 6)"),
+    "iso_grid_lines": f"""WITH {_BINS}, xs AS (SELECT (SELECT min(covB) FROM bins) AS low, unnest(range(1, 21)) / 40.0::DOUBLE AS x), ns AS (SELECT unnest(range(1, 9))::INT AS n)
+        SELECT 'B' AS kind, n, round(x, 6) AS x, round({COV}::DOUBLE * n / x, 6) AS y FROM xs, ns UNION ALL SELECT 'A', n, round(x, 6), round({COV}::DOUBLE * n / (1.0::DOUBLE - x), 6) FROM xs, ns
+        UNION ALL SELECT 'error', 0, round(x, 6), round((low - 1) / x, 6) FROM xs""",
+    "five_numbers": f"""WITH RECURSIVE {_LABELLED} SELECT smudge, count(*) AS n_bins, min(freq) AS least, quantile_disc(freq, 0.25) AS lower, quantile_disc(freq, 0.5) AS middle, quantile_disc(freq, 0.75) AS upper, max(freq) AS most
+        FROM labelled WHERE smudge <> -1 GROUP BY smudge""",
+    "report_wide": _wide(),
+    "streaming_kmer_count": f"WITH {_COUNTED} SELECT * FROM counted",
+}
