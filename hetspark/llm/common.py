@@ -1,64 +1,19 @@
-"""What several operators share: the shared checkpoint folder, salted keys, minimum labels of linked keys."""
+"""What several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space, the only separators of words here (a Java and Python pattern for one word).
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Have checkpoint() write to spark.checkpoint.dir; a folder of our own only where that is unset (as in tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+from hetspark.functions.checkpoints import settled, use_checkpoints
+from hetspark.operators.components import least_reachable
 
+__all__ = ["WORD", "least_reachable", "salt_of", "settled", "use_checkpoints"]
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A word: what stands between ASCII white space (a Java and Python pattern).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def salt_of(*cols: Column, salts: int) -> Column:
     """A number below salts that depends on the values alone, so that recomputed tasks give the same."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
-
-
-def least_reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links(a long, b long): undirected. Returns (node, label): each linked node with the smallest node it reaches.
-
-    Alternates two steps until nothing changes: every node hands the least of its neighbours (or itself) to its larger
-    neighbours, then to its smaller ones. The number of links never grows and paths shrink by a power each round, so
-    that long chains take few rounds. Each round is cut off by a checkpoint. A hub's links are combined before they
-    are shuffled where only its minimum is asked for; the joins that hand it out are plain shuffled joins, whose large
-    partitions Spark splits.
-    """
-    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # Larger neighbours take the least of the neighbourhood.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Each node's smaller neighbours, and itself, take the least of them.
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-            .unionByName(down.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        edges = settled(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the links did not settle")
-    labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label"))
-    return labels.unionByName(roots)
