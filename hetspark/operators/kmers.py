@@ -36,9 +36,10 @@ def trim(kmers: DataFrame, least: int) -> DataFrame:
 
 
 def symmetric(kmers: DataFrame) -> DataFrame:
-    """Canonical k-mers and their reverse complements. A k-mer that is its own is not doubled. Nothing is shuffled."""
-    other = S.reverse_complement(F.col("kmer"))
-    return kmers.unionByName(kmers.where(other != F.col("kmer")).select(other.alias("kmer"), "count"))
+    """Canonical k-mers and their reverse complements. A k-mer that is its own is not doubled. Rows are doubled where
+    they are, so the table is computed once and nothing is shuffled."""
+    kmer, other = F.col("kmer"), S.reverse_complement(F.col("kmer"))
+    return kmers.select(F.explode(F.when(other == kmer, F.array(kmer)).otherwise(F.array(kmer, other))).alias("kmer"), "count")
 
 
 def asymmetric_rows(kmers: DataFrame) -> DataFrame:

@@ -1,0 +1,107 @@
+import random
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import pytest
+
+from hetspark.functions import sequences as S
+from hetspark.operators import kmers, pairs
+
+KMERS = "kmer string, count bigint"
+
+
+def rc(s):
+    return s[::-1].translate(str.maketrans("acgt", "tgca"))
+
+
+def differing(a, b):
+    return sum(x != y for x, y in zip(a, b, strict=True))
+
+
+def slow_histogram(counts, most=1000):
+    both = dict(counts) | {rc(k): n for k, n in counts.items()}
+    close = [(a, b) for a, b in combinations(sorted(both), 2) if differing(a, b) == 1 and both[a] + both[b] <= most]
+    degree = Counter(k for p in close for k in p)
+    out = Counter()
+    for a, b in close:
+        if degree[a] == degree[b] == 1:
+            out[min(both[a], both[b]), max(both[a], both[b])] += 1
+    return {(b, a): n for (b, a), n in out.items() if b < 500}
+
+
+def histogram(spark, counts, k):
+    table = kmers.symmetric(spark.createDataFrame(list(counts.items()), KMERS))
+    found = pairs.unique_pairs(pairs.countable(pairs.one_away(table, k)))
+    return {(r.covB, r.covA): r.freq for r in pairs.written(pairs.histogram(found)).collect()}, found
+
+
+@pytest.mark.parametrize("counts, want", [
+    ({"aacaa": 10, "aagaa": 6}, {(6, 10): 2}),
+    ({"aacaa": 10, "aagaa": 6, "aataa": 3}, {}),
+    ({"aacaa": 10, "aagaa": 6, "aataa": 995}, {(6, 10): 2}),
+    ({"aactt": 7}, {(7, 7): 1}),
+    ({"aacaa": 500, "aagaa": 500}, {}),
+    ({}, {}),
+])
+def test_worked_examples(spark, counts, want):
+    assert histogram(spark, counts, 5)[0] == want
+
+
+@pytest.mark.parametrize("k", [4, 5, 6])
+def test_against_all_pairs(spark, k):
+    r = random.Random(k)
+    seqs = {min(s, rc(s)) for s in ("".join(r.choices("acgt", k=k)) for _ in range(60))}
+    counts = {s: r.choice([3, 8, 8, 20, 499, 600]) for s in seqs}
+    assert histogram(spark, counts, k)[0] == slow_histogram(counts)
+
+
+def test_pair_lines(spark):
+    _, found = histogram(spark, {"aacaa": 10, "aagaa": 6}, 5)
+    assert {r.line for r in pairs.pair_text(found, 5).collect()} == {"aa(c/g)aa", "tt(g/c)tt"}
+    _, tied = histogram(spark, {"aactt": 7}, 5)
+    assert [r.line for r in pairs.pair_text(tied, 5).collect()] == ["aa(c/g)tt"]
+
+
+def test_two_away_and_families(spark):
+    r = random.Random(9)
+    seqs = sorted({"".join(r.choices("ac", k=7)) + "".join(r.choices("acgt", k=2)) for _ in range(150)})
+    table = spark.createDataFrame([(s, 5) for s in seqs], KMERS)
+    found = pairs.two_away(table, 9).select(S.decode(pairs.F.col("code_a"), 9).alias("a"), S.decode(pairs.F.col("code_b"), 9).alias("b")).collect()
+    assert {(x.a, x.b) for x in found} == {(a, b) for a, b in combinations(seqs, 2) if differing(a, b) == 2}
+    near = defaultdict(set)
+    for a, b in combinations(seqs, 2):
+        if differing(a, b) == 1:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for s in seqs:
+        if s in near and s not in want:
+            stack = [s]
+            while stack:
+                x = stack.pop()
+                if x not in want:
+                    want[x] = s
+                    stack += near[x]
+    got = pairs.families(pairs.one_away(table, 9)).select(S.decode(pairs.F.col("code"), 9).alias("k"), S.decode(pairs.F.col("family"), 9).alias("f")).collect()
+    assert {x.k: x.f for x in got} == want
+
+
+def test_reads_and_strands(spark):
+    """Reversing the strand of every read, or their order, changes nothing; letters beyond acgt end a run."""
+    r = random.Random(2)
+    seqs = ["".join(r.choices("acgtn", weights=[5, 5, 5, 5, 1], k=80)) for _ in range(20)] + ["", "ac", "ACGTACGTAC"]
+    flip = lambda s: s.lower()[::-1].translate(str.maketrans("acgt", "tgca"))
+    table = lambda xs: {x.kmer: x["count"] for x in kmers.count_kmers(spark.createDataFrame(list(enumerate(xs)), "read_id bigint, seq string"), 6).collect()}
+    want = Counter(min(s[i : i + 6], rc(s[i : i + 6])) for s in map(str.lower, seqs) for i in range(len(s) - 5) if "n" not in s[i : i + 6])
+    assert table(seqs) == table([flip(s) for s in seqs[::-1]]) == want
+
+
+def test_palindromes_are_not_doubled(spark):
+    table = spark.createDataFrame([("acgt", 3), ("aaaa", 2)], KMERS)
+    assert sorted((r.kmer, r["count"]) for r in kmers.symmetric(table).collect()) == [("aaaa", 2), ("acgt", 3), ("tttt", 2)]
+
+
+def test_plan_of_the_pair_search(spark):
+    table = spark.range(1).selectExpr("'aacaa' AS kmer", "id AS count")
+    plan = pairs.histogram(pairs.unique_pairs(pairs.one_away(table, 5)))._jdf.queryExecution().toString()
+    assert "Join" not in plan.split("== Physical Plan ==")[1] and "Python" not in plan
