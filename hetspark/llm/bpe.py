@@ -19,7 +19,7 @@ NONE = np.int32(2**31 - 1)
 #: Longest piece, in bytes, that goes through a matrix; longer ones are merged one by one over a heap.
 WIDEST = 256
 #: Pieces a worker remembers before it starts anew, and characters taken at a time: both bound memory only.
-REMEMBERED, AT_A_TIME = 200_000, 1_000_000
+REMEMBERED, AT_A_TIME = 150_000, 500_000
 
 
 class Ranks:
@@ -137,7 +137,7 @@ class Ranks:
                     merged = np.array(self.merge_long(self.byte[np.frombuffer(pieces[i], np.uint8)].tolist()), np.int32)
                     done.append((np.array([i]), merged[None], np.array([len(merged)])))
                 continue
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 18) // width)
             for at in range(0, len(members), step):
                 part = members[at : at + step]
                 lengths = np.array([len(pieces[i]) for i in part], np.int64)
@@ -218,8 +218,20 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids_col: the token ids of the whole text, without special tokens, as an array of ints.
+def decoded(token: list[bytes], ids: list[int], counts: list[int]) -> list[bytes]:
+    """The bytes that each run of ids stands for."""
+    if ids and min(ids) < 0:
+        raise ValueError("token ids are not negative")
+    parts, out, at = [*map(token.__getitem__, ids)], [], 0
+    for n in counts:
+        out.append(b"".join(parts[at : at + n]))
+        at += n
+    return out
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
+    """docs with ids_col: the token ids of the whole text, without special tokens, as an array of ints. With bytes_col
+    the ids are decoded again in the same pass, which saves a second set of Python workers.
 
     The pattern cuts a text into pieces, each encoded on its own: starting from bytes, the leftmost pair of least rank
     merges until none can. The rank file is read by the driver and broadcast (a vocabulary's size is fixed).
@@ -234,15 +246,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         encoder = Encoder(loaded(shared.value), pattern)
         for batch in batches:
             at = batch.schema.names.index(text_col)
-            rest = [i for i, n in enumerate(batch.schema.names) if n != ids_col]
+            rest = [i for i, n in enumerate(batch.schema.names) if n not in (ids_col, bytes_col)]
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in _slices(texts):
                 ids, counts = encoder.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), lists], [*(batch.schema.names[i] for i in rest), ids_col])
+                made = {ids_col: lists} | ({bytes_col: pa.array(decoded(encoder.ranks.token, ids.tolist(), counts.tolist()), pa.binary())} if bytes_col else {})
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *made.values()], [*(batch.schema.names[i] for i in rest), *made])
 
-    return docs.mapInArrow(run, _schema(docs, ids_col, T.ArrayType(T.IntegerType())))
+    schema = _schema(docs, ids_col, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, T.StructType([*(f for f in schema if f.name != bytes_col), T.StructField(bytes_col, T.BinaryType())]) if bytes_col else schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -254,15 +268,10 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
         token = loaded(shared.value).token
         for batch in batches:
             rest = [i for i, n in enumerate(batch.schema.names) if n != bytes_col]
-            ids = batch.column(batch.schema.names.index(ids_col))
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                texts = []
-                for x in ids.slice(at, 64):
-                    of = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-                    if of and min(of) < 0:
-                        raise ValueError("token ids are not negative")
-                    texts.append(b"".join(map(token.__getitem__, of)))
+                ids = [x or [] for x in part.column(batch.schema.names.index(ids_col)).to_pylist()]
+                texts = decoded(token, [i for x in ids for i in x], [*map(len, ids)])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(texts, pa.binary())], [*(batch.schema.names[i] for i in rest), bytes_col])
 
     return df.mapInArrow(run, _schema(df, bytes_col, T.BinaryType()))
@@ -275,5 +284,5 @@ def digest_columns(ids_col: str = "ids", bytes_col: str = "decoded") -> list[Col
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens and digest_columns(): every text encoded, and decoded again."""
-    encoded = encode(docs.select(F.col(id_col), F.col(text_col).alias("text")), ranks_path, pattern).select(id_col, "ids")
-    return decode(encoded, ranks_path).select(id_col, F.size("ids").cast("bigint").alias("n_tokens"), *digest_columns())
+    encoded = encode(docs.select(F.col(id_col), F.col(text_col).alias("text")), ranks_path, pattern, bytes_col="decoded")
+    return encoded.select(id_col, F.size("ids").cast("bigint").alias("n_tokens"), *digest_columns())
