@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and digests of the ids and of the text that they decode to; a row for each copy."""
-    ids = bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe.decode(ids, RANKS).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), *bpe.digest_columns())
+    ids = bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, bytes_col="decoded")
+    return ids.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), *bpe.digest_columns())
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("simhash near-dedup", near_dedup), ("mixing", mix), ("byte-level BPE", encode)]
