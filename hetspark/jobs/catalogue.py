@@ -22,8 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a file of one row group is one partition, and every read becomes as many rows as it is long."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.from_documents(_table(spark, sf_dir, "documents"))
+    return reads.from_documents(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
