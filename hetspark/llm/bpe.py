@@ -204,7 +204,7 @@ def loaded(raw: bytes) -> Ranks:
     return _LOADED[name]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about AT_A_TIME characters, one text at least."""
     at, held = 0, 0
     for i, t in enumerate(texts):
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             at = batch.schema.names.index(text_col)
             rest = [i for i, n in enumerate(batch.schema.names) if n not in (ids_col, bytes_col)]
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in _slices(texts):
+            for a, b in slices(texts):
                 ids, counts = encoder.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
                 part = batch.slice(a, b - a)

@@ -60,7 +60,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shards.materialise(shards.byte_ids(_table(spark, sf_dir, "documents")))
+    ids, size = shards.bpe_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = shards.materialise(ids, width=2, end=size, pad=size + 1)
     return shards.digests(spark, found)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hetspark.llm import bpe
 from hetspark.llm.common import use_checkpoints
 
 ROUNDS = 6
@@ -96,6 +97,33 @@ def short_ids(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
     return encoded.select(ids_col).mapInArrow(run, "tokens binary")
 
 
+def bpe_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> tuple[DataFrame, int]:
+    """(tokens binary, ids of the vocabulary): each text's BPE ids, as bpe.encode() gives them, as little-endian numbers
+    of width 2. Encoded once, in one pass, into a table under the checkpoint folder, from which all later jobs read."""
+    spark = docs.sparkSession
+    with open(ranks_path, "rb") as f:
+        raw = f.read()
+    size = 1 + max(int(line.split()[1]) for line in raw.splitlines())
+    if size > 65534:
+        raise ValueError("ids of width 2, an end and a padding lie between 0 and 65535")
+    shared = spark.sparkContext.broadcast(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = bpe.Encoder(bpe.loaded(shared.value), pattern)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                texts = [t or "" for t in batch.column(0).slice(at, 256).to_pylist()]
+                for a, b in bpe.slices(texts):
+                    ids, counts = encoder.encode(texts[a:b])
+                    ends = np.r_[0, np.cumsum(counts * 2)].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])], ["tokens"])
+
+    use_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/ids-{uuid.uuid4().hex}"
+    docs.select(text_col).mapInArrow(run, "tokens binary").write.parquet(folder)
+    return spark.read.schema("tokens binary").parquet(folder), size
+
+
 def materialise(tokens: DataFrame, folder: str | None = None, seq_len: int = 1024, width: int = 1, end: int = 0xFF, pad: int = 0xFE, key: int = 20, rows_per_shard: int = 16384) -> Manifest:
     """Packs tokens(tokens binary) into sequences, places them in training order, writes the shards; says what it wrote.
 
@@ -174,8 +202,13 @@ def manifest(spark: SparkSession, folder: str) -> Manifest:
     return Manifest(**json.loads(spark.read.text(f"{folder}/manifest").first().value))
 
 
-def records(spark: SparkSession, found: Manifest, first: int = 0) -> DataFrame:
-    """(slot, record) of all slots from `first` on: where a reader resumes. Earlier shards are not opened."""
+def _contents(spark: SparkSession, found: Manifest, first: int = 0) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{found.folder}/shards")
+    numbered = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content", "length").where("length > 0")
+    return numbered.where(F.col("shard") >= first // found.rows_per_shard).select("shard", "content")
+
+
+def _read(found: Manifest, first: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     size, stride, per = found.seq_len * found.width, found.stride, found.rows_per_shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,21 +223,24 @@ def records(spark: SparkSession, found: Manifest, first: int = 0) -> DataFrame:
                     part = np.ascontiguousarray(rows[at : at + 1024, :size])
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) + shard * per + at, pa.int64()), pa.array([r.tobytes() for r in part], pa.binary())], ["slot", "record"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{found.folder}/shards")
-    numbered = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content", "length").where("length > 0")
-    return numbered.where(F.col("shard") >= first // per).select("shard", "content").mapInArrow(run, "slot bigint, record binary")
+    return run
+
+
+def records(spark: SparkSession, found: Manifest, first: int = 0) -> DataFrame:
+    """(slot, record) of all slots from `first` on: where a reader resumes. Earlier shards are not opened."""
+    return _contents(spark, found, first).mapInArrow(_read(found, first), "slot bigint, record binary")
 
 
 def digests(spark: SparkSession, found: Manifest) -> DataFrame:
     """What lies in the shards: slot, shard, offset, sequence (its number before the permutation), n_tokens, sha256."""
-    order, kind = Permutation(found.n, found.key), np.dtype(f"<u{found.width}")
+    order, kind, read = Permutation(found.n, found.key), np.dtype(f"<u{found.width}"), _read(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in read(batches):
             raw = b.column(1).to_pylist()
             used = [int((np.frombuffer(r, kind) != found.pad).sum()) for r in raw]
             numbers = order.indexes(b.column(0).to_numpy()) if len(b) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int64()), pa.array(used, pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw])], ["slot", "sequence", "n_tokens", "sha256"])
 
-    got = records(spark, found).mapInArrow(run, "slot bigint, sequence bigint, n_tokens bigint, sha256 string")
+    got = _contents(spark, found).mapInArrow(run, "slot bigint, sequence bigint, n_tokens bigint, sha256 string")
     return got.select("slot", F.expr(f"slot div {found.rows_per_shard}").alias("shard"), (F.col("slot") % found.rows_per_shard * found.stride).alias("offset"), "sequence", "n_tokens", "sha256")

@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from hetspark.llm import bpe, shards
+from hetspark.llm import bpe, queries, shards
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,16 @@ def test_empty(spark, make, tmp_path):
 def test_ids_out_of_range(spark):
     with pytest.raises(Exception, match="width 2"):
         shards.short_ids(spark.createDataFrame([([70000],)], "ids array<int>")).collect()
+
+
+def test_the_query_writes_token_ids(spark, monkeypatch):
+    kept, digests = [], shards.digests
+    monkeypatch.setattr(shards, "digests", lambda s, found: kept.append(found) or digests(s, found))
+    assert queries.op10_token_shards(spark, SF).count() == kept[0].n
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    end, pad = kept[0].end, kept[0].pad
+    assert kept[0].width == 2 and min(end, pad) >= known.n_vocab and end != pad
+    ids = np.frombuffer(whole(spark, kept[0]), "<u2")
+    got = Counter(tuple(x.tolist()) for x in np.split(ids[ids != pad], np.flatnonzero(ids[ids != pad] == end) + 1)[:-1])
+    assert got == Counter((*known.encode_ordinary(r.text or ""), end) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
