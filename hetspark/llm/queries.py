@@ -30,7 +30,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.fit(docs)).drop("text")
+    return lm.score_tokens(docs, *lm.fit_tokens(docs))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
