@@ -259,6 +259,40 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return docs.mapInArrow(run, T.StructType([*(f for f in schema if f.name != bytes_col), T.StructField(bytes_col, T.BinaryType())]) if bytes_col else schema)
 
 
+def vocabulary_size(ranks_path: str) -> int:
+    """One more than the largest id."""
+    with open(ranks_path, "rb") as f:
+        return 1 + max(int(line.split()[1]) for line in f)
+
+
+def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
+    """docs with the binary out_col in place of the text: its ids, as encode() gives them, as little-endian numbers of
+    width 2. Two ids are left for marks; a vocabulary that leaves none is an error.
+
+    Defined cases: null and empty texts give no bytes. Very long texts are encoded whole. Other columns pass through; a
+    column that is already called out_col is replaced.
+    """
+    if vocabulary_size(ranks_path) > 65534:
+        raise ValueError("ids of width 2 and two marks lie between 0 and 65535")
+    with open(ranks_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(loaded(shared.value), pattern)
+        for batch in batches:
+            rest = [i for i, n in enumerate(batch.schema.names) if n not in (text_col, out_col)]
+            for at in range(0, len(batch), 256):
+                rows = batch.slice(at, 256)
+                texts = [t or "" for t in rows.column(rows.schema.names.index(text_col)).to_pylist()]
+                for a, b in slices(texts):
+                    ids, counts = encoder.encode(texts[a:b])
+                    ends = np.r_[0, np.cumsum(counts * 2)].astype(np.int32)
+                    made = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
+                    yield pa.RecordBatch.from_arrays([*(rows.column(i).slice(a, b - a) for i in rest), made], [*(rows.schema.names[i] for i in rest), out_col])
+
+    return docs.mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name not in (text_col, out_col)] + [T.StructField(out_col, T.BinaryType())]))
+
+
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """df with bytes_col: the bytes that the ids stand for (null or no ids: empty; an unknown id is an error)."""
     with open(ranks_path, "rb") as f:

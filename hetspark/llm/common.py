@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hetspark.functions.checkpoints import settled, use_checkpoints
 from hetspark.operators.components import least_reachable
 
-__all__ = ["WORD", "least_reachable", "salt_of", "settled", "use_checkpoints"]
+__all__ = ["WORD", "columns_of", "free_prefix", "least_reachable", "salt_of", "salts_for", "settled", "use_checkpoints"]
 
 #: A word: what stands between ASCII white space (a Java and Python pattern).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,3 +17,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 def salt_of(*cols: Column, salts: int) -> Column:
     """A number below salts that depends on the values alone, so that recomputed tasks give the same."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+
+
+def salts_for(df: DataFrame) -> int:
+    """Into how many parts a hot key is cut: as many as a shuffle has, so that it reaches all of a cluster's tasks."""
+    return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def columns_of(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of df, whatever signs stand in their names, but those called so (in any case)."""
+    less = {b.lower() for b in but}
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in less]
+
+
+def free_prefix(df: DataFrame, start: str = "__") -> str:
+    """A prefix that no column of df has, so that names which begin with it can't clash."""
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    return start

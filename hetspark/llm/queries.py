@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from hetspark.llm import bpe, chat, dedup, license, lm, mixing, quality, shards, simhash, urls
 
 
+#: The public vocabulary of op3, op5 and op10.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,8 +33,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score_tokens(docs, *lm.fit_tokens(docs))
+    tokens, size = lm.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    return lm.score(tokens, lm.fit(tokens, size))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, size = shards.bpe_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids, size = shards.bpe_ids(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     found = shards.materialise(ids, width=2, end=size, pad=size + 1)
     return shards.digests(spark, found)
 

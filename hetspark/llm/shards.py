@@ -98,30 +98,13 @@ def short_ids(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
 
 
 def bpe_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> tuple[DataFrame, int]:
-    """(tokens binary, ids of the vocabulary): each text's BPE ids, as bpe.encode() gives them, as little-endian numbers
-    of width 2. Encoded once, in one pass, into a table under the checkpoint folder, from which all later jobs read."""
+    """(tokens binary, ids of the vocabulary): each text's BPE ids of width 2. Encoded once, in one pass, into a
+    compressed table under the checkpoint folder, from which all later jobs read."""
     spark = docs.sparkSession
-    with open(ranks_path, "rb") as f:
-        raw = f.read()
-    size = 1 + max(int(line.split()[1]) for line in raw.splitlines())
-    if size > 65534:
-        raise ValueError("ids of width 2, an end and a padding lie between 0 and 65535")
-    shared = spark.sparkContext.broadcast(raw)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.Encoder(bpe.loaded(shared.value), pattern)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                texts = [t or "" for t in batch.column(0).slice(at, 256).to_pylist()]
-                for a, b in bpe.slices(texts):
-                    ids, counts = encoder.encode(texts[a:b])
-                    ends = np.r_[0, np.cumsum(counts * 2)].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])], ["tokens"])
-
     use_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/ids-{uuid.uuid4().hex}"
-    docs.select(text_col).mapInArrow(run, "tokens binary").write.parquet(folder)
-    return spark.read.schema("tokens binary").parquet(folder), size
+    bpe.packed_ids(docs.select(F.col(text_col).alias("text")), ranks_path, pattern).write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema("tokens binary").parquet(folder), bpe.vocabulary_size(ranks_path)
 
 
 def materialise(tokens: DataFrame, folder: str | None = None, seq_len: int = 1024, width: int = 1, end: int = 0xFF, pad: int = 0xFE, key: int = 20, rows_per_shard: int = 16384) -> Manifest:
