@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hetspark.llm.common import columns_of, free_prefix
+
 #: Least words, most percent of words in repeated 3-word windows, least share of words in content lines.
 LEAST_WORDS, MOST_REPEATED, LEAST_CONTENT = 50, 50, 0.5
 #: At most so many labelled documents of each class fit the model: those with the smallest hashes of their ids.
 SAMPLE = 1500
-#: For fitting, line sequences are cut into runs of so many lines.
-RUN = 64
+#: For fitting, a document gives so many lines at most, and line sequences are cut into runs of so many.
+LINES, RUN = 4096, 64
 SYMBOLS = b"#*$%&|<>"
 CHARS = 1_000_000
 
@@ -131,68 +133,131 @@ class LineModel:
         return out[::-1] if len(features) else []
 
 
-def fit_lines(runs: list[tuple[np.ndarray, int]], rounds: int = 250, decay: float = 1e-3) -> LineModel:
-    """Maximum conditional likelihood by forward-backward sums over padded runs of lines, and Adam steps.
+def line_odds(features: np.ndarray, state: np.ndarray, rounds: int = 12, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression of each line's state on its features, both states of equal weight in all
+    (Newton steps)."""
+    share = min(max(state.mean(), 1e-9), 1 - 1e-9)
+    even = np.where(state == 1, 0.5 / share, 0.5 / (1 - share)) / len(state)
+    w = np.zeros(features.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+        slope = features.T @ (features * (even * p * (1 - p))[:, None]) + decay * np.eye(len(w))
+        w -= np.linalg.solve(slope, features.T @ (even * (p - state)) + decay * w)
+    return w
+
 
-    Each run comes with one state, which holds for all of its lines: documents are labelled, lines are not.
+def imputed(states: np.ndarray, odds: np.ndarray, words: np.ndarray, good: int) -> np.ndarray:
+    """States of the lines of one labelled document, as near to the given ones as its label allows.
+
+    A good document is content throughout. In a bad one content has less than LEAST_CONTENT of the words: lines turn to
+    boilerplate, those of the least odds of content first, until that holds.
     """
-    n, longest, width = len(runs), max(len(f) for f, _ in runs), len(FEATURES)
-    x, y, here = np.zeros((n, longest, width)), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-    for i, (f, state) in enumerate(runs):
-        x[i, : len(f)], y[i, : len(f)], here[i, : len(f)] = f, state, True
-    share = np.array([state for _, state in runs]).mean()
-    weight = np.where(np.array([state for _, state in runs]) == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    weight = weight / weight.sum()
-    w = np.zeros(2 * width + 4)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    lse = lambda z, axis: (top := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - top).sum(axis))
+    if good:
+        return np.ones(len(states), np.int64)
+    out, held, most = states.copy(), (words * states).sum(), LEAST_CONTENT * words.sum()
+    for i in np.argsort(odds, kind="stable"):
+        if held < most:
+            break
+        if out[i]:
+            out[i], held = 0, held - words[i]
+    return out
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([np.logaddexp(a[..., 0], b[..., 0]), np.logaddexp(a[..., 1], b[..., 1])], -1)
+
+
+def _gradient(x: np.ndarray, y: np.ndarray, here: np.ndarray, weight: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of -log p(y | x) by emit and move, summed over padded runs (runs x lines), by forward and backward sums."""
+    longest, e = x.shape[1], x @ emit.T
+    alpha, beta = np.empty_like(e), np.zeros_like(e)
+    alpha[:, 0] = e[:, 0]
+    for t in range(1, longest):
+        before = alpha[:, t - 1]
+        alpha[:, t] = np.where(here[:, t, None], _both(before[:, :1] + move[0], before[:, 1:] + move[1]) + e[:, t], before)
+    for t in range(longest - 2, -1, -1):
+        after = e[:, t + 1] + beta[:, t + 1]
+        beta[:, t] = np.where(here[:, t + 1, None], _both(after[:, :1] + move[:, 0], after[:, 1:] + move[:, 1]), 0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    off = (np.exp(alpha + beta - z[:, None, None]) - np.eye(2)[y]) * here[..., None]
+    steps = np.exp(alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
+    steps -= np.eye(2)[y[:, :-1]][..., None] * np.eye(2)[y[:, 1:]][:, :, None, :]
+    return np.einsum("ntk,ntf,n->kf", off, x, weight), np.einsum("ntij,nt->ij", steps, here[:, 1:] * weight[:, None])
+
+
+def fit_chain(runs: list[tuple[np.ndarray, np.ndarray, float]], start: LineModel, rounds: int = 60, decay: float = 1e-4, rate: float = 0.05) -> LineModel:
+    """Maximum conditional likelihood of runs (features, states, weight of each run), by Adam steps from start. Runs of
+    like length are padded and summed together."""
+    width, groups = len(FEATURES), []
+    whole = sum(w * len(s) for _, s, w in runs)
+    for low, high in ((0, 4), (4, 12), (12, 28), (28, RUN)):
+        part = [r for r in runs if low < len(r[1]) <= high]
+        if part:
+            n, longest = len(part), max(len(s) for _, s, _ in part)
+            x, y, here = np.zeros((n, longest, width)), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
+            for i, (f, s, _) in enumerate(part):
+                x[i, : len(s)], y[i, : len(s)], here[i, : len(s)] = f, s, True
+            groups.append((x, y, here, np.array([w for _, _, w in part]) / whole))
+    v = np.r_[start.emit.ravel(), start.move.ravel()]
+    first, second = np.zeros_like(v), np.zeros_like(v)
     for step in range(1, rounds + 1):
-        emit, move = w[: 2 * width].reshape(2, width), w[2 * width :].reshape(2, 2)
-        e = x @ emit.T
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.where(here[:, t, None], lse(alpha[:, t - 1, :, None] + move, 1) + e[:, t], alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            beta[:, t] = np.where(here[:, t + 1, None], lse(move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        z = lse(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * here[..., None]
-        want = np.eye(2)[y] * here[..., None]
-        g_emit = np.einsum("ntk,ntf,n->kf", p - want, x, weight)
-        g_move = np.zeros((2, 2))
-        for t in range(1, longest):
-            both = np.exp(alpha[:, t - 1, :, None] + move + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-            g_move += ((both - want[:, t - 1, :, None] * want[:, t, None, :]) * (here[:, t] * weight)[:, None, None]).sum(0)
-        g = np.r_[g_emit.ravel(), g_move.ravel()] + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return LineModel(w[: 2 * width].reshape(2, width), w[2 * width :].reshape(2, 2))
+        emit, move = v[: 2 * width].reshape(2, width), v[2 * width :].reshape(2, 2)
+        got = [_gradient(*g, emit, move) for g in groups]
+        g = np.r_[sum(a for a, _ in got).ravel(), sum(b for _, b in got).ravel()] + decay * v
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        v = v - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return LineModel(v[: 2 * width].reshape(2, width), v[2 * width :].reshape(2, 2))
+
+
+def fit_lines(docs: list[tuple[np.ndarray, int]], turns: int = 2) -> LineModel:
+    """A chain from documents (features of their lines, label of the document), whose lines' states are not known.
+
+    Labels bound the states (imputed()): the first guess comes from each line alone; then a chain is fitted to the
+    states and labels the lines anew, `turns` times. So a bad document's prose lines count as content and changes of
+    state are seen, as far as its label leaves room. Documents of both labels weigh the same in all.
+    """
+    every, of = np.concatenate([f for f, _ in docs]), np.repeat([q for _, q in docs], [len(f) for f, _ in docs])
+    w = line_odds(every, of)
+    good = of.mean()
+    model = LineModel(np.stack([np.zeros(len(w)), w]), np.zeros((2, 2)))
+    for _ in range(turns):
+        runs, steps = [], np.ones((2, 2))
+        for f, q in docs:
+            words = np.rint(np.expm1(f[:, FEATURES.index("words")] * 5))
+            states = imputed(np.array(model.viterbi(f)), f @ (model.emit[1] - model.emit[0]), words, q)
+            np.add.at(steps, (states[:-1], states[1:]), 1)
+            runs += [(f[a : a + RUN], states[a : a + RUN], 0.5 / good if q else 0.5 / (1 - good)) for a in range(0, len(f), RUN)]
+        if not model.move.any():
+            model.move = np.log(steps / steps.sum(1, keepdims=True))
+        model = fit_chain(runs, model)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> LineModel | None:
     """A model of lines from documents labelled by quality (0 or 1); None if a class has no lines.
 
-    Of each class the `sample` documents with the smallest hashes of their ids are used, whole. Ids with contradicting
-    or null labels are left out. Features are made on the executors; only they come to the driver.
+    Of each class the `sample` documents with the smallest hashes of their ids are used. Ids with contradicting or null
+    labels are left out. Features are made on the executors; only those of at most LINES lines of a document, the
+    first ones, come to the driver (fitting alone has this bound).
+
+    Defined cases: null texts have no lines; documents that several rows have the id of all count; other columns are
+    ignored, whatever their names; empty tables give None.
     """
-    clear = labels.groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("__id is not null and q = r and q in (0, 1)")
-    parts = [clear.where(F.col("q") == q).orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", "q") for q in (0, 1)]
+    clear = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("q")).groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("r"), F.count_if(F.col("q").isNull()).alias("none")).where("id is not null and q = r and none = 0 and q in (0, 1)")
+    parts = [clear.where(F.col("q") == q).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "q") for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * sample rows, hence the broadcast
-    found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").select("q", "text")
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("q", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                f = read_lines([text]).features.astype(np.float32)
+                f = read_lines([text]).features[:LINES].astype(np.float32)
                 if len(f):
                     yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([f.tobytes()], pa.binary())], ["q", "f"])
 
     rows = found.select(F.col("q").cast("int"), "text").mapInArrow(features, "q int, f binary").collect()
-    runs = []
-    for q, raw in sorted((r.q, bytes(r.f)) for r in rows):
-        f = np.frombuffer(raw, np.float32).reshape(-1, len(FEATURES)).astype(float)
-        runs += [(f[at : at + RUN], q) for at in range(0, len(f), RUN)]
-    return fit_lines(runs) if {q for _, q in runs} == {0, 1} else None
+    known = [(np.frombuffer(raw, np.float32).reshape(-1, len(FEATURES)).astype(float), q) for q, raw in sorted((r.q, bytes(r.f)) for r in rows)]
+    return fit_lines(known) if {q for _, q in known} == {0, 1} else None
 
 
 def judge_texts(texts: list[str], model: LineModel | None) -> list[np.ndarray]:
@@ -210,6 +275,12 @@ def judge_texts(texts: list[str], model: LineModel | None) -> list[np.ndarray]:
     return [*got.counts.T, failed, share, ~failed & (share >= LEAST_CONTENT)]
 
 
+def keep(docs: DataFrame, model: LineModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with all columns as they are."""
+    name = free_prefix(docs) + "quality"
+    return judge(docs, model, text_col, name).where(F.col(name)["kept"]).select(*columns_of(docs))
+
+
 def judge(docs: DataFrame, model: LineModel | None, text_col: str = "text", out_col: str = "quality") -> DataFrame:
     """docs with the struct column out_col (SCHEMA): five counts, base_failed, content_share and kept.
 
@@ -217,15 +288,16 @@ def judge(docs: DataFrame, model: LineModel | None, text_col: str = "text", out_
     many words in repeated windows) or if less than half of the words stand in lines that the model's best state
     sequence marks as content.
 
-    Defined cases: null and empty texts have no words and fail. Without a model every line is content. Other columns
-    pass through; a column already called out_col is replaced. Repeated rows are judged alike.
+    Defined cases: null and empty texts have no words and fail. Very long texts are judged whole, one at a time. Without
+    a model every line is content. Other columns pass through, whatever their names; a column already called out_col
+    (in any case) is replaced. Repeated rows are judged alike. An empty table gives an empty result.
     """
-    schema = T.StructType([f for f in docs.schema.fields if f.name != out_col] + [T.StructField(out_col, SCHEMA)])
+    schema = T.StructType([f for f in docs.schema.fields if f.name.lower() != out_col.lower()] + [T.StructField(out_col, SCHEMA)])
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [i for i, n in enumerate(batch.schema.names) if n != out_col]
+            rest = [i for i, n in enumerate(batch.schema.names) if n.lower() != out_col.lower()]
             texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
             at = 0
             while at < len(texts):
