@@ -15,7 +15,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the counts or the line model reject. Labelled documents among docs fit the model."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, model, out_col="__quality").where("__quality.kept").drop("__quality")
+    return quality.keep(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
