@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 from hetspark.llm import dedup
 
 ROWS = [(1, "a b", "s"), (2, "a b", "t"), (3, None, "s"), (4, "", None), (5, "A b", "s"), (None, "z", "s"), (None, "q", "s"), (7, "z", "s"), (8, "x" * 300_000, "s"), (9, "x" * 300_000, "s"), (10, "é\n", "s"), (10, "é\n", "s")]
@@ -19,6 +22,28 @@ def test_dropping(make):
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 2, 4, 5, 7, 9, 10]
 
 
+def test_clashing_names_and_string_ids(make):
+    df = make(ROWS)
+    for name in ("__id", "__digest", "__none", "id", "kept", "text_sha256"):
+        df = df.withColumn(name, df["n_chars"].isNull().cast("int") + 4)
+    out = dedup.drop_copies(df)
+    assert out.columns == df.columns and {r["__digest"] for r in out.collect()} == {5} and out.count() == 7
+    ids = make([(1, "same", "~"), (2, "same", None), (3, "same", "b"), (4, "lone", None), (5, "lone", None)]).drop("doc_id").withColumnRenamed("source", "doc_id")
+    assert sorted((r.doc_id or "", r.text) for r in dedup.drop_copies(ids).collect()) == [("", "lone"), ("~", "same")]
+
+
+def test_against_brute_force(make):
+    r = random.Random(2)
+    rows = [(r.choice([None, *range(40)]), r.choice([None, "", "a", "A", "a ", "é", "b" * 1000]), "s") for _ in range(300)]
+    got = sorted(((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in dedup.exact_groups(make(rows)).collect()), key=str)
+    want = []
+    for i, t, _ in rows:
+        same = [j for j, u, _ in rows if (u or "") == (t or "")]
+        top = max((j for j in same if j is not None), default=None)
+        want.append((i, top, len(same), i == top, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
 def test_empty(make):
     assert dedup.exact_groups(make([])).count() == 0 and dedup.drop_copies(make([])).count() == 0
 

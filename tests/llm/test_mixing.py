@@ -61,3 +61,18 @@ def test_odd_rows(make):
 def test_native(make):
     plan = mixing.mix(make(corpus()[:10]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names(make):
+    rows = corpus()[:300]
+    df = make(rows)
+    plain = {r.doc_id: r.mix_copies for r in mixing.mix(df).collect()}
+    for name in ("mix_target", "__mix_block", "__mix_rank", "__copy", "__block", "__mix_size", "block", "start", "words"):
+        df = df.withColumn(name, df["doc_id"] + 5)
+    df = df.withColumn("MIX_SIZE", df["doc_id"] + 6)
+    out = mixing.mix(df)
+    assert out.columns == [c for c in df.columns if c.lower() not in mixing.OUT] + list(mixing.OUT)
+    assert {r.doc_id: r.mix_copies for r in out.collect()} == plain and all(r["__mix_rank"] == r.doc_id + 5 for r in out.collect())
+    again = mixing.repeated(df)
+    assert again.columns == df.columns and all(r.MIX_SIZE == r.doc_id + 6 and r["__copy"] == r.mix_target == r.doc_id + 5 for r in again.collect())
+    assert Counter(r.doc_id for r in again.collect()) == Counter({k: v for k, v in plain.items() if v})

@@ -49,16 +49,27 @@ def clustered(seed, n, spread):
     return sorted(out)
 
 
+@pytest.mark.parametrize("cut", [None, simhash.Cut(5, 2), simhash.Cut(6, 3)])
 @pytest.mark.parametrize("spread", [2, 4, 8])
-def test_links_connect_what_all_pairs_connect(spark, spread):
+def test_links_connect_what_all_pairs_connect(spark, spread, cut):
     fps = clustered(spread, 900, spread)
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp bigint")
     at = {f: i for i, f in enumerate(fps)}
-    pairs = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df).collect()]
+    pairs = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df, cut=cut).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
     assert components(len(fps), [(at[a], at[b]) for a, b in pairs]) == brute(fps)
 
 
+def test_cuts_follow_the_number_of_fingerprints():
+    found = [simhash.cut_for(n) for n in (0, 10**6, 10**8, 10**10, 10**13)]
+    assert found == [simhash.Cut(3, 1)] * 2 + [simhash.Cut(5, 2)] + [simhash.Cut(6, 3)] * 2
+    r = random.Random(0)
+    for cut in set(found):
+        for _ in range(500):
+            x = sum(1 << b for b in r.sample(range(64), 4))
+            assert any(sum((x >> s & ((1 << w) - 1)).bit_count() for s, w, _ in choice) <= 1 for choice in cut.choices())
+
+
 def test_spanning_links_of_dense_groups():
     fps = clustered(9, 600, 6)
     a, b = simhash.spanning_links(np.array(fps, np.uint64))
@@ -99,6 +110,17 @@ def test_odd_tables(make):
     assert sorted((x.doc_id or -1, x.component_id or -1) for x in out) == [(-1, -1), (-1, 4), (4, 4)]
 
 
+def test_one_row_of_each_component_stays(make):
+    rows = [(None, "a b", "s"), (None, "A b", "s"), (7, "a B", "s"), (7, "a b", "t"), (None, "only null", "s"), (None, "only null", "s"), (3, "x y z w v", "s"), (3, "x y z w v", "s"), (3, "other words here", "s")]
+    df = make(rows)
+    for name in ("__kept", "__id", "__key", "fp", "label", "key"):
+        df = df.withColumnRenamed(df.columns[-1], name) if name == "__kept" else df.withColumn(name, df["doc_id"] * 0 + 9)
+    out = simhash.drop_near_copies(df)
+    got = [(r.doc_id, r.text.lower()) for r in out.collect()]
+    assert out.columns == df.columns and sorted(got, key=str) == sorted([(7, "a b"), (None, "only null"), (3, "x y z w v"), (3, "other words here")], key=str)
+    assert {r["__id"] for r in out.where("doc_id is not null").collect()} == {9}
+
+
 def test_reachable_on_chains(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (5000, 4000), (5000, 4500)]
     got = {r.node: r.label for r in least_reachable(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
