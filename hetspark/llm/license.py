@@ -29,12 +29,22 @@ NOTICES = (
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
     ("This is free and unencumbered software released into the public domain", "unlicense"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "bsd"),
+    ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "agpl"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "epl-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0", "bsl-1.0"),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "zlib"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "cc-by-nd"),
+    ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License", "gfdl"),
 )
 
-#: Diagonals this near to each other are one place; a notice needs this share of its word pairs there.
+#: Diagonals this near to each other are one place; a notice needs this share of its words there.
 NEAR, COVERED = 3, 0.7
-#: A diagonal of a notice counts with this share of the notice's word pairs, and two of them at least.
-SHARE = 0.2
 
 
 def template_pairs(phrases: tuple = PHRASES, notices: tuple = NOTICES) -> list[tuple]:
@@ -43,6 +53,8 @@ def template_pairs(phrases: tuple = PHRASES, notices: tuple = NOTICES) -> list[t
     for number, (text, label) in enumerate([*phrases, *notices]):
         words = re.findall(WORD, text.lower())
         exact, pairs = number < len(phrases), len(words) - 1
+        if pairs < 1:
+            raise ValueError(f"a phrase or notice has two words at least: {text!r}")
         need = pairs if exact else max(2, -(-pairs // 5))
         out += [(words[i], words[i + 1], i, number, label, exact, pairs, need) for i in range(pairs)]
     return out
@@ -84,25 +96,28 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     """Places of templates: row, id, n_words, template, label, exact, start, end (words), score; one row without a
     template for each input row.
 
-    Votes are counted by diagonal (position in the text less position in the template). Strong diagonals of a notice
-    that are NEAR each other are merged: a missing or added word shifts a diagonal. A place stands if the word pairs
-    found there are COVERED of the template's, and it is not over twice as long. A phrase needs all of its pairs on one
-    diagonal. All of this is inside one text: rows are dealt once, by row.
+    Votes are counted by diagonal (position in the text less position in the template). A missing or added word shifts
+    a diagonal, so those of a notice that are NEAR each other are merged, single votes too; they count if a fifth of
+    the notice's pairs, and two, vote within NEAR. A place stands if the pairs found there hold COVERED of the
+    template's words (the score), and it is not over twice as long. A phrase needs all of its pairs on one diagonal. All
+    of this is inside one text: rows are dealt once, by row.
     """
     keys = ["row", "id", "n_words", "template", "label", "exact", "pairs"]
     one = votes(docs, template_pairs(phrases, notices), id_col, text_col).repartition("row")
+    order = W.Window.partitionBy("row", "template").orderBy("diagonal")
+    places = F.collect_set("place")
     diagonals = (
         one.groupBy(*keys, "need", (F.col("pos") - F.col("place")).alias("diagonal"))
-        .agg(F.count("place").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("place").alias("places"))
-        .where("template is null or n >= need")
-    )
-    order = W.Window.partitionBy("row", "template").orderBy("diagonal")
+        .agg(F.count("place").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.concat(places, F.transform(places, lambda x: x + 1)).alias("words"))
+        .withColumn("near", F.when(F.col("exact"), F.col("n")).otherwise(F.sum("n").over(order.rangeBetween(-NEAR, NEAR))))
+        .where("template is null or near >= need")
+    )
     apart = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR), F.lit(True))
     return (
         diagonals.withColumn("apart", apart.cast("int"))
         .withColumn("place", F.sum("apart").over(order))
         .groupBy(*keys, "place")
-        .agg(F.min("low").alias("start"), (F.max("high") + 2).alias("end"), (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.col("pairs")).alias("score"))
+        .agg(F.min("low").alias("start"), (F.max("high") + 2).alias("end"), (F.size(F.array_distinct(F.flatten(F.collect_list("words")))) / (F.col("pairs") + 1)).alias("score"))
         .where(F.col("template").isNull() | (F.col("score") >= COVERED) & (F.col("end") - F.col("start") <= 2 * (F.col("pairs") + 1)))
         .select("row", "id", "n_words", "template", "label", "exact", "start", "end", "score")
     )
@@ -114,7 +129,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     base_labels are those of phrases; labels those of phrases and notices: distinct, sorted, joined by commas (empty
     if none). score is the largest covered share of the places found, 0 without one.
 
-    Defined cases: null and empty texts have no words. Null ids, repeated rows and repeated ids each give a row. Other
+    Defined cases: null and empty texts have no words. Very long texts are read whole. Null ids, repeated rows and repeated ids each give a row. Other
     columns are ignored. An empty table gives an empty result.
     """
     base = F.col("exact") & F.col("template").isNotNull()
@@ -139,15 +154,17 @@ def scan_sql() -> str:
             SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM documents
         ), grams AS (SELECT row, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT row, w, unnest(range(1, len(w))) AS i FROM texts)
         ), diagonals AS (
-            SELECT row, template, label, exact, pairs, pos - place AS diagonal, min(pos) AS low, max(pos) AS high, list(DISTINCT place) AS places
-            FROM grams JOIN pairs USING (a, b) GROUP BY row, template, label, exact, pairs, need, diagonal HAVING count(*) >= need
+            SELECT row, template, label, exact, pairs, need, pos - place AS diagonal, count(*) AS n, min(pos) AS low, max(pos) AS high, list(DISTINCT place) AS places
+            FROM grams JOIN pairs USING (a, b) GROUP BY row, template, label, exact, pairs, need, diagonal
+        ), strong AS (
+            SELECT * FROM diagonals QUALIFY CASE WHEN exact THEN n ELSE sum(n) OVER (PARTITION BY row, template ORDER BY diagonal RANGE BETWEEN {NEAR} PRECEDING AND {NEAR} FOLLOWING) END >= need
         ), marked AS (
-            SELECT *, CASE WHEN coalesce(exact OR diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS apart FROM diagonals
+            SELECT *, CASE WHEN coalesce(exact OR diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS apart FROM strong
         ), numbered AS (SELECT *, sum(apart) OVER (PARTITION BY row, template ORDER BY diagonal) AS spot FROM marked
         ), places AS (
-            SELECT row, label, exact, min(low) AS "start", len(list_distinct(flatten(list(places)))) / pairs AS score
+            SELECT row, label, exact, min(low) AS "start", len(list_distinct(flatten(list(places || list_transform(places, lambda x: x + 1))))) / (pairs + 1) AS score
             FROM numbered GROUP BY row, template, label, exact, pairs, spot
-            HAVING len(list_distinct(flatten(list(places)))) / pairs >= {COVERED} AND max(high) + 2 - min(low) <= 2 * (pairs + 1)
+            HAVING len(list_distinct(flatten(list(places || list_transform(places, lambda x: x + 1))))) / (pairs + 1) >= {COVERED} AND max(high) + 2 - min(low) <= 2 * (pairs + 1)
         ), found AS (
             SELECT row, count(*) FILTER (exact) AS n_base, min("start") FILTER (exact) AS first_word, max("start") FILTER (exact) AS last_word,
                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score

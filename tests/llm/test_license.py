@@ -38,7 +38,20 @@ def test_notices_with_changes(make, text):
     assert one(make, text).labels == "apache-2.0"
 
 
-@pytest.mark.parametrize("text", ["the apache came under the bridge version 2", "licensed under the", "license version", "2.0 version license apache the under licensed"])
+@pytest.mark.parametrize(("text", "label"), [
+    ("Licensed under Apache License, Version 2.0", "apache-2.0"), ("Licensed under the Apache License 2.0", "apache-2.0"), ("Released under MIT license", "mit"), ("Licensed under CC BY-NC 3.0", "cc-by,cc-by-nc"),
+    ("Distributed under the Boost Software License 1.0", "bsl-1.0"), ("under the of the " * 400 + "Released under MIT license", "mit"),
+])
+def test_short_notices_with_one_word_missing_or_changed(make, text, label):
+    assert one(make, text).labels == label
+
+
+def test_phrases_of_one_word_are_refused():
+    with pytest.raises(ValueError, match="two words"):
+        license.template_pairs(phrases=(("a", "one"),))
+
+
+@pytest.mark.parametrize("text", ["the apache came under the bridge version 2", "licensed under the", "license version", "2.0 version license apache the under licensed", "under the " * 50, "the license of the software and the version of the work"])
 def test_what_is_no_notice(make, text):
     r = one(make, text)
     assert r.labels == "" and r.score == 0
