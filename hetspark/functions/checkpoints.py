@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Have checkpoint() write to spark.checkpoint.dir; a folder of our own only where that is unset (as in tests)."""
+    """Have checkpoint() write to spark.checkpoint.dir. Where that is unset, a local master (as in tests) gets a folder of
+    its own; a cluster, whose machines would not share one, is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -20,8 +20,12 @@ def canonical(seq: Column) -> Column:
     return F.least(seq, reverse_complement(seq))
 
 
+#: Bases that two bits each fit a long.
+LONGEST = 31
+
+
 def encode(seq: Column) -> Column:
-    """Two bits a base (a 0, c 1, g 2, t 3), first base highest, in a long: up to 31 bases."""
+    """Two bits a base (a 0, c 1, g 2, t 3), first base highest, in a long: up to LONGEST bases."""
     return F.conv(F.translate(seq, "acgt", "0123"), 4, 10).cast("bigint")
 
 
@@ -29,6 +33,15 @@ def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "acgt")
 
 
+def code_of(kmer: Column, k: int) -> Column:
+    """What stands for a k-mer in joins: its long, or the string itself where k is over LONGEST. Both sort alike."""
+    return encode(kmer) if k <= LONGEST else kmer
+
+
+def kmer_of(code: Column, k: int) -> Column:
+    return decode(code, k) if k <= LONGEST else code
+
+
 def n_of(letter: str, text: Column) -> Column:
     """How often one letter stands in a text."""
     return F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))

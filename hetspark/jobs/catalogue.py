@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hetspark.functions import sequences as S
+from hetspark.functions.checkpoints import use_checkpoints
 from hetspark.operators import cluster, fit, kmers, pairs, report
-from hetspark.sources import reads
+from hetspark.sources import binary, reads, tables
 from hetspark.streaming.kmers import count_available
 
 #: Parameters of the registered queries.
-K, LEAST = 21, 2
+K, LEAST, LONG_K, RAREST = 21, 2, 40, 3
 DISTANCE, NOISE, COV = 2, 20, 7.0
 LOW, HIGH = 3, 20
 
@@ -28,6 +30,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.from_documents(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -110,23 +118,41 @@ def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _kept(spark, sf_dir)
-    wanted = _reads(spark, sf_dir).where(F.length("seq") >= K).select(F.substring("seq", 1, K).alias("kmer")).distinct()
-    return kmers.lookup(kept, wanted)
+    return kmers.lookup(kept, kmers.occurrences(_reads(spark, sf_dir), K).distinct())
+
+
+def _lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _kept(spark, sf_dir)
+    return kmers.lower_bound(kept, kmers.occurrences(_reads(spark, sf_dir), K).distinct())
 
 
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.families(pairs.one_away(_kept(spark, sf_dir), K))
-    return found.select(S.decode(F.col("code"), K).alias("kmer"), S.decode(F.col("family"), K).alias("family"))
+    found = pairs.families(pairs.linked(_kept(spark, sf_dir), K))
+    return found.select(S.kmer_of(F.col("code"), K).alias("kmer"), S.kmer_of(F.col("family"), K).alias("family"))
 
 
 def _family_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _kept(spark, sf_dir)
-    return pairs.family_coverage(pairs.families(pairs.one_away(kept, K)), kept)
+    return pairs.family_coverage(pairs.families(pairs.linked(kept, K)), kept, K)
+
+
+def _long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique pairs of k-mers that do not fit a long."""
+    kept = kmers.trim(kmers.count_kmers(_reads(spark, sf_dir), LONG_K), LEAST)
+    return pairs.named(pairs.unique_pairs(pairs.countable(pairs.one_away(kmers.symmetric(kept), LONG_K))), LONG_K)
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All neighbours of the k-mers of the largest counts."""
+    kept = kmers.symmetric(_kept(spark, sf_dir))
+    most = kept.agg(F.max("count").alias("most"))
+    asked = kept.join(F.broadcast(most), F.col("count") * 2 >= F.col("most")).select("kmer")  # one row is broadcast
+    return pairs.neighbours_of(_pairs(spark, sf_dir), asked, K)
 
 
 def _two_away(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pairs.two_away(_kept(spark, sf_dir), K)
-    return found.select(S.decode(F.col("code_a"), K).alias("kmer_a"), S.decode(F.col("code_b"), K).alias("kmer_b"), "count_a", "count_b")
+    return found.select(S.kmer_of(F.col("code_a"), K).alias("kmer_a"), S.kmer_of(F.col("code_b"), K).alias("kmer_b"), "count_a", "count_b")
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +161,7 @@ def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.degrees(_pairs(spark, sf_dir)).select(S.decode(F.col("code"), K).alias("kmer"), "degree")
+    return pairs.degrees(_pairs(spark, sf_dir)).select(S.kmer_of(F.col("code"), K).alias("kmer"), "degree")
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +177,25 @@ def _grid_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
     best, tested = fit.grid_search(labelled, _genomic(labelled), LOW, HIGH)
-    return tested.withColumn("best", F.lit(best))
+    return _rounded(tested.withColumn("best", F.lit(best)), "cov", "centrality", "best")
+
+
+def _read_again(write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame], table: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that writes a table and reads it back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        write(table(spark, sf_dir), path)
+        return read(spark, path)
+
+    return query
+
+
+def _binary_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}.hist"
+    binary.write_histogram(_spectrum(spark, sf_dir), path, K, 2, 6)
+    binary.register(spark)
+    return spark.read.format("khist").load(path.removeprefix("file:"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +215,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spectrum_instances": lambda s, d: kmers.toggle(_spectrum(s, d), instances=True),
     "kmer_ordinals": lambda s, d: kmers.ordinals(_kept(s, d)),
     "kmer_lookup": _lookup,
-    "kmer_codes": lambda s, d: pairs.coded(_kept(s, d)),
+    "kmer_codes": lambda s, d: pairs.coded(_kept(s, d), K),
     "kmer_prefix_buckets": lambda s, d: kmers.prefix_buckets(_kept(s, d)),
+    "kmer_lower_bound": _lower_bound,
     "read_profile": _profile,
     "base_composition": lambda s, d: kmers.base_composition(_kept(s, d)),
     "homopolymer_kmers": lambda s, d: kmers.count_kmers(_reads(s, d).withColumn("seq", S.collapse_runs(F.col("seq"))), K),
@@ -181,6 +226,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unique_pairs": lambda s, d: pairs.named(_unique(s, d), K),
     "pair_histogram": lambda s, d: pairs.written(pairs.histogram(_unique(s, d))),
     "self_revcomp_pairs": lambda s, d: pairs.named(pairs.self_paired(_pairs(s, d), K), K),
+    "neighbours_of_frequent": _neighbours,
+    "pairs_by_composition": lambda s, d: pairs.of_base_composition(_unique(s, d), K, RAREST),
+    "unique_pairs_long": _long_pairs,
     "hamming2_pairs": _two_away,
     "kmer_families": _families,
     "family_coverage": _family_coverage,
@@ -212,13 +260,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "axis_limits": lambda s, d: report.axis_limits(_bins(s, d), COV),
     "plot_boxes": lambda s, d: _rounded(report.boxes(_bins(s, d), COV), "left", "right"),
     "plot_boxes_log": lambda s, d: _rounded(report.boxes(_bins(s, d), COV, log=True), "left", "right"),
-    "expected_structures": lambda s, d: _rounded(report.expected_structures(_net_table(s, d), COV), "x"),
+    "rounded_cells": lambda s, d: fit.rounded_cells(_labelled(s, d), COV),
+    "expected_structures": lambda s, d: _rounded(report.expected_structures(_net_table(s, d), COV, 0.03), "x"),
     "size_labels": lambda s, d: report.size_labels(_net_table(s, d)),
     "legend_ticks": lambda s, d: report.legend_ticks(_bins(s, d)),
     "legend_ticks_log": lambda s, d: report.legend_ticks(_bins(s, d), log=True),
     "iso_grid_lines": lambda s, d: _rounded(report.iso_lines(_bins(s, d), COV), "x", "y"),
     "five_numbers": lambda s, d: report.five_numbers(_labelled(s, d)),
+    "peak_coverages": lambda s, d: _rounded(report.peak_coverages(_labelled(s, d)), "least", "lower", "middle", "mean", "upper", "most"),
+    "peak_map": lambda s, d: _rounded(report.peak_map(_labelled(s, d)), "x"),
+    "square_bins": lambda s, d: report.square_bins(_bins(s, d)),
+    "square_bins_relative": lambda s, d: report.square_bins(report.pair_columns(_bins(s, d)), "minor_variant_rel_cov", "total_pair_cov"),
+    "plot_title": lambda s, d: report.titles(cluster.totals(_labelled(s, d)), "lines", COV),
     "report_wide": _report,
+    "stored_bins": _read_again(tables.write_bins, tables.read_bins, _bins),
+    "stored_sizes": _read_again(tables.write_sizes, tables.read_sizes, _net_table),
+    "stored_histogram": _read_again(tables.write_histogram, tables.read_histogram, _user_histogram),
+    "stored_annotated": _read_again(tables.write_annotated, tables.read_annotated, lambda s, d: report.annotated(*_peaks(s, d)[:2]).where("covA >= covB")),
+    "stored_centralities": _read_again(tables.write_centralities, tables.read_centralities, lambda s, d: _grid_level(s, d).withColumn("level", F.lit(1))),
+    "stored_report": _read_again(tables.write_report, tables.read_report, _report),
+    "stored_pair_text": _read_again(tables.write_pair_text, tables.read_pair_text, lambda s, d: pairs.extract(_unique(s, d), _annotated(s, d), K)),
+    "stored_spectrum": _binary_histogram,
     "streaming_kmer_count": _stream,
 }
 
@@ -227,24 +289,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _RC = "translate(reverse({0}), 'acgt', 'tgca')"
 _READS = "reads AS (SELECT doc_id AS read_id, regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seq FROM documents)"
-_OCC = f"{_READS}, occ AS (SELECT read_id, i AS spot, substr(seq, i, {K}) AS kmer FROM (SELECT read_id, seq, unnest(range(1, len(seq) - {K} + 2)) AS i FROM reads))"
-_COUNTED = f"{_OCC}, counted AS (SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS count FROM occ GROUP BY 1)"
-_KEPT = f"{_COUNTED}, kept AS (SELECT kmer, least(count, 32767) AS count FROM counted WHERE count >= {LEAST})"
-_BOTH = f"{_KEPT}, sym AS (SELECT kmer, count FROM kept UNION ALL SELECT {_RC.format('kmer')}, count FROM kept WHERE {_RC.format('kmer')} <> kmer)"
 
 
-def _masked(table: str, condition: str = "true") -> str:
-    return f"""masks AS (SELECT kmer, count, p AS pos, substr(kmer, p + 1, 1) AS base, substr(kmer, 1, p) || '.' || substr(kmer, p + 2) AS mask FROM {table}, (SELECT unnest(range(0, {K})) AS p)),
-    pairs AS (SELECT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b, a.pos::INT AS pos FROM masks a JOIN masks b ON a.mask = b.mask AND a.base < b.base WHERE {condition})"""
+def _occ(k: int) -> str:
+    return f"{_READS}, occ AS (SELECT read_id, i AS spot, substr(seq, i, {k}) AS kmer FROM (SELECT read_id, seq, unnest(range(1, len(seq) - {k} + 2)) AS i FROM reads))"
 
 
-_PAIRS = f"{_BOTH}, {_masked('sym', 'a.count + b.count <= 1000')}"
-_UNIQUE = f"""{_PAIRS}, degree AS (SELECT kmer, count(*) AS degree FROM (SELECT kmer_a AS kmer FROM pairs UNION ALL SELECT kmer_b FROM pairs) GROUP BY kmer),
+def _kept_sql(k: int) -> str:
+    counted = f"{_occ(k)}, counted AS (SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS count FROM occ GROUP BY 1)"
+    return f"{counted}, kept AS (SELECT kmer, least(count, 32767) AS count FROM counted WHERE count >= {LEAST})"
+
+
+def _both_sql(k: int) -> str:
+    return f"{_kept_sql(k)}, sym AS (SELECT kmer, count FROM kept UNION ALL SELECT {_RC.format('kmer')}, count FROM kept WHERE {_RC.format('kmer')} <> kmer)"
+
+
+_OCC, _KEPT, _BOTH = _occ(K), _kept_sql(K), _both_sql(K)
+_COUNTED = _KEPT.rpartition(", kept AS")[0]
+
+
+def _masked(table: str, condition: str = "true", k: int = K) -> str:
+    """k-mers of one mask meet in a list; pairs are made inside it."""
+    return f"""masks AS (SELECT p AS pos, substr(kmer, 1, p) || '.' || substr(kmer, p + 2) AS mask, list({{'kmer': kmer, 'count': count}} ORDER BY kmer) AS members
+        FROM {table}, (SELECT unnest(range(0, {k})) AS p) GROUP BY 1, 2 HAVING count(*) > 1),
+    firsts AS (SELECT pos, members, unnest(range(1, len(members) + 1)) AS i FROM masks),
+    couples AS (SELECT pos, members[i] AS a, unnest(members[i + 1:]) AS b FROM firsts),
+    pairs AS (SELECT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b, pos::INT AS pos FROM couples WHERE {condition})"""
+
+
+def _unique_sql(k: int) -> str:
+    return f"""{_both_sql(k)}, {_masked('sym', 'a.count + b.count <= 1000', k)}, degree AS (SELECT kmer, count(*) AS degree FROM (SELECT kmer_a AS kmer FROM pairs UNION ALL SELECT kmer_b FROM pairs) GROUP BY kmer),
     uniq AS (SELECT pairs.* FROM pairs JOIN degree a ON a.kmer = kmer_a AND a.degree = 1 JOIN degree b ON b.kmer = kmer_b AND b.degree = 1)"""
+
+
+_PAIRS = f"{_BOTH}, {_masked('sym', 'a.count + b.count <= 1000')}"
+_UNIQUE = _unique_sql(K)
 _HISTOGRAM = f"{_UNIQUE}, histogram AS (SELECT least(count_a, count_b)::INT AS covB, greatest(count_a, count_b)::INT AS covA, count(*) AS freq FROM uniq GROUP BY 1, 2)"
-_FAMILIES = f"""{_KEPT}, {_masked('kept')}, links AS (SELECT kmer_a AS a, kmer_b AS b FROM pairs UNION SELECT kmer_b, kmer_a FROM pairs),
-    reach(kmer, other) AS (SELECT a, a FROM links UNION SELECT reach.kmer, links.b FROM reach JOIN links ON reach.other = links.a),
-    families AS (SELECT kmer, min(other) AS family FROM reach GROUP BY kmer)"""
+_TWO_AWAY = f"""parts AS (SELECT kmer, count, [substr(kmer, 1, 5), substr(kmer, 6, 5), substr(kmer, 11, 5), substr(kmer, 16)] AS q FROM kept),
+        filed AS (SELECT kmer, count, i * 10 + j AS choice, q[i] || '/' || q[j] AS key FROM parts, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j) WHERE i < j),
+        twos AS (SELECT DISTINCT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b FROM filed a JOIN filed b ON a.choice = b.choice AND a.key = b.key AND a.kmer < b.kmer WHERE hamming(a.kmer, b.kmer) = 2)"""
+_FAMILIES = f"""{_KEPT}, {_masked('kept')}, {_TWO_AWAY}, near AS (SELECT kmer_a, kmer_b FROM pairs UNION ALL SELECT kmer_a, kmer_b FROM twos),
+    links AS MATERIALIZED (SELECT kmer_a AS a, kmer_b AS b FROM near UNION ALL SELECT kmer_b, kmer_a FROM near),
+    reach(kmer, family) USING KEY (kmer) AS (SELECT a, min(least(a, b)) FROM links GROUP BY a
+        UNION SELECT links.a, min(reach.family) FROM reach JOIN links ON reach.kmer = links.b JOIN recurring.reach AS r ON r.kmer = links.a GROUP BY links.a, r.family HAVING min(reach.family) < r.family),
+    families AS (SELECT kmer, family FROM reach)"""
 _SPECTRUM = f"{_COUNTED}, spectrum AS (SELECT count AS multiplicity, count(*) AS n_unique, sum(count)::BIGINT AS n_instances FROM counted GROUP BY 1)"
 
 _BINS = "bins AS (SELECT least(l_quantity::INT, p_size) AS covB, greatest(l_quantity::INT, p_size) AS covA, count(*) AS freq FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
@@ -327,6 +415,29 @@ def _wide() -> str:
     return f"WITH RECURSIVE {_PEAKS}, named AS (SELECT {_SHORT} AS label, size FROM shown) SELECT 'lines' AS dataset, any_value(total_kmers) AS total_kmers, any_value(errors) AS total_error_kmers, {columns} FROM totals LEFT JOIN named ON true"
 
 
+def _squares(x: str, y: str, n: int = 40) -> str:
+    at = lambda c: f"least(floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())::DOUBLE * {n})::INT, {n - 1})"
+    return f"WITH {_PLOT}, s AS (SELECT {at(x)} AS bin_x, {at(y)} AS bin_y, freq FROM p) SELECT bin_x, bin_y, sum(freq)::BIGINT AS freq FROM s GROUP BY 1, 2"
+
+
+def _grid_sql() -> str:
+    """Three grids, each around the whole part of the best of the one before, and half the last best."""
+    away = " + ".join(f"abs((mode_{x} - cells.cov * {x}) / cells.cov)" for x in "ab")
+    body, inside = _net("0").split(", covs AS ", 1)
+    inside = inside.split("inside AS", 1)[1]
+    out, covs = body, [f"(SELECT unnest([{', '.join(map(repr, fit.grid(0, LOW, HIGH)))}])::DOUBLE AS cov)"]
+    for start, end, step in fit.GRIDS[1:]:
+        first = f"(trunc(best) + {start}::DOUBLE)"
+        covs.append(f"(SELECT {first} + unnest(range(0, ceil((trunc(best) + {end}::DOUBLE - {first}) / {step}::DOUBLE)::INT)) * {step}::DOUBLE AS cov FROM best{{}})")
+    covs.append("(SELECT best / 2 AS cov FROM best{})")
+    for i, grid in enumerate(covs, 1):
+        part = f"inside{i} AS{inside}".replace("labelled l, covs", f"labelled l, covs{i}").replace("cells AS (", f"cells{i} AS (").replace("FROM inside GROUP", f"FROM inside{i} GROUP")
+        out += f", covs{i} AS {grid.format(i - 1)}, {part}, tested{i} AS (SELECT c.cov, coalesce(sum(({away}) * size) / sum(size), 1.0) AS centrality FROM covs{i} c LEFT JOIN cells{i} AS cells ON cells.cov = c.cov GROUP BY c.cov)"
+        out += f", best{i} AS (SELECT arg_min(cov, (centrality, cov)) AS best, min(centrality) AS least FROM tested{i})"
+    rows = " UNION ALL ".join(f"SELECT {min(i, 3)} AS level, cov, centrality FROM tested{i}" for i in range(1, 5))
+    return f"WITH RECURSIVE {out} SELECT level, round(cov, 6) AS cov, round(centrality, 6) AS centrality, (SELECT round(CASE WHEN best4.least < best3.least THEN best4.best ELSE best3.best END, 6) FROM best3, best4) AS best FROM ({rows})"
+
+
 SQL: dict[str, str] = {
     "kmer_count": f"WITH {_OCC} SELECT kmer, count(*) AS count FROM occ GROUP BY kmer",
     "kmer_canonical": f"WITH {_COUNTED} SELECT * FROM counted",
@@ -337,8 +448,10 @@ SQL: dict[str, str] = {
     "spectrum_rerange": f"WITH {_SPECTRUM} SELECT greatest(2, least(6, multiplicity)) AS multiplicity, sum(n_unique)::BIGINT AS n_unique, sum(n_instances)::BIGINT AS n_instances FROM spectrum GROUP BY 1",
     "spectrum_instances": f"WITH {_SPECTRUM} SELECT multiplicity AS value, n_instances AS n FROM spectrum",
     "kmer_ordinals": f"WITH {_KEPT} SELECT kmer, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept",
-    "kmer_lookup": f"""WITH {_KEPT}, placed AS (SELECT kmer, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept), wanted AS (SELECT DISTINCT substr(seq, 1, {K}) AS kmer FROM reads WHERE len(seq) >= {K})
+    "kmer_lookup": f"""WITH {_KEPT}, placed AS (SELECT kmer, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept), wanted AS (SELECT DISTINCT kmer FROM occ)
         SELECT w.kmer, coalesce(ordinal, -1) AS ordinal, coalesce(count, 0) AS count FROM wanted w LEFT JOIN placed p ON p.kmer = least(w.kmer, {_RC.format('w.kmer')})""",
+    "kmer_lower_bound": f"""WITH {_KEPT}, placed AS (SELECT kmer AS found, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept), wanted AS (SELECT DISTINCT kmer FROM occ)
+        SELECT kmer, coalesce(found = kmer, false) AS exact, coalesce(ordinal, (SELECT count(*) FROM kept)) AS ordinal, found, count FROM wanted ASOF LEFT JOIN placed ON placed.found >= wanted.kmer""",
     "kmer_codes": f"WITH {_KEPT} SELECT (list_sum(list_transform(range(1, {K + 1}), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1)::BIGINT << (2 * ({K} - i)))))::BIGINT AS code, count FROM kept",
     "kmer_prefix_buckets": f"WITH {_KEPT}, n AS (SELECT substr(kmer, 1, 4) AS prefix, count(*) AS n FROM kept GROUP BY 1) SELECT prefix, n, n = max(n) OVER () AS largest FROM n",
     "read_profile": f"WITH {_KEPT} SELECT read_id, count(*) AS n, string_agg(coalesce(count, 0)::VARCHAR, ',' ORDER BY spot) AS profile FROM occ LEFT JOIN kept ON kept.kmer = least(occ.kmer, {_RC.format('occ.kmer')}) GROUP BY read_id",
@@ -351,9 +464,11 @@ SQL: dict[str, str] = {
     "unique_pairs": f"WITH {_UNIQUE} SELECT * FROM uniq",
     "pair_histogram": f"WITH {_HISTOGRAM} SELECT * FROM histogram WHERE covB < 500",
     "self_revcomp_pairs": f"WITH {_PAIRS} SELECT * FROM pairs WHERE {_RC.format('kmer_a')} = kmer_b",
-    "hamming2_pairs": f"""WITH {_KEPT}, parts AS (SELECT kmer, count, [substr(kmer, 1, 5), substr(kmer, 6, 5), substr(kmer, 11, 5), substr(kmer, 16)] AS q FROM kept),
-        filed AS (SELECT kmer, count, i * 10 + j AS choice, q[i] || '/' || q[j] AS key FROM parts, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j) WHERE i < j)
-        SELECT DISTINCT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b FROM filed a JOIN filed b ON a.choice = b.choice AND a.key = b.key AND a.kmer < b.kmer WHERE hamming(a.kmer, b.kmer) = 2""",
+    "neighbours_of_frequent": f"""WITH {_PAIRS}, ends AS (SELECT kmer_a AS kmer, kmer_b AS other, count_a AS count, count_b AS other_count, pos FROM pairs UNION ALL SELECT kmer_b, kmer_a, count_b, count_a, pos FROM pairs)
+        SELECT * FROM ends WHERE count * 2 >= (SELECT max(count) FROM sym)""",
+    "pairs_by_composition": f"WITH {_UNIQUE} SELECT * FROM uniq WHERE least(" + ", ".join(f"{K} - len(replace(kmer_a, '{b}', ''))" for b in "acgt") + f") = {RAREST}",
+    "unique_pairs_long": f"WITH {_unique_sql(LONG_K)} SELECT * FROM uniq",
+    "hamming2_pairs": f"WITH {_KEPT}, {_TWO_AWAY} SELECT * FROM twos",
     "kmer_families": f"WITH RECURSIVE {_FAMILIES} SELECT * FROM families",
     "family_coverage": f"WITH RECURSIVE {_FAMILIES}, each AS (SELECT family, count(*) AS size, sum(count) AS total FROM families JOIN kept USING (kmer) GROUP BY family) SELECT size, count(*) AS n_families, sum(total)::BIGINT AS total_count FROM each GROUP BY size",
     "extract_pairs": f"""WITH {_HISTOGRAM}, named AS (SELECT covB, covA, greatest(1, round_even(covA / 2, 0))::INT || 'A' || greatest(1, round_even(covB / 2, 0))::INT || 'B' AS smudge FROM histogram),
@@ -377,6 +492,7 @@ SQL: dict[str, str] = {
     "centrality_theoretical_edge": _central("least(abs(mode_@ - cells.cov * (@ - 0.5::DOUBLE)), abs(cells.cov * (@ + 0.5::DOUBLE) - mode_@))"),
     "centrality_empirical_edge": _central("least(abs(max_@ - mode_@), abs(mode_@ - min_@))"),
     "coverage_grid_level1": _central("abs((mode_@ - cells.cov * @) / cells.cov)", ", ".join(map(repr, fit.grid(0, LOW, HIGH)))),
+    "coverage_grid_search": _grid_sql(),
     "cutoff_lower": f"""WITH {_EVENTS}, s AS (SELECT row_number() OVER w - 1 AS place, coalesce(lag(n) OVER w >= n, true) AND coalesce(n < lead(n) OVER w, true) AS low FROM h WINDOW w AS (ORDER BY value))
         SELECT greatest(10, round_even(min(place) * 1.25::DOUBLE, 0))::INT AS cutoff FROM s WHERE low""",
     "cutoff_upper": f"""WITH {_EVENTS}, s AS (SELECT row_number() OVER (ORDER BY value) - 2 AS place, value, n FROM h), t AS (SELECT place, sum(n) OVER (ORDER BY value) / sum(n) OVER () AS share FROM s WHERE place >= 0)
@@ -390,7 +506,10 @@ SQL: dict[str, str] = {
     "plot_boxes": _boxes("@"),
     "plot_boxes_log": _boxes("log10(@)"),
     "expected_structures": f"""WITH RECURSIVE {_NET_TABLE} SELECT {_SHORT} AS label, round(len(replace(structure, 'A', '')) / len(structure), 6) AS x, len(structure) * {COV}::DOUBLE AS y,
-        len(replace(structure, 'A', '')) * 2 = len(structure) AS right_aligned FROM found WHERE rel_size > 0.05""",
+        len(replace(structure, 'A', '')) * 2 = len(structure) AS right_aligned FROM found WHERE rel_size > 0.03""",
+    "rounded_cells": f"""WITH RECURSIVE {_LABELLED}, r AS (SELECT freq, greatest(round_even(covA / {COV}::DOUBLE, 0), 1)::INT AS a, covB FROM labelled WHERE smudge <> -1),
+        c AS (SELECT freq, a, b FROM r, (SELECT unnest(range(1, 9))::INT AS b) WHERE covB > CASE WHEN b = 1 THEN 0 ELSE {COV}::DOUBLE * (b - 0.5::DOUBLE) END AND covB < {COV}::DOUBLE * (b + 0.5::DOUBLE))
+        SELECT a, b, sum(freq)::BIGINT AS size FROM c WHERE a >= b AND a + b <= 16 GROUP BY a, b""",
     "size_labels": f"""WITH RECURSIVE {_NET_TABLE}, s AS (SELECT {_SHORT} AS label, round_even(rel_size, 2) AS size FROM found) SELECT label, size, printf('%.2f', size) || '   ' || rpad(label, 6, ' ') AS line FROM s WHERE size >= 0.03""",
     "legend_ticks": _legend("top * x[tick + 1] / 6"),
     "legend_ticks_log": _legend("pow(10::DOUBLE, log10(top) * x[tick + 1] / 6)"),
@@ -399,6 +518,21 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'error', 0, round(x, 6), round((low - 1) / x, 6) FROM xs""",
     "five_numbers": f"""WITH RECURSIVE {_LABELLED} SELECT smudge, count(*) AS n_bins, min(freq) AS least, quantile_disc(freq, 0.25) AS lower, quantile_disc(freq, 0.5) AS middle, quantile_disc(freq, 0.75) AS upper, max(freq) AS most
         FROM labelled WHERE smudge <> -1 GROUP BY smudge""",
+    "peak_coverages": f"""WITH RECURSIVE {_LABELLED}, m AS (SELECT smudge, unnest(['total_pair_cov', 'minor_variant_rel_cov']) AS measure, unnest([(covA + covB)::DOUBLE, covB / (covA + covB)]) AS x FROM labelled WHERE smudge <> -1)
+        SELECT smudge, measure, round(min(x), 6) AS least, round(quantile_cont(x, 0.25), 6) AS lower, round(quantile_cont(x, 0.5), 6) AS middle, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.75), 6) AS upper, round(max(x), 6) AS most
+        FROM m GROUP BY smudge, measure""",
+    "peak_map": f"WITH RECURSIVE {_LABELLED} SELECT round(covB / (covA + covB), 6) AS x, covA + covB AS y, smudge, CASE WHEN smudge > 0 THEN (smudge - 1) % 8 + 1 ELSE 0 END::INT AS colour FROM labelled WHERE smudge <> -1",
+    "square_bins": _squares("covA", "covB"),
+    "square_bins_relative": _squares("minor_variant_rel_cov", "total_pair_cov"),
+    "plot_title": f"WITH RECURSIVE {_TOTALS} SELECT printf('%s%s1n = %.0f%serr = %.2f%%', 'lines', chr(10), {COV}::DOUBLE, chr(10), 100 * errors / total_kmers) AS title FROM totals",
     "report_wide": _wide(),
+    "stored_bins": f"WITH {_BINS} SELECT * FROM bins WHERE covB < 500 AND freq > 0",
+    "stored_sizes": f"WITH RECURSIVE {_NET_TABLE} SELECT * FROM found",
+    "stored_histogram": f"WITH {_EVENTS} SELECT value, n FROM h",
+    "stored_annotated": f"WITH RECURSIVE {_PEAKS} SELECT covB, covA, freq, a::VARCHAR || 'A' || b::VARCHAR || 'B' AS smudge FROM labelled JOIN shown USING (smudge)",
+    "stored_centralities": f"SELECT round(cov, 4) AS cov, round(centrality, 4) AS centrality FROM ({_central('abs((mode_@ - cells.cov * @) / cells.cov)', ', '.join(map(repr, fit.grid(0, LOW, HIGH))))})",
+    "stored_report": _wide(),
+    "stored_spectrum": f"WITH {_SPECTRUM} SELECT greatest(2, least(6, multiplicity)) AS multiplicity, sum(n_unique)::BIGINT AS n_unique, sum(n_instances)::BIGINT AS n_instances FROM spectrum GROUP BY 1",
     "streaming_kmer_count": f"WITH {_COUNTED} SELECT * FROM counted",
 }
+SQL["stored_pair_text"] = SQL["extract_pairs"]

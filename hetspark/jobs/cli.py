@@ -27,7 +27,8 @@ def _kmers(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def _unique(spark: SparkSession, args: argparse.Namespace, least: int) -> tuple[DataFrame, int]:
     table = kmers.trim(_kmers(spark, args), least)
-    k = args.k or table.select(F.length("kmer").alias("k")).first().k
+    first = None if args.k else table.select(F.length("kmer").alias("k")).first()
+    k = args.k or (first.k if first else S.LONGEST)  # an empty table has no pairs, whatever k
     return pairs.unique_pairs(pairs.countable(pairs.one_away(kmers.symmetric(table), k))), k
 
 
@@ -41,7 +42,7 @@ def pair_table(spark: SparkSession, args: argparse.Namespace) -> None:
     found, _ = _unique(spark, args, args.L)
     tables.write_bins(pairs.histogram(found), f"{args.o}.smu", mode="overwrite")
     if args.json_report:
-        tables.write_json({"version": VERSION, "commandline_arguments": " ".join(sys.argv[1:]), "input_parameters": {k: v for k, v in vars(args).items() if k != "run"}}, f"{args.o}_report.json")
+        tables.write_json(spark, {"version": VERSION, "commandline_arguments": " ".join(sys.argv[1:]), "input_parameters": {k: v for k, v in vars(args).items() if k != "run"}}, f"{args.o}_report.json")
 
 
 def peaks(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -81,9 +82,9 @@ def everything(spark: SparkSession, args: argparse.Namespace) -> None:
     sizes = report.structure_table(net.select(S.structure(F.col("a"), F.col("b")).alias("structure"), "size"), total.genomic) if net else whole
     _plots(bins, sizes, cov, args.o, args.ylim)
     if args.json_report:
-        source = tables.read_json_if_newer(f"{os.path.basename(args.infile).split('.')[0]}_report.json", args.infile)
+        source = tables.read_json_if_newer(spark, f"{os.path.basename(args.infile).split('.')[0]}_report.json", args.infile)
         rows = [(r.structure, r["size"], r.rel_size) for r in sizes.orderBy(F.desc("size")).collect()]
-        tables.write_json(report.json_report(rows, cov, total.error_fraction, {"infile": args.infile, "distance": args.distance}, VERSION, " ".join(sys.argv[1:]), source), f"{args.o}_report.json")
+        tables.write_json(spark, report.json_report(rows, cov, total.error_fraction, {"infile": args.infile, "distance": args.distance}, VERSION, " ".join(sys.argv[1:]), source), f"{args.o}_report.json")
 
 
 def extract(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -36,7 +36,7 @@ def local_aggregation(bins: DataFrame, distance: int, noise_filter: int, mask_er
     order; with mask_errors bins of covB < least covB + distance are roots labelled ERROR, and what climbs to them is
     too. Roots are found by pointer jumping, each round settled: so many rounds as the longest ascent has bits.
     """
-    bins = bins.select("covB", "covA", "freq")
+    bins = settled(bins.select("covB", "covA", "freq"))
     lowest = bins.agg(F.min("covB").alias("low"))
     rows = bins.join(lowest, F.col("covB") >= F.col("low")).withColumn("error", F.lit(mask_errors) & (F.col("covB") < F.col("low") + distance)).drop("low")
     active = rows.where(F.col("freq") >= noise_filter)
@@ -57,7 +57,7 @@ def local_aggregation(bins: DataFrame, distance: int, noise_filter: int, mask_er
     numbered = W.Window.orderBy(F.desc("freq"), F.col("covA") + F.col("covB"), "covB")
     peaks = roots.where(~F.col("error")).select("up", F.row_number().over(numbered).alias("smudge")).unionByName(roots.where("error").select("up", F.lit(ERROR).alias("smudge")))
     labels = tree.join(peaks, "up").select("covB", "covA", "smudge")
-    return bins.join(labels, ["covB", "covA"], "left").select("covB", "covA", "freq", F.coalesce("smudge", F.lit(NOISE)).alias("smudge"))
+    return settled(bins.join(labels, ["covB", "covA"], "left").select("covB", "covA", "freq", F.coalesce("smudge", F.lit(NOISE)).alias("smudge")))
 
 
 def totals(labelled: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from hetspark.functions.checkpoints import settled
 
 
 def least_reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links(a long, b long): undirected. Returns (node, label): each linked node with the smallest node it reaches.
+    """links(a, b): undirected, longs or strings. Returns (node, label): each linked node with the smallest node it reaches.
 
     Alternates two steps until nothing changes: every node hands the least of its neighbours (or itself) to its larger
     neighbours, then to its smaller ones. The number of links never grows and paths shrink by a power each round, so

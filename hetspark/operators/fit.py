@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -45,6 +44,17 @@ def cells(labelled: DataFrame, covs: list[float], genomic: int, cutoff: float =
     )
 
 
+def rounded_cells(labelled: DataFrame, cov: float, cutoff: float = 0.0) -> DataFrame:
+    """(a, b, size): cells whose copies of A are covA / cov rounded half to even (0 as 1) and those of B lie in open
+    intervals; each with over `cutoff` of all pairs that are no errors."""
+    rows = labelled.where(F.col("smudge") != ERROR)
+    a = F.greatest(F.rint(F.col("covA") / F.lit(float(cov))), F.lit(1.0)).cast("int")
+    inside = rows.select("freq", a.alias("a"), copies(F.col("covB"), F.lit(float(cov)), MOST_MINOR).alias("b"))
+    each = inside.where((F.col("a") >= F.col("b")) & (F.col("a") + F.col("b") <= MOST_COPIES)).groupBy("a", "b").agg(F.sum("freq").alias("size"))
+    whole = rows.agg(F.sum("freq").cast("double").alias("whole"))  # one row
+    return each.join(F.broadcast(whole), F.col("size") > F.col("whole") * cutoff).select("a", "b", "size")
+
+
 def centrality(found: DataFrame, covs: list[float], centre: str = "mode", dist: str = "theoretical_center") -> DataFrame:
     """(cov, centrality): distances of cells' centres, weighted by size; 1 for a candidate without cells."""
 
@@ -65,7 +75,8 @@ def centrality(found: DataFrame, covs: list[float], centre: str = "mode", dist:
 
 def grid(level: int, low: float, high: float) -> list[float]:
     start, end, step = GRIDS[level]
-    return [float(c) for c in np.arange(int(low) + start, int(high) + end, step)]
+    first, n = int(low) + start, max(0, math.ceil((int(high) + end - (int(low) + start)) / step))
+    return [first + i * step for i in range(n)]
 
 
 def grid_search(labelled: DataFrame, genomic: int, low: float, high: float, cutoff: float = 0.0) -> tuple[float, DataFrame]:

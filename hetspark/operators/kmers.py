@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from hetspark.functions import sequences as S
+from hetspark.functions.checkpoints import settled
 from hetspark.schema import MAX_COUNT
 
 
-def windows(seq: Column, k: int) -> Column:
-    """Array of all k-mers of a sequence, in order (empty for shorter ones)."""
-    last = F.length(seq) - k + 1
-    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(seq, i, F.lit(k)))
+#: Letters that k-mers are cut from at a time.
+CHUNK = 256
+
+
+def chunks(seqs: DataFrame, k: int, *keep: str) -> DataFrame:
+    """(*keep, at, piece): a sequence in pieces that overlap by k - 1 letters; at is the place, from 0, of the first.
+
+    Each k-mer of seqs(seq, *keep) stands in one piece alone. Cutting takes time in proportion to the length. Sequences
+    of over a hundred pieces are dealt out again by piece, so that one long sequence keeps all tasks busy.
+    """
+    size = max(CHUNK, k)
+    cut = lambda df: df.select(*keep, F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0)).alias("parts"))
+    short = seqs.where(F.length("seq") <= 100 * size)
+    long = seqs.where(F.length("seq") > 100 * size)
+
+    def pieces(df: DataFrame) -> DataFrame:
+        more = F.transform("parts", lambda part, i: F.struct((i * size).alias("at"), part.alias("part"), F.coalesce(F.substring(F.get(F.col("parts"), i + 1), 1, k - 1), F.lit("")).alias("next")))
+        each = cut(df).select(*keep, F.explode(more).alias("p"))
+        return each.select(*keep, "p.at", F.concat("p.part", "p.next").alias("piece")).where(F.length("piece") >= k)
+
+    tasks = max(seqs.sparkSession.sparkContext.defaultParallelism, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces(short).unionByName(pieces(long).repartition(tasks))
 
 
 def occurrences(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer): every k-mer of every read. Letters other than acgt end a run, so no k-mer spans them."""
+    """(kmer): every k-mer of every read. Letters other than acgt end a run, so no k-mer spans them. Null sequences and
+    those shorter than k have none."""
     runs = reads.select(F.explode(F.split(F.lower("seq"), "[^acgt]+")).alias("seq")).where(F.length("seq") >= k)
-    starts = runs.select("seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("at"))
-    return starts.select(F.substring("seq", F.col("at"), F.lit(k)).alias("kmer"))
+    starts = _dealt(runs, k).select("piece", F.explode(F.sequence(F.lit(1), F.length("piece") - k + 1)).alias("at"))
+    return starts.select(F.substring("piece", F.col("at"), F.lit(k)).alias("kmer"))
+
+
+def _dealt(runs: DataFrame, k: int) -> DataFrame:
+    """chunks(), for streams without the second dealing, which a micro-batch has no use for."""
+    if not runs.isStreaming:
+        return chunks(runs, k)
+    size = max(CHUNK, k)
+    parts = runs.select(F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0)).alias("parts"))
+    more = F.transform("parts", lambda part, i: F.concat(part, F.coalesce(F.substring(F.get(F.col("parts"), i + 1), 1, k - 1), F.lit(""))))
+    return parts.select(F.explode(more).alias("piece")).where(F.length("piece") >= k)
 
 
 def count_kmers(reads: DataFrame, k: int, by_strand: bool = False) -> DataFrame:
@@ -63,17 +92,21 @@ def toggle(spectrum: DataFrame, instances: bool) -> DataFrame:
     return spectrum.select(F.col("multiplicity").alias("value"), F.col("n_instances" if instances else "n_unique").alias("n"))
 
 
-def ordinals(kmers: DataFrame, prefix: int = 2) -> DataFrame:
-    """kmers with ordinal, the place in sorted order, from 0.
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with ordinal, the place in the order of some columns, from 0. Rows are dealt by range, sorted where they are
+    and settled; a row's place is its place in its partition after the rows of the partitions before it."""
+    rows = settled(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a partition
+    before = W.Window.orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.select(*df.columns, (F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("ordinal"))
 
-    Places are counted within prefixes of a few bases; the sizes of all prefixes (4 to their length) give the starts.
-    """
-    head = F.substring("kmer", 1, prefix)
-    starts = kmers.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
-    before = W.Window.orderBy("head").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = starts.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = W.Window.partitionBy("head").orderBy("kmer")
-    return kmers.withColumn("head", head).join(starts, "head").select("kmer", "count", (F.col("start") + F.row_number().over(inside) - 1).alias("ordinal"))
+
+def ordinals(kmers: DataFrame) -> DataFrame:
+    """(kmer, count, ordinal): k-mers with their place in sorted order, from 0."""
+    return numbered(kmers.select("kmer", "count"), "kmer")
 
 
 def lookup(kmers: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -83,6 +116,20 @@ def lookup(kmers: DataFrame, wanted: DataFrame) -> DataFrame:
     return asked.join(found, "form", "left").select("kmer", F.coalesce("ordinal", F.lit(-1)).cast("bigint").alias("ordinal"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
+def lower_bound(kmers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(kmer) with (exact, ordinal, found, count): the first k-mer of the table that is not smaller, its place and
+    count, and whether it is the one asked for. Past the end: false, the table's size, null, null. wanted is distinct.
+
+    Table and questions are numbered together; a question's place less the questions before it is its ordinal.
+    """
+    both = kmers.select("kmer", F.lit(1).alias("side")).unionByName(wanted.select("kmer", F.lit(0).alias("side")))
+    placed = settled(numbered(both, "kmer", "side"))
+    asked = numbered(placed.where("side = 0").select("kmer", F.col("ordinal").alias("place")), "kmer")
+    asked = asked.select("kmer", (F.col("place") - F.col("ordinal")).alias("ordinal"))
+    table = ordinals(kmers).withColumnRenamed("kmer", "found")
+    return asked.join(table, "ordinal", "left").select("kmer", F.coalesce(F.col("found") == F.col("kmer"), F.lit(False)).alias("exact"), "ordinal", "found", "count")
+
+
 def prefix_buckets(kmers: DataFrame, bases: int = 4) -> DataFrame:
     """(prefix, n, largest): k-mers by leading bases; largest marks those of the greatest number."""
     n = kmers.groupBy(F.substring("kmer", 1, bases).alias("prefix")).agg(F.count("*").alias("n"))
@@ -90,16 +137,20 @@ def prefix_buckets(kmers: DataFrame, bases: int = 4) -> DataFrame:
     return n.join(most, F.col("n") == F.col("most"), "left").select("prefix", "n", F.col("most").isNotNull().alias("largest"))
 
 
-def profiles(reads: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
-    """(read_id, n, profile): counts of a read's k-mers along the read, 0 where a k-mer is not in the table.
+def profile_pieces(reads: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
+    """(read_id, at, counts): counts of a read's k-mers along the read, 0 where a k-mer is not in the table, for each
+    of its chunks(); at is the place of the first. Reads are expected over acgt alone. No row grows with a read."""
+    pieces = chunks(reads.where(F.length("seq") >= k).select("read_id", "seq"), k, "read_id")
+    at = pieces.select("read_id", "at", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - k + 1)).alias("i"))
+    form = at.select("read_id", "at", "i", S.canonical(F.substring("piece", F.col("i"), F.lit(k))).alias("kmer"))
+    counted = form.join(kmers, "kmer", "left").select("read_id", "at", "i", F.coalesce("count", F.lit(0)).alias("count"))
+    return counted.groupBy("read_id", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "count"))), lambda x: x["count"]).alias("counts"))
 
-    Reads are expected over acgt alone. Positions meet the table by k-mer and return to their read, which is as long as
-    its profile.
-    """
-    at = reads.where(F.length("seq") >= k).select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("at"))
-    form = at.select("read_id", "at", S.canonical(F.substring("seq", F.col("at"), F.lit(k))).alias("kmer"))
-    counted = form.join(kmers, "kmer", "left").select("read_id", "at", F.coalesce("count", F.lit(0)).alias("count"))
-    return counted.groupBy("read_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "count"))), lambda x: x["count"]).alias("profile"))
+
+def profiles(reads: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
+    """(read_id, n, profile): profile_pieces() of each read put together, an array as long as the read."""
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "counts"))), lambda x: x["counts"]))
+    return profile_pieces(reads, kmers, k).groupBy("read_id").agg(whole.alias("profile")).select("read_id", F.size("profile").cast("bigint").alias("n"), "profile")
 
 
 def base_composition(kmers: DataFrame) -> DataFrame:

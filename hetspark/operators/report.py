@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hetspark.functions import sequences as S
@@ -134,19 +134,44 @@ def five_numbers(labelled: DataFrame) -> DataFrame:
     return labelled.where(F.col("smudge") != ERROR).groupBy("smudge").agg(F.count("*").alias("n_bins"), F.min("freq").alias("least"), q(0.25).alias("lower"), q(0.5).alias("middle"), q(0.75).alias("upper"), F.max("freq").alias("most"))
 
 
-def colour_delay(n: int = 32, delay: int = 0) -> list[int]:
-    """Numbers of base colours along a ramp of n: the first one is repeated `delay` times before the others."""
-    return [0] * delay + [i for i in range(n - delay)]
+def peak_coverages(labelled: DataFrame) -> DataFrame:
+    """(smudge, measure, least, lower, middle, mean, upper, most): total and relative minor coverage over the bins of
+    each label; quantiles between two bins are interpolated."""
+    measures = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in ("total_pair_cov", "minor_variant_rel_cov"))))
+    rows = pair_columns(labelled.where(F.col("smudge") != ERROR)).select("smudge", measures.alias("m")).select("smudge", "m.*")
+    q = lambda p: F.percentile("x", F.lit(p))
+    return rows.groupBy("smudge", "measure").agg(F.min("x").alias("least"), q(0.25).alias("lower"), q(0.5).alias("middle"), F.avg("x").alias("mean"), q(0.75).alias("upper"), F.max("x").alias("most"))
 
 
-def nearest_step(number: float) -> int:
-    """Rounded (half to even) to thousands, hundreds or tens, by size."""
-    unit = 1000 if number > 1000 else 100 if number > 100 else 10
-    return round(number / unit) * unit
+def peak_map(labelled: DataFrame, colours: int = 8) -> DataFrame:
+    """(x, y, smudge, colour): a point for each bin, coloured by its label, in turn."""
+    rows = pair_columns(labelled.where(F.col("smudge") != ERROR))
+    colour = F.when(F.col("smudge") > 0, F.pmod(F.col("smudge") - 1, F.lit(colours)) + 1).otherwise(F.lit(0))
+    return rows.select(F.col("minor_variant_rel_cov").alias("x"), F.col("total_pair_cov").alias("y"), "smudge", colour.cast("int").alias("colour"))
 
 
-def titles(stem: str, cov: float, error_fraction: float) -> str:
-    return f"{stem}\n1n = {cov:.0f}\nerr = {error_fraction * 100:.2f}%"
+def square_bins(bins: DataFrame, x: str = "covA", y: str = "covB", n: int = 40) -> DataFrame:
+    """(bin_x, bin_y, freq): the histogram in n times n equal bins between the least and the largest values; the last
+    bins include these. Empty bins have no row."""
+    ends = bins.agg(*(f(c).cast("double").alias(f"{e}_{a}") for a, c in (("x", x), ("y", y)) for e, f in (("low", F.min), ("high", F.max))))
+
+    def at(c: str, a: str) -> Column:
+        span = F.when(F.col(f"high_{a}") > F.col(f"low_{a}"), F.col(f"high_{a}") - F.col(f"low_{a}")).otherwise(F.lit(1.0))
+        return F.least(F.floor((F.col(c) - F.col(f"low_{a}")) / span * n).cast("int"), F.lit(n - 1)).alias(f"bin_{a}")
+
+    rows = bins.join(F.broadcast(ends), F.col(x) >= F.col("low_x"))  # ends is one row
+    return rows.groupBy(at(x, "x"), at(y, "y")).agg(F.sum("freq").alias("freq"))
+
+
+def colour_ramp(spark: SparkSession, n: int = 32, delay: int = 0) -> DataFrame:
+    """(step, colour): numbers of base colours along a ramp of n: the first is repeated `delay` times before the
+    others."""
+    return spark.range(n).select(F.col("id").cast("int").alias("step"), F.greatest(F.col("id") - delay, F.lit(0)).cast("int").alias("colour"))
+
+
+def titles(totals: DataFrame, stem: str, cov: float) -> DataFrame:
+    """(title): name, coverage and error fraction of a plot of totals()."""
+    return totals.select(F.format_string("%s\n1n = %.0f\nerr = %.2f%%", F.lit(stem), F.lit(float(cov)), F.col("error_fraction") * 100).alias("title"))
 
 
 def json_report(table: list[tuple[str, int, float]], cov: float, error_fraction: float, parameters: dict, version: str, arguments: str = "", source: dict | None = None) -> dict:

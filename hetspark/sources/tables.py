@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hetspark import schema
+from hetspark.functions import files
 
 
 def read_bins(spark: SparkSession, path: str) -> DataFrame:
@@ -64,14 +64,40 @@ def write_pair_text(extracted: DataFrame, path: str, mode: str = "error") -> Non
     extracted.write.partitionBy("smudge").mode(mode).text(path)
 
 
-def write_json(data: dict, path: str) -> None:
-    with open(path, "w") as f:
-        f.write(json.dumps(data, indent=2) + "\n")
+def read_pair_text(spark: SparkSession, path: str) -> DataFrame:
+    """(smudge, line)."""
+    return spark.read.schema("line string, smudge string").text(path).select("smudge", "line")
 
 
-def read_json_if_newer(path: str, than: str) -> dict | None:
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A wide report; all columns but dataset are numbers."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.select("dataset", *(F.col(f"`{c}`").cast("bigint").alias(c) for c in rows.columns[1:]))
+
+
+def read_centralities(spark: SparkSession, path: str) -> DataFrame:
+    """cov, centrality without a header."""
+    return spark.read.csv(path, sep="\t", schema="cov double, centrality double")
+
+
+def write_sizes(sizes: DataFrame, path: str, mode: str = "error") -> None:
+    """structure, size, rel_size without a header, largest first."""
+    sizes.select("structure", "size", "rel_size").coalesce(1).sortWithinPartitions(F.desc("size"), "structure").write.csv(path, sep="\t", mode=mode)
+
+
+def write_histogram(histogram: DataFrame, path: str, mode: str = "error") -> None:
+    """(value, n) as lines of both, by value."""
+    lines = histogram.coalesce(1).sortWithinPartitions("value").select(F.concat_ws("\t", "value", "n").alias("value"))
+    lines.write.mode(mode).text(path)
+
+
+def write_json(spark: SparkSession, data: dict, path: str) -> None:
+    files.write_bytes(spark, path, (json.dumps(data, indent=2) + "\n").encode())
+
+
+def read_json_if_newer(spark: SparkSession, path: str, than: str) -> dict | None:
     """A report, unless it is missing or older than the file it should describe."""
-    if not os.path.exists(path) or not os.path.exists(than) or os.path.getmtime(path) < os.path.getmtime(than):
+    when, other = files.modified(spark, path), files.modified(spark, than)
+    if when is None or other is None or when < other:
         return None
-    with open(path) as f:
-        return json.load(f)
+    return json.loads(files.read_text(spark, path))

@@ -47,6 +47,69 @@ def test_worked_examples(spark, counts, want):
     assert histogram(spark, counts, 5)[0] == want
 
 
+def close_kmers(k, n, seed):
+    """k-mers of few families, so that long ones have neighbours too."""
+    r = random.Random(seed)
+    out = set()
+    for _ in range(n):
+        s = list("acgt" * 20)[:k] if r.random() < 0.5 else list("ttgac" * 20)[:k]
+        for _ in range(r.randint(0, 3)):
+            s[r.randrange(k)] = r.choice("acgt")
+        out.add("".join(s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k", [31, 32, 40, 63])
+def test_long_kmers(spark, k):
+    seqs = close_kmers(k, 250, k)
+    table = spark.createDataFrame([(s, 5) for s in seqs], KMERS)
+    for distance, found in ((1, pairs.one_away(table, k)), (2, pairs.two_away(table, k))):
+        got = {(x.kmer_a, x.kmer_b) for x in pairs.named(found, k).collect()}
+        assert got and got == {(a, b) for a, b in combinations(seqs, 2) if differing(a, b) == distance}
+    counts = {min(s, rc(s)): 3 + i % 9 for i, s in enumerate(seqs)}
+    assert histogram(spark, counts, k)[0] == slow_histogram(counts)
+    families = pairs.families(pairs.linked(table, k)).collect()
+    assert {x.code for x in families} == {x.code for x in pairs.degrees(pairs.linked(table, k)).collect()}
+    unique = histogram(spark, counts, k)[1]
+    asked = spark.createDataFrame([(seqs[0],)], "kmer string")
+    near = pairs.neighbours_of(pairs.one_away(table, k), asked, k).collect()
+    assert {x.other for x in near} == {s for s in seqs if differing(s, seqs[0]) == 1}
+    assert all(x.line.count("(") == 1 and len(x.line) == k + 4 for x in pairs.pair_text(unique, k).collect())
+
+
+@pytest.mark.parametrize("k", [5, 21, 300])
+def test_kmers_across_pieces(spark, monkeypatch, k):
+    r = random.Random(k)
+    seqs = ["".join(r.choices("acgt", k=n)) for n in (0, k - 1, k, k + 1, 255, 256, 257, 511, 512, 513, 1000, 30_000, 40_000)]
+    got = Counter()
+    for x in kmers.occurrences(spark.createDataFrame(list(enumerate(seqs)) + [(99, None)], "read_id bigint, seq string"), k).groupBy("kmer").count().collect():
+        got[x.kmer] = x["count"]
+    assert got == Counter(s[i : i + k] for s in seqs for i in range(len(s) - k + 1))
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id bigint, seq string")
+    table = kmers.trim(kmers.count_kmers(reads, k), 1)
+    counts = {x.kmer: x["count"] for x in table.collect()}
+    want = {i: [counts[min(s[j : j + k], rc(s[j : j + k]))] for j in range(len(s) - k + 1)] for i, s in enumerate(seqs) if len(s) >= k}
+    assert {x.read_id: x.profile for x in kmers.profiles(reads, table, k).collect()} == want
+
+
+def test_a_long_read_takes_linear_time(spark):
+    import time
+
+    seq = "".join(random.Random(1).choices("acgt", k=1_000_000))
+    began = time.time()
+    assert kmers.occurrences(spark.createDataFrame([(1, seq)], "read_id bigint, seq string"), 31).count() == len(seq) - 30
+    assert time.time() - began < 60
+
+
+def test_lower_bound_and_ordinals(spark):
+    table = spark.createDataFrame([(s, i + 1) for i, s in enumerate(["aac", "acg", "ccc", "gga"])], KMERS).repartition(3)
+    assert {(x.kmer, x.ordinal) for x in kmers.ordinals(table).collect()} == {("aac", 0), ("acg", 1), ("ccc", 2), ("gga", 3)}
+    wanted = spark.createDataFrame([("aaa",), ("acg",), ("act",), ("gga",), ("ttt",)], "kmer string")
+    got = {x.kmer: (x.exact, x.ordinal, x.found, x["count"]) for x in kmers.lower_bound(table, wanted).collect()}
+    assert got == {"aaa": (False, 0, "aac", 1), "acg": (True, 1, "acg", 2), "act": (False, 2, "ccc", 3), "gga": (True, 3, "gga", 4), "ttt": (False, 4, None, None)}
+    assert kmers.ordinals(table.limit(0)).count() == 0 and kmers.lower_bound(table.limit(0), wanted).count() == 5
+
+
 @pytest.mark.parametrize("k", [4, 5, 6])
 def test_against_all_pairs(spark, k):
     r = random.Random(k)
