@@ -15,7 +15,7 @@ from hetspark.sources import binary, reads, tables
 from hetspark.streaming.kmers import count_available
 
 #: Parameters of the registered queries.
-K, LEAST, LONG_K, RAREST = 21, 2, 40, 3
+K, LEAST, LONG_K, RAREST, OFTEN = 21, 2, 40, 1, 5
 DISTANCE, NOISE, COV = 2, 20, 7.0
 LOW, HIGH = 3, 20
 
@@ -86,6 +86,12 @@ def _peaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]
     return labelled, fit.label_peaks(labelled, COV, genomic), genomic
 
 
+def _proper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated bins of the structures that a file of them may hold."""
+    labelled, peaks, _ = _peaks(spark, sf_dir)
+    return report.annotated(labelled, peaks.where("a >= b and b > 0"))
+
+
 def _net_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
     genomic = _genomic(labelled)
@@ -143,10 +149,8 @@ def _long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All neighbours of the k-mers of the largest counts."""
-    kept = kmers.symmetric(_kept(spark, sf_dir))
-    most = kept.agg(F.max("count").alias("most"))
-    asked = kept.join(F.broadcast(most), F.col("count") * 2 >= F.col("most")).select("kmer")  # one row is broadcast
+    """All neighbours of the k-mers that occur OFTEN."""
+    asked = kmers.symmetric(_kept(spark, sf_dir)).where(F.col("count") >= OFTEN).select("kmer")
     return pairs.neighbours_of(_pairs(spark, sf_dir), asked, K)
 
 
@@ -276,7 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_bins": _read_again(tables.write_bins, tables.read_bins, _bins),
     "stored_sizes": _read_again(tables.write_sizes, tables.read_sizes, _net_table),
     "stored_histogram": _read_again(tables.write_histogram, tables.read_histogram, _user_histogram),
-    "stored_annotated": _read_again(tables.write_annotated, tables.read_annotated, lambda s, d: report.annotated(*_peaks(s, d)[:2]).where("covA >= covB")),
+    "stored_annotated": _read_again(tables.write_annotated, tables.read_annotated, _proper),
     "stored_centralities": _read_again(tables.write_centralities, tables.read_centralities, lambda s, d: _grid_level(s, d).withColumn("level", F.lit(1))),
     "stored_report": _read_again(tables.write_report, tables.read_report, _report),
     "stored_pair_text": _read_again(tables.write_pair_text, tables.read_pair_text, lambda s, d: pairs.extract(_unique(s, d), _annotated(s, d), K)),
@@ -465,7 +469,7 @@ SQL: dict[str, str] = {
     "pair_histogram": f"WITH {_HISTOGRAM} SELECT * FROM histogram WHERE covB < 500",
     "self_revcomp_pairs": f"WITH {_PAIRS} SELECT * FROM pairs WHERE {_RC.format('kmer_a')} = kmer_b",
     "neighbours_of_frequent": f"""WITH {_PAIRS}, ends AS (SELECT kmer_a AS kmer, kmer_b AS other, count_a AS count, count_b AS other_count, pos FROM pairs UNION ALL SELECT kmer_b, kmer_a, count_b, count_a, pos FROM pairs)
-        SELECT * FROM ends WHERE count * 2 >= (SELECT max(count) FROM sym)""",
+        SELECT * FROM ends WHERE count >= {OFTEN}""",
     "pairs_by_composition": f"WITH {_UNIQUE} SELECT * FROM uniq WHERE least(" + ", ".join(f"{K} - len(replace(kmer_a, '{b}', ''))" for b in "acgt") + f") = {RAREST}",
     "unique_pairs_long": f"WITH {_unique_sql(LONG_K)} SELECT * FROM uniq",
     "hamming2_pairs": f"WITH {_KEPT}, {_TWO_AWAY} SELECT * FROM twos",
@@ -529,7 +533,7 @@ SQL: dict[str, str] = {
     "stored_bins": f"WITH {_BINS} SELECT * FROM bins WHERE covB < 500 AND freq > 0",
     "stored_sizes": f"WITH RECURSIVE {_NET_TABLE} SELECT * FROM found",
     "stored_histogram": f"WITH {_EVENTS} SELECT value, n FROM h",
-    "stored_annotated": f"WITH RECURSIVE {_PEAKS} SELECT covB, covA, freq, a::VARCHAR || 'A' || b::VARCHAR || 'B' AS smudge FROM labelled JOIN shown USING (smudge)",
+    "stored_annotated": f"WITH RECURSIVE {_PEAKS} SELECT covB, covA, freq, a::VARCHAR || 'A' || b::VARCHAR || 'B' AS smudge FROM labelled JOIN shown USING (smudge) WHERE a >= b AND b > 0",
     "stored_centralities": f"SELECT round(cov, 4) AS cov, round(centrality, 4) AS centrality FROM ({_central('abs((mode_@ - cells.cov * @) / cells.cov)', ', '.join(map(repr, fit.grid(0, LOW, HIGH))))})",
     "stored_report": _wide(),
     "stored_spectrum": f"WITH {_SPECTRUM} SELECT greatest(2, least(6, multiplicity)) AS multiplicity, sum(n_unique)::BIGINT AS n_unique, sum(n_instances)::BIGINT AS n_instances FROM spectrum GROUP BY 1",
