@@ -107,12 +107,14 @@ def test_lower_cutoff(spark, heights, want):
     assert fit.cutoff_lower(spark.createDataFrame(list(enumerate(heights, 1)), "value bigint, n bigint")).first().cutoff == want
 
 
-def test_small_things():
+def test_small_things(spark):
     assert [fit.rounded_up(x) for x in (137, 7, 1000, 1)] == [140, 7, 1000, 1.0]
     assert report.report_labels()[:4] == ["AB", "AAB", "AAAB", "AABB"] and "3A2B" in report.report_labels() and len(report.report_labels()) == 256
-    assert [report.nearest_step(x) for x in (1499, 149, 15, 2500)] == [1000, 100, 20, 2000]
-    assert report.colour_delay(32, 16)[:17] == [0] * 17 and len(report.colour_delay()) == 32
-    assert report.titles("x", 18.4, 0.1234) == "x\n1n = 18\nerr = 12.34%"
+    ramp = lambda *how: [r.colour for r in report.colour_ramp(spark, *how).orderBy("step").collect()]
+    assert ramp(32, 16)[:18] == [0] * 17 + [1] and ramp() == list(range(32))
+    tops = spark.createDataFrame([(1, 2, 6000)], "covB int, covA int, freq bigint")
+    assert [r.value for r in report.legend_ticks(tops).orderBy("tick").collect()] == [0, 1000, 2000, 3000, 4000, 5000, 6000]
+    assert report.titles(spark.createDataFrame([(0.1234,)], "error_fraction double"), "x", 18.4).first().title == "x\n1n = 18\nerr = 12.34%"
 
 
 def test_weighted_percentile_is_numpys(spark):
