@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 NONE = np.int32(2**31 - 1)
 #: Longest piece, in bytes, that goes through a matrix; longer ones are merged one by one over a heap.
 WIDEST = 256
+#: Columns of the matrix for pieces of each length: steps of four up to 32 bytes, powers of two beyond.
+WIDTHS = np.array([max(4, -(-n // 4) * 4) if n <= 32 else 1 << (n - 1).bit_length() for n in range(WIDEST + 1)], np.int64)
 #: Pieces a worker remembers before it starts anew, and characters taken at a time: both bound memory only.
 REMEMBERED, AT_A_TIME = 150_000, 500_000
 
@@ -121,29 +124,26 @@ class Ranks:
         """(all ids in order, number of ids of each piece). A piece that is a token is that token."""
         counts = np.zeros(len(pieces), np.int64)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # piece numbers, padded ids, lengths
-        buckets: dict[int, list[int]] = {}
-        whole, alone = [], []
-        for i, p in enumerate(pieces):
-            if (r := self.rank.get(p)) is not None:
-                whole.append(r)
-                alone.append(i)
-            else:
-                buckets.setdefault((len(p) + 3) // 4 * 4 if len(p) <= 32 else 1 << (len(p) - 1).bit_length(), []).append(i)
-        if alone:
-            done.append((np.array(alone), np.array(whole, np.int32)[:, None], np.ones(len(alone), np.int64)))
-        for width, members in buckets.items():
-            if width > WIDEST:
-                for i in members:
-                    merged = np.array(self.merge_long(self.byte[np.frombuffer(pieces[i], np.uint8)].tolist()), np.int32)
-                    done.append((np.array([i]), merged[None], np.array([len(merged)])))
-                continue
-            step = max(1, (1 << 18) // width)
-            for at in range(0, len(members), step):
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        begins = np.cumsum(lengths) - lengths
+        whole = np.fromiter((self.rank.get(p, -1) for p in pieces), np.int32, len(pieces))
+        alone, rest = np.flatnonzero(whole >= 0), np.flatnonzero(whole < 0)
+        if len(alone):
+            done.append((alone, whole[alone, None], np.ones(len(alone), np.int64)))
+        for i in rest[lengths[rest] > WIDEST]:
+            ids = self.byte[text[begins[i] : begins[i] + lengths[i]]].tolist()
+            merged = np.array(self.merge_long(ids), np.int32)
+            done.append((np.array([i]), merged[None], np.array([len(merged)])))
+        short = rest[lengths[rest] <= WIDEST]
+        widths = WIDTHS[lengths[short]]
+        for width in np.unique(widths):
+            members, columns = short[widths == width], np.arange(width)
+            for at in range(0, len(members), step := max(1, (1 << 18) // width)):
                 part = members[at : at + step]
-                lengths = np.array([len(pieces[i]) for i in part], np.int64)
-                raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in part), np.uint8).reshape(-1, width)
-                ids = np.where(np.arange(width) < lengths[:, None], self.byte[raw], np.int32(-1))
-                done.append((np.array(part), *self.merge_matrix(ids, lengths)))
+                inside = columns < lengths[part, None]
+                raw = text[np.where(inside, begins[part, None] + columns, 0)]
+                done.append((part, *self.merge_matrix(np.where(inside, self.byte[raw], np.int32(-1)), lengths[part])))
         for who, _, sizes in done:
             counts[who] = sizes
         starts = np.cumsum(counts) - counts
@@ -183,7 +183,7 @@ class Encoder:
         known = len(self.numbers)
         which = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
         if len(self.numbers) > known:
-            new = [w.encode() for w in list(self.numbers)[known:]]
+            new = [w.encode() for w in islice(self.numbers, known, None)]
             flat, counts = self.ranks.encode_pieces(new)
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(counts) - counts]
             self.flat, self.counts = np.r_[self.flat, flat], np.r_[self.counts, counts]
