@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,8 +115,8 @@ def materialise(tokens: DataFrame, folder: str | None = None, seq_len: int = 102
     its last sequence filled with `pad`. As zipWithIndex() does, a first job counts the sequences of each partition, a
     second numbers them from there on. The slot of a number is its image under Permutation(n, key). Sequences are dealt
     to shards by slot range (shards are of one size, so no key is hot), sorted, and written by Spark's committer; a
-    record is seq_len * width bytes and a line feed, which keeps the stride fixed. Only counts by partition come to the
-    driver.
+    record is seq_len * width bytes and a line feed, which keeps the stride fixed. Records are compressed while they are
+    shuffled and sorted. Only counts by partition come to the driver.
 
     The input has to be a stored table or follow from one row by row, so that both jobs and repeated tasks read the same
     partitions; if a partition's count changes between the jobs, the job fails rather than leave holes.
@@ -148,7 +149,7 @@ def materialise(tokens: DataFrame, folder: str | None = None, seq_len: int = 102
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         at, to = starts.get(part, 0), starts.get(part, 0) + -(-counts.get(part, 0) // seq_len)
-        rest = b""
+        rest, pack = b"", zstandard.ZstdCompressor(level=3).compress
 
         def rows(whole: bytes) -> pa.RecordBatch:
             nonlocal at
@@ -157,8 +158,8 @@ def materialise(tokens: DataFrame, folder: str | None = None, seq_len: int = 102
                 raise RuntimeError(f"partition {part} has more tokens than when it was counted")
             slots = order.slots(np.arange(at, at + here))
             at += here
-            data = pa.Array.from_buffers(pa.binary(), here, [None, pa.py_buffer(np.arange(0, len(whole) + 1, size, dtype=np.int32)), pa.py_buffer(whole)])
-            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), data], ["slot", "record"])
+            data = pa.array([pack(whole[i : i + size]) for i in range(0, len(whole), size)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), data], ["slot", "packed"])
 
         for b in batches:
             for i in range(0, len(b), 512):
@@ -171,11 +172,17 @@ def materialise(tokens: DataFrame, folder: str | None = None, seq_len: int = 102
         if at != to:
             raise RuntimeError(f"partition {part} has fewer tokens than when it was counted")
 
-    placed = source.mapInArrow(cut, "slot bigint, record binary")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array([get(x.as_buffer()) for x in b.column(0).slice(i, 1024)], pa.binary())], ["record"])
+
+    placed = source.mapInArrow(cut, "slot bigint, packed binary")
     shards = max(1, -(-n // rows_per_shard))
     shard = F.expr(f"cast(slot div {rows_per_shard} as int)")
     ordered = placed.repartitionById(shards, shard).sortWithinPartitions("slot")
-    ordered.select(F.col("record").cast("string").alias("value")).write.text(f"{folder}/shards")
+    ordered.select("packed").mapInArrow(unpack, "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{folder}/shards")
     out = Manifest(folder, n, sum(counts.values()), seq_len, width, size + 1, rows_per_shard, end, pad, key)
     spark.createDataFrame([(json.dumps(asdict(out)),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
     return out
