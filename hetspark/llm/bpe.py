@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hetspark.llm.common import carried, restored
+
 #: No merge: larger than any rank.
 NONE = np.int32(2**31 - 1)
 #: Longest piece, in bytes, that goes through a matrix; longer ones are merged one by one over a heap.
@@ -25,22 +27,10 @@ WIDTHS = np.array([max(4, -(-n // 4) * 4) if n <= 32 else 1 << (n - 1).bit_lengt
 REMEMBERED, AT_A_TIME = 150_000, 500_000
 
 
-class Ranks:
-    """A vocabulary: bytes to rank, with every mergeable pair of ids in an open-addressing hash table."""
+class PairTable:
+    """Pairs of numbers (left << 32 | right) and what they map to, in an open-addressing hash table of arrays."""
 
-    def __init__(self, raw: bytes):
-        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
-        self.token = [b""] * (max(self.rank.values()) + 1)
-        for t, r in self.rank.items():
-            self.token[r] = t
-        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        pairs = {}
-        for t, r in self.rank.items():
-            for cut in range(1, len(t)):
-                a, b = self.rank.get(t[:cut]), self.rank.get(t[cut:])
-                if a is not None and b is not None:
-                    pairs[a << 32 | b] = r
-        self.pair = pairs
+    def __init__(self, pairs: dict[int, int]):
         self.bits = max(4, (len(pairs) * 4).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
         keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
@@ -57,7 +47,7 @@ class Ranks:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, NONE where it can't merge (padding is negative)."""
+        """What each pair maps to, NONE where there is no such pair (padding is negative)."""
         key = (left.astype(np.int64) << 32 | right).ravel()
         at = self.slot(key)
         held = self.keys[at]
@@ -71,6 +61,41 @@ class Ranks:
             todo = todo[~hit & (held >= 0)]
         return np.where((left.ravel() < 0) | (right.ravel() < 0), NONE, out).reshape(left.shape)
 
+
+def assembled(done: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids in order, number of ids of each of n pieces) from parts (piece numbers, padded ids, lengths)."""
+    counts = np.zeros(n, np.int64)
+    for who, _, sizes in done:
+        counts[who] = sizes
+    starts = np.cumsum(counts) - counts
+    flat = np.zeros(int(counts.sum()), np.int32)
+    for who, ids, sizes in done:
+        inside = np.arange(ids.shape[1]) < sizes[:, None]
+        flat[(starts[who][:, None] + np.arange(ids.shape[1]))[inside]] = ids[inside]
+    return flat, counts
+
+
+class Ranks:
+    """A vocabulary: bytes to rank, with every mergeable pair of ids in a table."""
+
+    def __init__(self, raw: bytes):
+        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        self.token = [b""] * (max(self.rank.values()) + 1)
+        for t, r in self.rank.items():
+            self.token[r] = t
+        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+        pairs = {}
+        for t, r in self.rank.items():
+            for cut in range(1, len(t)):
+                a, b = self.rank.get(t[:cut]), self.rank.get(t[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = r
+        self.pair = pairs
+        self.table = PairTable(pairs)
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.table.lookup(left, right)
+
     def merge_matrix(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of padded ids, all merged. In each round every row that still can merges its leftmost pair of least
         rank, closes the gap and looks up the two new pairs; the others leave the matrix. All rows that stay get
@@ -122,7 +147,6 @@ class Ranks:
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each piece). A piece that is a token is that token."""
-        counts = np.zeros(len(pieces), np.int64)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # piece numbers, padded ids, lengths
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         text = np.frombuffer(b"".join(pieces), np.uint8)
@@ -144,14 +168,7 @@ class Ranks:
                 inside = columns < lengths[part, None]
                 raw = text[np.where(inside, begins[part, None] + columns, 0)]
                 done.append((part, *self.merge_matrix(np.where(inside, self.byte[raw], np.int32(-1)), lengths[part])))
-        for who, _, sizes in done:
-            counts[who] = sizes
-        starts = np.cumsum(counts) - counts
-        flat = np.zeros(int(counts.sum()), np.int32)
-        for who, ids, sizes in done:
-            inside = np.arange(ids.shape[1]) < sizes[:, None]
-            flat[(starts[who][:, None] + np.arange(ids.shape[1]))[inside]] = ids[inside]
-        return flat, counts
+        return assembled(done, len(pieces))
 
 
 class _Numbers(dict):
@@ -214,10 +231,6 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
             at, held = i + 1, 0
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
-
-
 def decoded(token: list[bytes], ids: list[int], counts: list[int]) -> list[bytes]:
     """The bytes that each run of ids stands for."""
     if ids and min(ids) < 0:
@@ -236,27 +249,29 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     The pattern cuts a text into pieces, each encoded on its own: starting from bytes, the leftmost pair of least rank
     merges until none can. The rank file is read by the driver and broadcast (a vocabulary's size is fixed).
 
-    Defined cases: null and empty texts give an empty array. Other columns pass through; a column that is already
-    called ids_col is replaced. Repeated rows stay repeated.
+    Defined cases: null and empty texts give an empty array. Very long texts are encoded whole; pieces of over WIDEST
+    bytes leave the matrices for a heap, with the same ids, so that none costs the square of its length. Of pairs of
+    equal rank the leftmost merges. Other columns pass through, whatever their names; those already called like a
+    result (in any case) are replaced. Repeated rows stay repeated. An empty table gives an empty result.
     """
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    kinds = ["row", "value", "ids", *(["decoded"] if bytes_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(loaded(shared.value), pattern)
         for batch in batches:
-            at = batch.schema.names.index(text_col)
-            rest = [i for i, n in enumerate(batch.schema.names) if n not in (ids_col, bytes_col)]
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 ids, counts = encoder.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
                 part = batch.slice(a, b - a)
-                made = {ids_col: lists} | ({bytes_col: pa.array(decoded(encoder.ranks.token, ids.tolist(), counts.tolist()), pa.binary())} if bytes_col else {})
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *made.values()], [*(batch.schema.names[i] for i in rest), *made])
+                again = [pa.array(decoded(encoder.ranks.token, ids.tolist(), counts.tolist()), pa.binary())] if bytes_col else []
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, *again], kinds)
 
-    schema = _schema(docs, ids_col, T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(run, T.StructType([*(f for f in schema if f.name != bytes_col), T.StructField(bytes_col, T.BinaryType())]) if bytes_col else schema)
+    rows = carried(docs, text_col, ids_col, *([bytes_col] if bytes_col else []))
+    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.BinaryType())] if bytes_col else [])])
+    return restored(rows.mapInArrow(run, schema), docs, text_col, ids=ids_col, **({"decoded": bytes_col} if bytes_col else {}))
 
 
 def vocabulary_size(ranks_path: str) -> int:
@@ -269,8 +284,9 @@ def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     """docs with the binary out_col in place of the text: its ids, as encode() gives them, as little-endian numbers of
     width 2. Two ids are left for marks; a vocabulary that leaves none is an error.
 
-    Defined cases: null and empty texts give no bytes. Very long texts are encoded whole. Other columns pass through; a
-    column that is already called out_col is replaced.
+    Defined cases: null and empty texts give no bytes. Very long texts are encoded whole. Of pairs of equal rank the
+    leftmost merges. Other columns pass through, whatever their names; one already called out_col (in any case) is
+    replaced. Repeated rows stay repeated. An empty table gives an empty result.
     """
     if vocabulary_size(ranks_path) > 65534:
         raise ValueError("ids of width 2 and two marks lie between 0 and 65535")
@@ -280,35 +296,40 @@ def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(loaded(shared.value), pattern)
         for batch in batches:
-            rest = [i for i, n in enumerate(batch.schema.names) if n not in (text_col, out_col)]
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
-                texts = [t or "" for t in rows.column(rows.schema.names.index(text_col)).to_pylist()]
+                texts = [t or "" for t in rows.column(1).to_pylist()]
                 for a, b in slices(texts):
                     ids, counts = encoder.encode(texts[a:b])
                     ends = np.r_[0, np.cumsum(counts * 2)].astype(np.int32)
                     made = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
-                    yield pa.RecordBatch.from_arrays([*(rows.column(i).slice(a, b - a) for i in rest), made], [*(rows.schema.names[i] for i in rest), out_col])
+                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(a, b - a), made], ["row", "ids"])
 
-    return docs.mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name not in (text_col, out_col)] + [T.StructField(out_col, T.BinaryType())]))
+    rows = carried(docs, text_col, out_col)
+    return restored(rows.mapInArrow(run, rows.select("row").schema.add("ids", "binary")), docs, None, ids=out_col)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """df with bytes_col: the bytes that the ids stand for (null or no ids: empty; an unknown id is an error)."""
+    """df with bytes_col: the bytes that the ids stand for.
+
+    Defined cases: null or no ids give no bytes; an unknown id is an error. Arrays of any length are decoded whole.
+    Other columns pass through, whatever their names; one already called bytes_col (in any case) is replaced. Repeated
+    rows stay repeated. An empty table gives an empty result.
+    """
     with open(ranks_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = loaded(shared.value).token
         for batch in batches:
-            rest = [i for i, n in enumerate(batch.schema.names) if n != bytes_col]
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                ids = [x or [] for x in part.column(batch.schema.names.index(ids_col)).to_pylist()]
+                ids = [x or [] for x in part.column(1).to_pylist()]
                 texts = decoded(token, [i for x in ids for i in x], [*map(len, ids)])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(texts, pa.binary())], [*(batch.schema.names[i] for i in rest), bytes_col])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["row", "value", "decoded"])
 
-    return df.mapInArrow(run, _schema(df, bytes_col, T.BinaryType()))
+    rows = carried(df, ids_col, bytes_col)
+    return restored(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])), df, ids_col, decoded=bytes_col)
 
 
 def digest_columns(ids_col: str = "ids", bytes_col: str = "decoded") -> list[Column]:

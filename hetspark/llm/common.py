@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hetspark.functions.checkpoints import settled, use_checkpoints
 from hetspark.operators.components import least_reachable
 
-__all__ = ["WORD", "columns_of", "free_prefix", "least_reachable", "salt_of", "salts_for", "settled", "use_checkpoints"]
+__all__ = ["WORD", "carried", "columns_of", "free_prefix", "named", "restored", "least_reachable", "salt_of", "salts_for", "settled", "use_checkpoints"]
 
 #: A word: what stands between ASCII white space (a Java and Python pattern).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +35,23 @@ def free_prefix(df: DataFrame, start: str = "__") -> str:
     while any(c.lower().startswith(start) for c in df.columns):
         start += "_"
     return start
+
+
+def named(df: DataFrame, name: str) -> Column:
+    """One column of df, whatever signs stand in its name."""
+    return df[f"`{name.replace('`', '``')}`"]
+
+
+def carried(df: DataFrame, col: str, *replaced: str) -> DataFrame:
+    """(row, value): col, and all other columns but those called as in `replaced` (in any case) as one struct, so that
+    no name can clash with what a task adds."""
+    return df.select(F.struct(F.lit(0).alias("none"), *columns_of(df, col, *replaced)).alias("row"), named(df, col).alias("value"))
+
+
+def restored(out: DataFrame, df: DataFrame, col: str | None, **made: str) -> DataFrame:
+    """From out(row, ...), made of carried(df): the columns of df in their order, col (if it stays) from out's value, and
+    those made, given as out's column = its new name."""
+    rest = {f.lower(): f for f in out.schema["row"].dataType.names[1:]}
+    new = {n.lower() for n in made.values()}
+    kept = [F.col("row")[c].alias(c) if c.lower() in rest else F.col("value").alias(c) for c in df.columns if c.lower() in rest or (col is not None and c.lower() == col.lower() and c.lower() not in new)]
+    return out.select(*kept, *(F.col(of).alias(n) for of, n in made.items()))

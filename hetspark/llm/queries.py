@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hetspark.llm import bpe, chat, dedup, license, lm, mixing, quality, shards, simhash, urls
+from hetspark.llm import automaton, bpe, chat, dedup, license, lm, mixing, quality, shards, simhash, urls
 
 
-#: The public vocabulary of op3, op5 and op10.
-RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The public vocabulary of op3, op5 and op10, and the tokenizer file of op13.
+RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digests(spark, found)
 
 
+def op13_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.digests(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_token_shards": op10_token_shards,
+    "op13_automaton_bpe": op13_automaton_bpe,
 }
 
 #: Queries without an entry can't be stated in SQL; tests hold them against brute force.

@@ -78,3 +78,14 @@ def test_unknown_ids(spark):
     with pytest.raises(Exception, match="not negative"):
         bpe.decode(spark.createDataFrame([([-1],)], "ids array<int>"), PATH).collect()
     assert bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"), PATH).first().decoded == b""
+
+
+def test_any_names_of_other_columns(spark):
+    df = spark.createDataFrame([(1, "Hello  world", 2, "x", 3.0, 4), (2, None, 1, "y", None, 5)], "`doc id` int, text string, `a.b` int, IDS string, `q``r` double, Tokens int")
+    out = bpe.encode(df, PATH, P.PATTERN, bytes_col="A.B")
+    assert out.columns == ["doc id", "text", "q`r", "Tokens", "ids", "A.B"] and sorted(bytes(r[-1]) for r in out.collect()) == [b"", b"Hello  world"]
+    small = bpe.packed_ids(df, PATH, P.PATTERN)
+    assert small.columns == ["doc id", "a.b", "IDS", "q`r", "tokens"] and sorted(len(r[-1]) for r in small.collect()) == [0, 6]
+    again = bpe.decode(out.withColumnRenamed("Tokens", "DECODED"), PATH)
+    assert again.columns == ["doc id", "text", "q`r", "ids", "A.B", "decoded"] and all(r[-1] == r[-2] for r in again.collect())
+    assert bpe.encode(df.where("false"), PATH, P.PATTERN).collect() == [] == bpe.packed_ids(df.where("false"), PATH, P.PATTERN).collect()
