@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hetspark.llm import automaton, bpe, chat, dedup, license, lm, mixing, quality, shards, simhash, urls
+from hetspark.llm import automaton, bpe, chat, dedup, license, lm, mixing, quality, search, shards, simhash, trie, urls
 
 
 #: The public vocabulary of op3, op5 and op10, and the tokenizer file of op13.
@@ -69,6 +69,14 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digests(spark, found)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -84,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_token_shards": op10_token_shards,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_automaton_bpe": op13_automaton_bpe,
 }
 
@@ -117,4 +127,6 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op9_license_scan": license.scan_sql(),
+    "op11_lexical_search": search.search_sql(),
+    "op12_prefix_trie": trie.trie_sql(),
 }

@@ -21,6 +21,8 @@ COLUMNS = {
     "op8_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op9_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     "op10_token_shards": "slot bigint, shard bigint, offset bigint, sequence bigint, n_tokens bigint, sha256 string",
+    "op11_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
     "op13_automaton_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
