@@ -58,5 +58,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = exact_groups(docs, id_col, text_col, salts).where("kept")
     kept = found.select(none.alias(names[0]), name.alias(names[1]), F.col("text_sha256").alias(names[2])).distinct()
     keyed = docs.withColumns(dict(zip(names, (none, name, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), strict=True)))
-    # The join leaves rows dealt and sorted by these columns, so the last step moves nothing.
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*columns_of(docs))
+    # Rows equal in id and text go first: each task sends one of them, whatever their number. The join moves nothing more.
+    return keyed.dropDuplicates(names).join(kept, names, "left_semi").select(*columns_of(docs))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hetspark.llm.common import columns_of, free_prefix
+from hetspark.llm.common import carried, columns_of, free_prefix, named, restored
 
 #: Least words, most percent of words in repeated 3-word windows, least share of words in content lines.
 LEAST_WORDS, MOST_REPEATED, LEAST_CONTENT = 50, 50, 0.5
-#: At most so many labelled documents of each class fit the model: those with the smallest hashes of their ids.
-SAMPLE = 1500
-#: For fitting, a document gives so many lines at most, and line sequences are cut into runs of so many.
-LINES, RUN = 4096, 64
+#: The bounded sample that fits the model: so many labelled documents of each class at most, those with the smallest
+#: hashes of their ids, and of each of these so many runs of RUN lines at most, those with the smallest hashes over the
+#: whole text. Judging has no such bound.
+SAMPLE, RUNS, RUN = 1500, 8, 64
 SYMBOLS = b"#*$%&|<>"
 CHARS = 1_000_000
 
@@ -233,27 +234,39 @@ def fit_lines(docs: list[tuple[np.ndarray, int]], turns: int = 2) -> LineModel:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> LineModel | None:
+def chosen_runs(text: str, got: Lines, runs: int) -> list[np.ndarray]:
+    """The features of at most `runs` runs of RUN lines of a text: those with the smallest hashes of text and place, in
+    the order of the text."""
+    starts = range(0, len(got.features), RUN)
+    if len(starts) > runs:
+        seed = hashlib.blake2b(text.encode(), digest_size=8).digest()
+        starts = sorted(sorted(starts, key=lambda a: hashlib.blake2b(a.to_bytes(8, "little"), key=seed, digest_size=8).digest())[:runs])
+    return [got.features[a : a + RUN] for a in starts]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, runs: int = RUNS) -> LineModel | None:
     """A model of lines from documents labelled by quality (0 or 1); None if a class has no lines.
 
     Of each class the `sample` documents with the smallest hashes of their ids are used. Ids with contradicting or null
-    labels are left out. Features are made on the executors; only those of at most LINES lines of a document, the
-    first ones, come to the driver (fitting alone has this bound).
+    labels are left out. Features are made on the executors from whole texts; those of at most `runs` runs of RUN lines
+    of a document come to the driver (chosen_runs()), so 2 * sample * runs * RUN * 40 bytes at most: 61 MB.
 
-    Defined cases: null texts have no lines; documents that several rows have the id of all count; other columns are
-    ignored, whatever their names; empty tables give None.
+    Defined cases: null texts have no lines; of rows that share an id the one whose text has the smallest hash counts;
+    other columns are ignored, whatever their names; empty tables give None.
     """
-    clear = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("q")).groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("r"), F.count_if(F.col("q").isNull()).alias("none")).where("id is not null and q = r and none = 0 and q in (0, 1)")
+    clear = labels.select(named(labels, id_col).alias("id"), F.col("quality").alias("q")).groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("r"), F.count_if(F.col("q").isNull()).alias("none")).where("id is not null and q = r and none = 0 and q in (0, 1)")
     parts = [clear.where(F.col("q") == q).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "q") for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * sample rows, hence the broadcast
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("q", "text")
+    found = docs.select(named(docs, id_col).alias("id"), F.coalesce(named(docs, text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    found = found.groupBy("id", "q").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                f = read_lines([text]).features[:LINES].astype(np.float32)
-                if len(f):
-                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([f.tobytes()], pa.binary())], ["q", "f"])
+                parts = chosen_runs(text, read_lines([text]), runs)
+                if parts:
+                    raw = np.concatenate(parts).astype(np.float32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([raw], pa.binary())], ["q", "f"])
 
     rows = found.select(F.col("q").cast("int"), "text").mapInArrow(features, "q int, f binary").collect()
     known = [(np.frombuffer(raw, np.float32).reshape(-1, len(FEATURES)).astype(float), q) for q, raw in sorted((r.q, bytes(r.f)) for r in rows)]
@@ -292,13 +305,11 @@ def judge(docs: DataFrame, model: LineModel | None, text_col: str = "text", out_
     a model every line is content. Other columns pass through, whatever their names; a column already called out_col
     (in any case) is replaced. Repeated rows are judged alike. An empty table gives an empty result.
     """
-    schema = T.StructType([f for f in docs.schema.fields if f.name.lower() != out_col.lower()] + [T.StructField(out_col, SCHEMA)])
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [i for i, n in enumerate(batch.schema.names) if n.lower() != out_col.lower()]
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):
                 to, held = at, 0
@@ -307,7 +318,8 @@ def judge(docs: DataFrame, model: LineModel | None, text_col: str = "text", out_
                     to += 1
                 columns = [pa.array(c, k) for c, k in zip(judge_texts(texts[at:to], model), kinds, strict=True)]
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.StructArray.from_arrays(columns, SCHEMA.names)], [*(batch.schema.names[i] for i in rest), out_col])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.StructArray.from_arrays(columns, SCHEMA.names)], ["row", "value", "quality"])
                 at = to
 
-    return docs.mapInArrow(run, schema)
+    rows = carried(docs, text_col, out_col)
+    return restored(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("quality", SCHEMA)])), docs, text_col, quality=out_col)

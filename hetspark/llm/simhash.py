@@ -272,6 +272,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = first.groupBy("label").agg(F.min("key").alias("key"), F.first("component_id").alias("id"))
     kept = kept.select(F.col("id").isNull().alias(f"{p}none"), F.col("id").alias(f"{p}id"), F.col("key").alias(f"{p}key"))
     names = [f"{p}none", f"{p}id", f"{p}key"]
-    keyed = docs.withColumns({names[0]: F.col(id_col).isNull(), names[1]: F.col(id_col), names[2]: key})
+    # Rows equal in id and text hash go first: each task sends one of them, whatever their number.
+    keyed = docs.withColumns({names[0]: F.col(id_col).isNull(), names[1]: F.col(id_col), names[2]: key}).dropDuplicates(names)
     same = [keyed[n].eqNullSafe(kept[n]) if n == names[1] else keyed[n] == kept[n] for n in names]
-    return keyed.join(kept, same, "left_semi").dropDuplicates(names).select(*columns_of(docs))
+    return keyed.join(kept, same, "left_semi").select(*columns_of(docs))

@@ -51,3 +51,14 @@ def test_empty(make):
 def test_native(make):
     plan = dedup.exact_groups(make(ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_third_of_all_rows_null_in_id_and_equal_in_text(spark):
+    """Rows equal in id and text are dropped before anything is shuffled by them."""
+    rows = [(None, "the same")] * 3000 + [(i, f"text {i % 2000}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    out = dedup.drop_copies(docs)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(None, "the same"), *((i, f"text {i % 2000}") for i in range(4000, 6000))], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("Aggregate"), "repeated rows go below the join"

@@ -64,3 +64,16 @@ def test_stages_keep_the_columns(spark, make):
     empty = make([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_take_any_other_columns_and_odd_rows(spark):
+    """Dotted, quoted and clashing names; nulls everywhere, repeated rows, an empty and a very long text."""
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, long, "s", 3, "x", 1), (1, long, "s", 3, "x", 1), (2, "", "s", None, None, None), (None, None, None, None, None, None), (None, long + " end", None, 1, "y", 2), (5, "a " * 70, "t", 1, "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, `a.b` int, IDS string, `q``r` int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {r.text for r in out.collect()} <= {r[1] for r in rows}, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == len(rows)

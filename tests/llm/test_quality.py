@@ -144,3 +144,28 @@ def test_odd_rows(make):
 @pytest.mark.parametrize("labels", [[], [(5, 1, 0)], [(5, 1, 0), (5, 0, 0)], [(None, 0, 0), (5, 1, 0)]])
 def test_without_labels_of_both_kinds(spark, make, labels):
     assert quality.fit(make([(5, "a b", "s")]), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")) is None
+
+
+def test_any_names_of_other_columns(spark):
+    df = spark.createDataFrame([(1, "one two\nthree", 2, "x", 3.0), (2, None, 1, "y", None)], "doc_id int, text string, `a.b` int, QUALITY string, `q``r` double")
+    out = quality.judge(df, None)
+    assert out.columns == ["doc_id", "text", "a.b", "q`r", "quality"] and sorted(r.quality.n_words for r in out.collect()) == [0, 3]
+    assert quality.keep(df, None).columns == df.columns and quality.keep(df, None).count() == 0
+    assert quality.fit(df, spark.createDataFrame([(1, 1)], "doc_id int, quality int")) is None
+
+
+def test_runs_come_from_the_whole_text():
+    text = "\n".join(f"line {i} of it" for i in range(100 * quality.RUN))
+    got = quality.read_lines([text])
+    parts = quality.chosen_runs(text, got, 8)
+    assert len(parts) == 8 and all(len(p) == quality.RUN for p in parts)
+    short = quality.read_lines(["a\nb"])
+    assert [p.tolist() for p in quality.chosen_runs("a\nb", short, 8)] == [short.features.tolist()]
+
+
+def test_rows_that_share_an_id_count_once(spark):
+    rows = [(i % 2, f"word{j} and more words here\n" * 5) for i in range(2) for j in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id int, quality int")
+    first, again = (quality.fit(d, labels, runs=1) for d in (docs, docs.repartition(7).orderBy("text")))
+    assert (first.emit == again.emit).all() and (first.move == again.move).all()
