@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,16 @@ def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def unconstrained(spark: SparkSession) -> Iterator[None]:
+    """Plans inside don't infer filters from what holds for their columns. A settled table carries these facts along; in
+    loops that join the tables of earlier rounds they multiply until planning takes longer than the work."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
