@@ -1,10 +1,14 @@
+import bz2
+import gzip
 import json
+import random
 import struct
 
 import numpy as np
 import pytest
 
 from hetspark.jobs import cli
+from hetspark.operators import kmers
 from hetspark.sources import binary, reads, tables
 from hetspark.streaming.kmers import count_available
 
@@ -120,3 +124,70 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "sizes.tsv").write_text("AB\t7000\t0.6731\nAAB\t2500\t0.2404\n")
     cli.main(["plot", at("f.smu"), at("sizes.tsv"), "20", "-o", at("again")], spark)
     assert {r.label for r in spark.read.parquet(at("again_plot/labels")).collect()} == {"AB", "AAB"}
+
+
+def fastq(records):
+    return "".join(f"@{name} x\n{seq}\n+\n{quality}\n" for name, seq, quality in records)
+
+
+def records(n=300, seed=5):
+    """Reads whose qualities start with @, look like sequences or like the third line."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        seq = "".join(rng.choice("acgtACGTn") for _ in range(rng.randrange(0, 60)))
+        quality = rng.choice(("@", "+", "a", "acgt", "@r1"))
+        out.append((f"r{i % 7}", seq, (quality * 60)[: len(seq)]))
+    return out
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Splits of some hundred bytes, so that records lie across them."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "150")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_fastq_across_splits(spark, tmp_path, tiny_splits):
+    first, second = records(), records(90, 6)
+    (tmp_path / "a.fastq").write_text(fastq(first))
+    (tmp_path / "b.fastq").write_text(fastq(second) + "\n\n")
+    df = reads.from_fastq(spark, f"{tmp_path}/*.fastq")
+    assert df.rdd.getNumPartitions() > 50
+    got = {r.read_id: r.seq for r in df.collect() if r.seq or r.read_id < 390}
+    assert got == {i: s.lower() for i, (_, s, _) in enumerate(first + second)}
+
+
+@pytest.mark.parametrize("suffix", ["", ".gz", ".bz2"])
+def test_fastq_counts_like_fasta(spark, tmp_path, tiny_splits, suffix):
+    pack = {"": lambda b: b, ".gz": gzip.compress, ".bz2": bz2.compress}[suffix]
+    rows = records()
+    (tmp_path / f"x.fq{suffix}").write_bytes(pack(fastq(rows).encode()))
+    (tmp_path / f"x.fa{suffix}").write_bytes(pack("".join(f">{n}\n{s[:20]}\n{s[20:]}\n" for n, s, _ in rows).encode()))
+    (tmp_path / f"x.txt{suffix}").write_bytes(pack("".join(f"{s}\n" for _, s, _ in rows).encode()))
+    counts = [sorted(map(tuple, kmers.count_kmers(reads.from_file(spark, f"{tmp_path}/x.{form}{suffix}"), 5).collect())) for form in ("fq", "fa", "txt")]
+    assert counts[0] == counts[1] == counts[2] and len(counts[0]) > 300
+
+
+def test_equal_names_stay_apart(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">r\nacgta\n>r\nacgtt\n>q\nccccc\n")
+    got = kmers.profiles(reads.from_fasta(spark, str(tmp_path / "x.fa")), spark.createDataFrame([("acgta", 7)], "kmer string, count bigint"), 5)
+    assert sorted((r.n, r.profile) for r in got.collect()) == [(1, [0]), (1, [0]), (1, [7])]
+
+
+@pytest.mark.parametrize("text", ["@a\nacgt\n+\n!!!!\nb\nacgt\n+\n!!!!\n", "@a\nacgt\nacgt\n+\n!!!!\n!!!!\n@b\nacgt\n+\n!!!!\n"])
+def test_records_of_other_forms_are_errors(spark, tmp_path, text):
+    (tmp_path / "x.fastq").write_text(text)
+    with pytest.raises(Exception, match="not a record of four lines"):
+        reads.from_fastq(spark, str(tmp_path / "x.fastq")).collect()
+
+
+def test_unknown_endings_are_errors():
+    assert [reads.form_of(p) for p in ("a/b.fq.gz", "file:/x.FASTA", "y.seq.zst", "z.fna")] == ["fastq", "fasta", "lines", "fasta"]
+    for bad in ("x.bam", "x.gz", "x", "x.fastq.zip"):
+        with pytest.raises(ValueError, match="sequences are read"):
+            reads.form_of(bad)
