@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hetspark.functions import sequences as S
-from hetspark.functions.checkpoints import use_checkpoints
+from hetspark.functions.checkpoints import settled, use_checkpoints
 from hetspark.operators import cluster, fit, kmers, pairs, report
-from hetspark.sources import binary, reads, tables
+from hetspark.sources import binary, reads, stored, tables
 from hetspark.streaming.kmers import count_available
 
 #: Parameters of the registered queries.
 K, LEAST, LONG_K, RAREST, OFTEN = 21, 2, 40, 1, 5
 DISTANCE, NOISE, COV = 2, 20, 7.0
 LOW, HIGH = 3, 20
+PROBE = 1000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,14 +123,30 @@ def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("covB", "covA", S.short_structure(a, b).alias("smudge"))
 
 
+def _stored(table: DataFrame, files: int | None = None) -> stored.StoredTable:
+    """A k-mer table, counted once and written in order."""
+    path = _folder(table.sparkSession)
+    stored.write(table, path, files)
+    return stored.read(table.sparkSession, path)
+
+
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _kept(spark, sf_dir)
-    return kmers.lookup(kept, kmers.occurrences(_reads(spark, sf_dir), K).distinct())
+    return stored.lookup(_stored(_kept(spark, sf_dir), 8), kmers.occurrences(_reads(spark, sf_dir), K).distinct())
 
 
 def _lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _kept(spark, sf_dir)
-    return kmers.lower_bound(kept, kmers.occurrences(_reads(spark, sf_dir), K).distinct())
+    return stored.lower_bound(_stored(_kept(spark, sf_dir), 8), kmers.occurrences(_reads(spark, sf_dir), K).distinct())
+
+
+def _inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe of the middle of a table and the exact form, for the canonical and the symmetric table."""
+    kept, out = settled(_kept(spark, sf_dir)), None
+    for name, table in (("canonical", kept), ("symmetric", kmers.symmetric(kept))):
+        held = _stored(table, 8)
+        for form, found in (("probe", stored.inspect(held, LEAST + 1, PROBE)), ("exact", stored.exact_inspection(held, LEAST + 1))):
+            rows = found.select(F.lit(name).alias("table"), F.lit(form).alias("form"), "*")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +215,7 @@ def _read_again(write: Callable[[DataFrame, str], None], read: Callable[[SparkSe
 def _binary_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_folder(spark)}.hist"
     binary.write_histogram(_spectrum(spark, sf_dir), path, K, 2, 6)
-    binary.register(spark)
-    return spark.read.format("khist").load(path.removeprefix("file:"))
+    return binary.read_histogram(spark, path)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +233,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_spectrum": _spectrum,
     "spectrum_rerange": lambda s, d: kmers.rerange(_spectrum(s, d), 2, 6),
     "spectrum_instances": lambda s, d: kmers.toggle(_spectrum(s, d), instances=True),
-    "kmer_ordinals": lambda s, d: kmers.ordinals(_kept(s, d)),
+    "kmer_ordinals": lambda s, d: stored.ordinals(_stored(_kept(s, d))),
+    "kmer_inspection": _inspection,
     "kmer_lookup": _lookup,
     "kmer_codes": lambda s, d: pairs.coded(_kept(s, d), K),
     "kmer_prefix_buckets": lambda s, d: kmers.prefix_buckets(_kept(s, d)),
@@ -456,6 +473,13 @@ SQL: dict[str, str] = {
         SELECT w.kmer, coalesce(ordinal, -1) AS ordinal, coalesce(count, 0) AS count FROM wanted w LEFT JOIN placed p ON p.kmer = least(w.kmer, {_RC.format('w.kmer')})""",
     "kmer_lower_bound": f"""WITH {_KEPT}, placed AS (SELECT kmer AS found, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept), wanted AS (SELECT DISTINCT kmer FROM occ)
         SELECT kmer, coalesce(found = kmer, false) AS exact, coalesce(ordinal, (SELECT count(*) FROM kept)) AS ordinal, found, count FROM wanted ASOF LEFT JOIN placed ON placed.found >= wanted.kmer""",
+    "kmer_inspection": f"""WITH {_BOTH}, tables AS (SELECT 'canonical' AS "table", kmer, count FROM kept UNION ALL SELECT 'symmetric', kmer, count FROM sym),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY kmer) - 1 AS place, count(*) OVER (PARTITION BY "table") AS n, {_RC.format('kmer')} AS other FROM tables),
+        probed AS (SELECT "table", count(*) AS probed, min(count) AS least_count FROM placed WHERE n <= {PROBE} OR (place >= n // 2 - {PROBE // 2} AND place < n // 2 - {PROBE // 2} + {PROBE}) GROUP BY 1),
+        asked AS (SELECT "table", arg_min(other, place) AS other FROM placed WHERE place >= 1 AND other <> kmer GROUP BY 1),
+        whole AS (SELECT p."table", count(*) AS probed, min(p.count) AS least_count, count(*) FILTER (q.kmer IS NULL) = 0 AS symmetric FROM placed p LEFT JOIN tables q ON q."table" = p."table" AND q.kmer = p.other GROUP BY 1)
+        SELECT "table", 'probe' AS form, probed, least_count, least_count >= {LEAST + 1} AS trimmed, EXISTS (SELECT 1 FROM tables t WHERE t."table" = probed."table" AND t.kmer = asked.other) AS symmetric FROM probed JOIN asked USING ("table")
+        UNION ALL SELECT "table", 'exact', probed, least_count, least_count >= {LEAST + 1}, symmetric FROM whole""",
     "kmer_codes": f"WITH {_KEPT} SELECT (list_sum(list_transform(range(1, {K + 1}), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1)::BIGINT << (2 * ({K} - i)))))::BIGINT AS code, count FROM kept",
     "kmer_prefix_buckets": f"WITH {_KEPT}, n AS (SELECT substr(kmer, 1, 4) AS prefix, count(*) AS n FROM kept GROUP BY 1) SELECT prefix, n, n = max(n) OVER () AS largest FROM n",
     "read_profile": f"WITH {_KEPT} SELECT read_id, count(*) AS n, string_agg(coalesce(count, 0)::VARCHAR, ',' ORDER BY spot) AS profile FROM occ LEFT JOIN kept ON kept.kmer = least(occ.kmer, {_RC.format('occ.kmer')}) GROUP BY read_id",

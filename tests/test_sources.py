@@ -48,30 +48,106 @@ def packed(kmer):
     return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
 
 
-@pytest.mark.parametrize("k, lead, slice_", [(6, 1, 10**6), (9, 2, 70), (8, 1, 13)])
-def test_kmer_table(spark, tmp_path, monkeypatch, k, lead, slice_):
-    monkeypatch.setattr(binary, "SLICE", slice_)
-    monkeypatch.setattr(binary, "ROWS", 50)
-    r = np.random.default_rng(k)
-    rows = sorted({"".join(r.choice(list("acgt"), k)) for _ in range(500)})
+def write_table(folder, k, lead, seed, n=500):
+    """A binary table of random k-mers in two parts: (rows in order, counts)."""
+    r = np.random.default_rng(seed)
+    rows = sorted({"".join(r.choice(list("acgt"), k)) for _ in range(n)})
     counts = {s: int(r.integers(1, 60000)) for s in rows}
     index = np.zeros(256**lead, "<i8")
     for s in rows:
         index[int.from_bytes(packed(s)[:lead], "big")] += 1
-    (tmp_path / "t.ktab").write_bytes(struct.pack("<4i", k, 2, 1, lead) + np.cumsum(index).astype("<i8").tobytes())
+    (folder / "t.ktab").write_bytes(struct.pack("<4i", k, 2, 1, lead) + np.cumsum(index).astype("<i8").tobytes())
     for i, part in enumerate((rows[:200], rows[200:]), 1):
-        (tmp_path / f".t.ktab.{i}").write_bytes(struct.pack("<iq", k, len(part)) + b"".join(packed(s)[lead:] + struct.pack("<H", counts[s]) for s in part))
+        (folder / f".t.ktab.{i}").write_bytes(struct.pack("<iq", k, len(part)) + b"".join(packed(s)[lead:] + struct.pack("<H", counts[s]) for s in part))
+    return rows, counts
+
+
+@pytest.mark.parametrize("k, lead, slice_", [(6, 1, 10**6), (9, 2, 70), (8, 1, 13)])
+def test_kmer_table(spark, tmp_path, monkeypatch, k, lead, slice_):
+    monkeypatch.setattr(binary, "SLICE", slice_)
+    monkeypatch.setattr(binary, "ROWS", 50)
+    rows, counts = write_table(tmp_path, k, lead, k)
     binary.register(spark)
     df = spark.read.format("ktab").load(str(tmp_path / "t.ktab"))
     assert {x.kmer: x["count"] for x in df.collect()} == counts and (df.rdd.getNumPartitions() == 2 or slice_ < 200)
-    assert sum(p.n for p in binary.KmerTableReader(str(tmp_path / 't.ktab')).partitions()) == len(rows) and all(p.n <= slice_ for p in binary.slices([500, 3]))
+    assert [x.kmer for x in df.orderBy("ordinal").collect()] == rows
+    assert sum(p.n for p in binary.KmerTableReader(str(tmp_path / "t.ktab")).partitions()) == len(rows) and all(p.n <= slice_ for p in binary.slices([500, 3]))
+
+
+class Counted:
+    """An opener for the scheme store:, which counts the bytes that are read of each file."""
+
+    def __init__(self, folder):
+        self.folder, self.read = str(folder), {}
+
+    def __call__(self, path):
+        assert path.startswith("store://bucket/")
+        name, outer = path.removeprefix("store://bucket/"), self
+
+        class File:
+            def __init__(self):
+                self.f = open(f"{outer.folder}/{name}", "rb")
+                self.seek = self.f.seek
+
+            def read(self, *n):
+                raw = self.f.read(*n)
+                outer.read[name] = outer.read.get(name, 0) + len(raw)
+                return raw
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                self.f.close()
+
+        return File()
+
+
+@pytest.mark.parametrize("k, lead", [(9, 2), (8, 1), (21, 1)])
+def test_seeks_read_only_what_they_need(spark, tmp_path, monkeypatch, k, lead):
+    monkeypatch.setattr(binary, "SLICE", 60)
+    rows, counts = write_table(tmp_path, k, lead, k)
+    at = Counted(tmp_path)
+    binary.register(spark, at)
+    whole = spark.read.format("ktab").load("store://bucket/t.ktab")
+    assert {x.kmer: x["count"] for x in whole.collect()} == counts
+    tests = [f"kmer = '{rows[333]}'", f"kmer >= '{rows[10]}' AND kmer < '{rows[14]}'", f"kmer > '{rows[-3]}'", f"kmer <= '{rows[1]}'", "ordinal = 250", "ordinal IN (3, 7)", f"kmer IN ('{rows[5]}', '{rows[6]}')", f"kmer = '{'a' * k}'", "ordinal > 480", "kmer > 'acx'"]
+    plain = spark.createDataFrame(whole.collect(), whole.schema)
+    for test in tests:
+        assert sorted(map(tuple, whole.where(test).collect())) == sorted(map(tuple, plain.where(test).collect())), test
+    for filters, rows_read in (([binary.EqualTo(("kmer",), rows[333])], 1), ([binary.EqualTo(("ordinal",), 250)], 1), ([binary.GreaterThanOrEqual(("kmer",), rows[10]), binary.LessThan(("kmer",), rows[14])], None)):
+        at.read.clear()
+        reader = binary.KmerTableReader("store://bucket/t.ktab", at)
+        assert [*reader.pushFilters(filters)] == filters
+        parts = reader.partitions()
+        assert len(parts) == 1 and parts[0].n <= 60
+        got = [x for p in parts for b in reader.read(p) for x in b.column(0).to_pylist()]
+        assert rows_read is None or rows_read <= len(got) <= rows_read + 1
+        assert at.read["t.ktab"] < 6000 < 8 * 256**2 and sum(n for f, n in at.read.items() if f != "t.ktab") < 800, "a few entries of the index and of one part"
+
+
+def test_profiles_by_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "SLICE", 2)
+    (tmp_path / "p.prof").write_bytes(struct.pack("<2i", 21, 1))
+    raws = [bytes([i + 1, i]) for i in range(9)]
+    (tmp_path / ".p.pidx.1").write_bytes(struct.pack("<iqq", 21, 0, 9) + np.cumsum([2] * 9).astype("<i8").tobytes())
+    (tmp_path / ".p.prof.1").write_bytes(b"".join(raws))
+    at = Counted(tmp_path)
+    binary.register(spark, at)
+    df = spark.read.format("kprof").load("store://bucket/p.prof")
+    assert [(r.read_id, len(r.profile)) for r in df.where("read_id = 5").collect()] == [(5, 6)] and df.count() == 9
+    reader = binary.ProfileReader("store://bucket/p.prof", at)
+    [*reader.pushFilters([binary.EqualTo(("read_id",), 5)])]
+    at.read.clear()
+    assert [x for p in reader.partitions() for x in reader.read(p)] == [(5, [6] * 6)] and at.read[".p.prof.1"] == 2
 
 
 def test_histogram(spark, tmp_path):
     rows = [(1, 7, 7), (2, 10, 20), (3, 4, 12), (5, 2, 10), (9, 1, 9), (12, 1, 12)]
     binary.write_histogram(spark.createDataFrame(rows, "multiplicity long, n_unique long, n_instances long"), str(tmp_path / "h.hist"), 21, 2, 9)
     binary.register(spark)
-    assert sorted(map(tuple, spark.read.format("khist").load(str(tmp_path / "h.hist")).collect())) == [(2, 17, 27), (3, 4, 12), (5, 2, 10), (9, 2, 21)]
+    for df in (spark.read.format("khist").load(str(tmp_path / "h.hist")), binary.read_histogram(spark, f"file:{tmp_path}/h.hist")):
+        assert sorted(map(tuple, df.collect())) == [(2, 17, 27), (3, 4, 12), (5, 2, 10), (9, 2, 21)]
     raw = (tmp_path / "h.hist").read_bytes()
     assert struct.unpack("<3i2q", raw[:28]) == (21, 2, 9, 27, 21) and np.frombuffer(raw[28:], "<i8").tolist() == [17, 4, 0, 2, 0, 0, 0, 2]
 
