@@ -477,9 +477,9 @@ SQL: dict[str, str] = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY kmer) - 1 AS place, count(*) OVER (PARTITION BY "table") AS n, {_RC.format('kmer')} AS other FROM tables),
         probed AS (SELECT "table", count(*) AS probed, min(count) AS least_count FROM placed WHERE n <= {PROBE} OR (place >= n // 2 - {PROBE // 2} AND place < n // 2 - {PROBE // 2} + {PROBE}) GROUP BY 1),
         asked AS (SELECT "table", arg_min(other, place) AS other FROM placed WHERE place >= 1 AND other <> kmer GROUP BY 1),
-        whole AS (SELECT p."table", count(*) AS probed, min(p.count) AS least_count, count(*) FILTER (q.kmer IS NULL) = 0 AS symmetric FROM placed p LEFT JOIN tables q ON q."table" = p."table" AND q.kmer = p.other GROUP BY 1)
-        SELECT "table", 'probe' AS form, probed, least_count, least_count >= {LEAST + 1} AS trimmed, EXISTS (SELECT 1 FROM tables t WHERE t."table" = probed."table" AND t.kmer = asked.other) AS symmetric FROM probed JOIN asked USING ("table")
-        UNION ALL SELECT "table", 'exact', probed, least_count, least_count >= {LEAST + 1}, symmetric FROM whole""",
+        whole AS (SELECT p."table", count(*) AS probed, min(p.count) AS least_count, count(*) FILTER (q.kmer IS NULL) = 0 AS is_symmetric FROM placed p LEFT JOIN tables q ON q."table" = p."table" AND q.kmer = p.other GROUP BY 1)
+        SELECT "table", 'probe' AS form, probed, least_count, least_count >= {LEAST + 1} AS trimmed, EXISTS (SELECT 1 FROM tables t WHERE t."table" = probed."table" AND t.kmer = asked.other) AS is_symmetric FROM probed JOIN asked USING ("table")
+        UNION ALL SELECT "table", 'exact', probed, least_count, least_count >= {LEAST + 1}, is_symmetric FROM whole""",
     "kmer_codes": f"WITH {_KEPT} SELECT (list_sum(list_transform(range(1, {K + 1}), lambda i: (instr('acgt', substr(kmer, i, 1)) - 1)::BIGINT << (2 * ({K} - i)))))::BIGINT AS code, count FROM kept",
     "kmer_prefix_buckets": f"WITH {_KEPT}, n AS (SELECT substr(kmer, 1, 4) AS prefix, count(*) AS n FROM kept GROUP BY 1) SELECT prefix, n, n = max(n) OVER () AS largest FROM n",
     "read_profile": f"WITH {_KEPT} SELECT read_id, count(*) AS n, string_agg(coalesce(count, 0)::VARCHAR, ',' ORDER BY spot) AS profile FROM occ LEFT JOIN kept ON kept.kmer = least(occ.kmer, {_RC.format('occ.kmer')}) GROUP BY read_id",
