@@ -33,13 +33,27 @@ def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "acgt")
 
 
+def word_bounds(k: int) -> list[tuple[int, int]]:
+    """(first base, bases) of the longs that a k-mer's code is made of."""
+    return [(at, min(LONGEST, k - at)) for at in range(0, k, LONGEST)]
+
+
+def code_words(code: Column, k: int) -> list[Column]:
+    """The longs of a code, the first bases first."""
+    return [code] if k <= LONGEST else [code[f"w{i}"] for i in range(len(word_bounds(k)))]
+
+
+def code_from(words: list[Column]) -> Column:
+    return words[0] if len(words) == 1 else F.struct(*(w.alias(f"w{i}") for i, w in enumerate(words)))
+
+
 def code_of(kmer: Column, k: int) -> Column:
-    """What stands for a k-mer in joins: its long, or the string itself where k is over LONGEST. Both sort alike."""
-    return encode(kmer) if k <= LONGEST else kmer
+    """What stands for a k-mer in joins: its long, or a struct of longs where k is over LONGEST. Both sort like k-mers."""
+    return code_from([encode(F.substring(kmer, at + 1, n)) for at, n in word_bounds(k)]) if k > LONGEST else encode(kmer)
 
 
 def kmer_of(code: Column, k: int) -> Column:
-    return decode(code, k) if k <= LONGEST else code
+    return F.concat(*(decode(w, n) for w, (_, n) in zip(code_words(code, k), word_bounds(k), strict=True))) if k > LONGEST else decode(code, k)
 
 
 def n_of(letter: str, text: Column) -> Column:

@@ -171,8 +171,8 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.neighbours_of(_pairs(spark, sf_dir), asked, K)
 
 
-def _two_away(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.two_away(_kept(spark, sf_dir), K)
+def _away(spark: SparkSession, sf_dir: str, distance: int) -> DataFrame:
+    found = pairs.away(_kept(spark, sf_dir), K, distance)
     return found.select(S.kmer_of(F.col("code_a"), K).alias("kmer_a"), S.kmer_of(F.col("code_b"), K).alias("kmer_b"), "count_a", "count_b")
 
 
@@ -250,7 +250,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbours_of_frequent": _neighbours,
     "pairs_by_composition": lambda s, d: pairs.of_base_composition(_unique(s, d), K, RAREST),
     "unique_pairs_long": _long_pairs,
-    "hamming2_pairs": _two_away,
+    "hamming2_pairs": lambda s, d: _away(s, d, 2),
+    "hamming3_pairs": lambda s, d: _away(s, d, 3),
     "kmer_families": _families,
     "family_coverage": _family_coverage,
     "extract_pairs": lambda s, d: pairs.extract(_unique(s, d), _annotated(s, d), K),
@@ -497,6 +498,9 @@ SQL: dict[str, str] = {
     "pairs_by_composition": f"WITH {_UNIQUE} SELECT * FROM uniq WHERE least(" + ", ".join(f"{K} - len(replace(kmer_a, '{b}', ''))" for b in "acgt") + f") = {RAREST}",
     "unique_pairs_long": f"WITH {_unique_sql(LONG_K)} SELECT * FROM uniq",
     "hamming2_pairs": f"WITH {_KEPT}, {_TWO_AWAY} SELECT * FROM twos",
+    "hamming3_pairs": f"""WITH {_KEPT}, parts AS (SELECT kmer, count, [substr(kmer, 1, 5), substr(kmer, 6, 5), substr(kmer, 11, 5), substr(kmer, 16)] AS q FROM kept),
+        filed AS (SELECT kmer, count, q, i, q[i] AS key FROM parts, (SELECT unnest(range(1, 5)) AS i))
+        SELECT DISTINCT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b FROM filed a JOIN filed b ON a.i = b.i AND a.key = b.key AND a.kmer < b.kmer WHERE hamming(a.kmer, b.kmer) = 3""",
     "kmer_families": f"WITH RECURSIVE {_FAMILIES} SELECT * FROM families",
     "family_coverage": f"WITH RECURSIVE {_FAMILIES}, each AS (SELECT family, count(*) AS size, sum(count) AS total FROM families JOIN kept USING (kmer) GROUP BY family) SELECT size, count(*) AS n_families, sum(total)::BIGINT AS total_count FROM each GROUP BY size",
     "extract_pairs": f"""WITH {_HISTOGRAM}, named AS (SELECT covB, covA, greatest(1, round_even(covA / 2, 0))::INT || 'A' || greatest(1, round_even(covB / 2, 0))::INT || 'B' AS smudge FROM histogram),

@@ -59,16 +59,17 @@ def close_kmers(k, n, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k", [31, 32, 40, 63])
+@pytest.mark.parametrize("k", [31, 32, 40, 62, 63])
 def test_long_kmers(spark, k):
     seqs = close_kmers(k, 250, k)
     table = spark.createDataFrame([(s, 5) for s in seqs], KMERS)
-    for distance, found in ((1, pairs.one_away(table, k)), (2, pairs.two_away(table, k))):
-        got = {(x.kmer_a, x.kmer_b) for x in pairs.named(found, k).collect()}
-        assert got and got == {(a, b) for a, b in combinations(seqs, 2) if differing(a, b) == distance}
+    for distance, found in ((1, pairs.one_away(table, k)), (2, pairs.two_away(table, k)), (3, pairs.three_away(table, k))):
+        rows = [(x.kmer_a, x.kmer_b) for x in pairs.named(found, k).collect()]
+        got = set(rows)
+        assert got and len(rows) == len(got) and got == {(a, b) for a, b in combinations(seqs, 2) if differing(a, b) == distance}
     counts = {min(s, rc(s)): 3 + i % 9 for i, s in enumerate(seqs)}
     assert histogram(spark, counts, k)[0] == slow_histogram(counts)
-    families = pairs.families(pairs.linked(table, k)).collect()
+    families = pairs.families(pairs.linked(table, k), k).collect()
     assert {x.code for x in families} == {x.code for x in pairs.degrees(pairs.linked(table, k)).collect()}
     unique = histogram(spark, counts, k)[1]
     asked = spark.createDataFrame([(seqs[0],)], "kmer string")
@@ -125,6 +126,31 @@ def test_pair_lines(spark):
     assert [r.line for r in pairs.pair_text(tied, 5).collect()] == ["aa(c/g)tt"]
 
 
+@pytest.mark.parametrize("k, distance, parts", [(9, 1, 3), (9, 2, None), (9, 3, None), (9, 3, 4), (21, 2, 4), (21, 3, None), (21, 4, 6), (40, 3, 5), (5, 3, None)])
+def test_pairs_at_any_distance(spark, k, distance, parts):
+    """Each pair once, whatever parts its differences fall into."""
+    seqs = close_kmers(k, 120, k + distance)
+    table = spark.createDataFrame([(s, 5 + i) for i, s in enumerate(seqs)], KMERS)
+    found = pairs.away(table, k, distance, parts)
+    got = sorted((x.kmer_a, x.kmer_b, x.count_a, x.count_b) for x in pairs.named(found, k).collect())
+    assert got == [(a, b, 5 + seqs.index(a), 5 + seqs.index(b)) for a, b in combinations(seqs, 2) if differing(a, b) == distance]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString(), "nothing is made twice"
+
+
+def test_distance_without_a_common_part(spark):
+    with pytest.raises(ValueError, match="no part in common"):
+        pairs.away(spark.createDataFrame([], KMERS), 3, 3)
+
+
+@pytest.mark.parametrize("k", [31, 32, 62, 63, 100])
+def test_codes_of_any_length(spark, k):
+    r = random.Random(k)
+    words = sorted({"".join(r.choices("acgt", k=k)) for _ in range(200)} | {"t" * k, "a" * k})
+    df = spark.createDataFrame([(w,) for w in r.sample(words, len(words))], "kmer string").withColumn("code", S.code_of(pairs.F.col("kmer"), k))
+    assert [x.kmer for x in df.orderBy("code").collect()] == words
+    assert df.where(S.kmer_of(pairs.F.col("code"), k) != pairs.F.col("kmer")).count() == 0
+
+
 def test_two_away_and_families(spark):
     r = random.Random(9)
     seqs = sorted({"".join(r.choices("ac", k=7)) + "".join(r.choices("acgt", k=2)) for _ in range(150)})
