@@ -287,7 +287,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "size_labels": lambda s, d: report.size_labels(_net_table(s, d)),
     "legend_ticks": lambda s, d: report.legend_ticks(_bins(s, d)),
     "legend_ticks_log": lambda s, d: report.legend_ticks(_bins(s, d), log=True),
-    "iso_grid_lines": lambda s, d: _rounded(report.iso_lines(_bins(s, d), COV), "x", "y"),
+    "iso_grid_lines": lambda s, d: _rounded(report.iso_lines(_bins(s, d), COV, 120), "x", "y"),
+    "grid_labels": lambda s, d: _rounded(report.grid_labels(_bins(s, d), COV, 120), "x", "y"),
     "five_numbers": lambda s, d: report.five_numbers(_labelled(s, d)),
     "peak_coverages": lambda s, d: _rounded(report.peak_coverages(_labelled(s, d)), "least", "lower", "middle", "mean", "upper", "most"),
     "peak_map": lambda s, d: _rounded(report.peak_map(_labelled(s, d)), "x"),
@@ -319,28 +320,31 @@ def _occ(k: int) -> str:
 
 def _kept_sql(k: int) -> str:
     counted = f"{_occ(k)}, counted AS (SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS count FROM occ GROUP BY 1)"
-    return f"{counted}, kept AS (SELECT kmer, least(count, 32767) AS count FROM counted WHERE count >= {LEAST})"
+    return f"{counted}, kept AS MATERIALIZED (SELECT kmer, least(count, 32767) AS count FROM counted WHERE count >= {LEAST})"
 
 
 def _both_sql(k: int) -> str:
-    return f"{_kept_sql(k)}, sym AS (SELECT kmer, count FROM kept UNION ALL SELECT {_RC.format('kmer')}, count FROM kept WHERE {_RC.format('kmer')} <> kmer)"
+    return f"{_kept_sql(k)}, sym AS MATERIALIZED (SELECT kmer, count FROM kept UNION ALL SELECT {_RC.format('kmer')}, count FROM kept WHERE {_RC.format('kmer')} <> kmer)"
 
 
 _OCC, _KEPT, _BOTH = _occ(K), _kept_sql(K), _both_sql(K)
-_COUNTED = _KEPT.rpartition(", kept AS")[0]
+_COUNTED = _KEPT.rpartition(", kept AS MATERIALIZED")[0]
 
 
 def _masked(table: str, condition: str = "true", k: int = K) -> str:
-    """k-mers of one mask meet in a list; pairs are made inside it."""
-    return f"""masks AS (SELECT p AS pos, substr(kmer, 1, p) || '.' || substr(kmer, p + 2) AS mask, list({{'kmer': kmer, 'count': count}} ORDER BY kmer) AS members
-        FROM {table}, (SELECT unnest(range(0, {k})) AS p) GROUP BY 1, 2 HAVING count(*) > 1),
+    """k-mers of one mask meet by its hash; those of hashes that two k-mers have meet in a list by the mask itself, and pairs
+    are made inside it."""
+    return f"""holed AS MATERIALIZED (SELECT kmer, count, p AS pos, hash(p, substr(kmer, 1, p), substr(kmer, p + 2)) AS h FROM {table}, (SELECT unnest(range(0, {k})) AS p)),
+    shared AS MATERIALIZED (SELECT h FROM holed GROUP BY h HAVING count(*) > 1),
+    masks AS (SELECT pos, substr(kmer, 1, pos) || '.' || substr(kmer, pos + 2) AS mask, list({{'kmer': kmer, 'count': count}} ORDER BY kmer) AS members
+        FROM holed SEMI JOIN shared USING (h) GROUP BY 1, 2 HAVING count(*) > 1),
     firsts AS (SELECT pos, members, unnest(range(1, len(members) + 1)) AS i FROM masks),
     couples AS (SELECT pos, members[i] AS a, unnest(members[i + 1:]) AS b FROM firsts),
-    pairs AS (SELECT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b, pos::INT AS pos FROM couples WHERE {condition})"""
+    pairs AS MATERIALIZED (SELECT a.kmer AS kmer_a, b.kmer AS kmer_b, a.count AS count_a, b.count AS count_b, pos::INT AS pos FROM couples WHERE {condition})"""
 
 
 def _unique_sql(k: int) -> str:
-    return f"""{_both_sql(k)}, {_masked('sym', 'a.count + b.count <= 1000', k)}, degree AS (SELECT kmer, count(*) AS degree FROM (SELECT kmer_a AS kmer FROM pairs UNION ALL SELECT kmer_b FROM pairs) GROUP BY kmer),
+    return f"""{_both_sql(k)}, {_masked('sym', 'a.count + b.count <= 1000', k)}, degree AS MATERIALIZED (SELECT kmer, count(*) AS degree FROM (SELECT kmer_a AS kmer FROM pairs UNION ALL SELECT kmer_b FROM pairs) GROUP BY kmer),
     uniq AS (SELECT pairs.* FROM pairs JOIN degree a ON a.kmer = kmer_a AND a.degree = 1 JOIN degree b ON b.kmer = kmer_b AND b.degree = 1)"""
 
 
@@ -545,9 +549,17 @@ SQL: dict[str, str] = {
     "size_labels": f"""WITH RECURSIVE {_NET_TABLE}, s AS (SELECT {_SHORT} AS label, round_even(rel_size, 2) AS size FROM found) SELECT label, size, printf('%.2f', size) || '   ' || rpad(label, 6, ' ') AS line FROM s WHERE size >= 0.03""",
     "legend_ticks": _legend("top * x[tick + 1] / 6"),
     "legend_ticks_log": _legend("pow(10::DOUBLE, log10(top) * x[tick + 1] / 6)"),
-    "iso_grid_lines": f"""WITH {_BINS}, xs AS (SELECT (SELECT min(covB) FROM bins) AS low, unnest(range(1, 21)) / 40.0::DOUBLE AS x), ns AS (SELECT unnest(range(1, 9))::INT AS n)
-        SELECT 'B' AS kind, n, round(x, 6) AS x, round({COV}::DOUBLE * n / x, 6) AS y FROM xs, ns UNION ALL SELECT 'A', n, round(x, 6), round({COV}::DOUBLE * n / (1.0::DOUBLE - x), 6) FROM xs, ns
-        UNION ALL SELECT 'error', 0, round(x, 6), round((low - 1) / x, 6) FROM xs""",
+    "iso_grid_lines": f"""WITH {_PLOT}, low AS (SELECT min(covB)::DOUBLE AS l, max(total_pair_cov)::DOUBLE AS top FROM p), t AS (SELECT unnest(range(0, 500))::INT AS step), i AS (SELECT unnest(range(0, 16))::INT AS i),
+        a AS (SELECT i, step, (i + 0.5::DOUBLE) * {COV} AS at, l + ((i + 0.5::DOUBLE) * {COV} - l) * step / 499::DOUBLE AS b FROM low, t, i),
+        b AS (SELECT i, step, (i + 0.5::DOUBLE) * {COV} AS at, 2 * (i + 0.5::DOUBLE) * {COV} - 2 + (120 - (2 * (i + 0.5::DOUBLE) * {COV} - 2)) * step / 499::DOUBLE AS y FROM t, i WHERE i < 8),
+        e AS (SELECT step, l, 2 * l - 2 + (top - (2 * l - 2)) * step / 499::DOUBLE AS y FROM low, t)
+        SELECT 'A' AS kind, i + 0.5::DOUBLE AS copies, step, round(b / (b + at), 6) AS x, round(b + at, 6) AS y FROM a WHERE b + at < 120
+        UNION ALL SELECT 'B', i + 0.5::DOUBLE, step, round(at / y, 6), round(y, 6) FROM b
+        UNION ALL SELECT 'error', 0, step, round((l - 1) / y, 6), round(y, 6) FROM e WHERE y <> 0""",
+    "grid_labels": f"""WITH {_BINS}, low AS (SELECT min(covB)::DOUBLE AS l FROM bins), n AS (SELECT unnest(range(1, 1 + floor(120 / {COV})::INT))::INT AS n)
+        SELECT n || 'Aerr' AS label, round(l / (n * {COV}::DOUBLE), 6) AS x, round(n * {COV}::DOUBLE + l, 6) AS y, CASE WHEN n = 1 THEN 'above' ELSE 'right' END AS side FROM low, n WHERE n < floor(120 / {COV})
+        UNION ALL SELECT (n - m) || 'A' || m || 'B', round(CASE WHEN n = 2 * m THEN 0.49::DOUBLE ELSE m / n END, 6), n * {COV}::DOUBLE, CASE WHEN n = 2 * m THEN 'left' ELSE 'below' END
+        FROM n, (SELECT unnest(range(1, 1 + floor(60 / {COV})::INT))::INT AS m) WHERE n >= 2 AND m <= n // 2""",
     "five_numbers": f"""WITH RECURSIVE {_LABELLED} SELECT smudge, count(*) AS n_bins, min(freq) AS least, quantile_disc(freq, 0.25) AS lower, quantile_disc(freq, 0.5) AS middle, quantile_disc(freq, 0.75) AS upper, max(freq) AS most
         FROM labelled WHERE smudge <> -1 GROUP BY smudge""",
     "peak_coverages": f"""WITH RECURSIVE {_LABELLED}, m AS (SELECT smudge, unnest(['total_pair_cov', 'minor_variant_rel_cov']) AS measure, unnest([(covA + covB)::DOUBLE, covB / (covA + covB)]) AS x FROM labelled WHERE smudge <> -1)

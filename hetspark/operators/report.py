@@ -115,16 +115,39 @@ def legend_ticks(bins: DataFrame, log: bool = False) -> DataFrame:
     return raw.select("tick", (F.rint(F.col("raw") / unit) * unit).cast("bigint").alias("value"))
 
 
-def iso_lines(bins: DataFrame, cov: float, copies: int = 8, steps: int = 20) -> DataFrame:
-    """(kind, n, x, y): lines of constant coverage of B (y = b / x) and of A (y = a / (1 - x)), and the error line of
-    covB = least - 1, over x from 1 / (2 * steps) to 1/2."""
-    low = bins.agg(F.min("covB").alias("least"))
-    xs = low.select("least", F.explode(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: i / F.lit(2.0 * steps))).alias("x"))
-    n = F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("n")
-    line = lambda kind, y: xs.select("x", n).select(F.lit(kind).alias("kind"), "n", "x", y.alias("y"))
-    error = xs.select(F.lit("error").alias("kind"), F.lit(0).alias("n"), "x", ((F.col("least") - 1) / F.col("x")).alias("y"))
-    at = F.lit(float(cov)) * F.col("n")
-    return line("B", at / F.col("x")).unionByName(line("A", at / (F.lit(1.0) - F.col("x")))).unionByName(error)
+#: Fixed values of the grid over a plot: half copies from 1/2 on have a line, 16 of A and 8 of B, of so many points.
+LINES_A, LINES_B, POINTS = 16, 8, 500
+
+
+def iso_lines(bins: DataFrame, cov: float, upper: float = 250, points: int = POINTS) -> DataFrame:
+    """(kind, copies, step, x, y): the lines between cells of whole copies, half a copy from either: constant coverage of
+    A from the least covB to that coverage, below `upper`; constant coverage of B from twice of it (less 2) to `upper`; and
+    the error line of covB = least - 1 from its diagonal to the largest total."""
+    ends = pair_columns(bins).agg(F.min("covB").cast("double").alias("least"), F.max("total_pair_cov").cast("double").alias("most"))
+    steps = ends.select("least", "most", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("step"))
+    along = lambda low, high: low + (high - low) * F.col("step") / F.lit(float(points - 1))
+    half = lambda n: F.explode(F.array(*(F.lit(i + 0.5) for i in range(n)))).alias("copies")
+    at, top = F.col("copies") * F.lit(float(cov)), F.lit(float(upper))
+    a = steps.select("step", "least", half(LINES_A)).select("copies", "step", along(F.col("least"), at).alias("b"), at.alias("a"))
+    a = a.select(F.lit("A").alias("kind"), "copies", "step", (F.col("b") / (F.col("a") + F.col("b"))).alias("x"), (F.col("a") + F.col("b")).alias("y")).where(F.col("y") < top)
+    b = steps.select("step", half(LINES_B)).select(F.lit("B").alias("kind"), "copies", "step", at.alias("b"), along(at * 2 - 2, top).alias("y"))
+    b = b.select("kind", "copies", "step", (F.col("b") / F.col("y")).alias("x"), "y")
+    error = steps.select("step", "least", along(F.col("least") * 2 - 2, F.col("most")).alias("y")).where("y <> 0")
+    error = error.select(F.lit("error").alias("kind"), F.lit(0.0).alias("copies"), "step", ((F.col("least") - 1) / F.col("y")).alias("x"), "y")
+    return a.unionByName(b).unionByName(error)
+
+
+def grid_labels(bins: DataFrame, cov: float, upper: float, x_most: float = 0.49) -> DataFrame:
+    """(label, x, y, side): where the names of structures stand over a plot up to `upper`: nAerr for n copies beside
+    errors of the least covB, nAmB for every structure; equal copies stand left of the edge, the others below their
+    place."""
+    copies = int(upper // cov)
+    least = bins.agg(F.min("covB").cast("double").alias("least"))
+    n, c = F.col("n"), F.lit(float(cov))
+    errors = least.select("least", F.explode(F.array(*(F.lit(i) for i in range(1, copies)))).alias("n")) if copies > 1 else least.select("least", F.lit(1).alias("n")).where("false")
+    errors = errors.select(F.concat(n.cast("string"), F.lit("Aerr")).alias("label"), (F.col("least") / (n * c)).alias("x"), (n * c + F.col("least")).alias("y"), F.when(n == 1, "above").otherwise("right").alias("side"))
+    rows = [(f"{p - b}A{b}B", (x_most + 0.49) / 2 if p == 2 * b else b / p, float(p * cov), "left" if p == 2 * b else "below") for p in range(2, copies + 1) for b in range(1, p // 2 + 1)]
+    return errors.unionByName(bins.sparkSession.createDataFrame(rows, "label string, x double, y double, side string"))
 
 
 def five_numbers(labelled: DataFrame) -> DataFrame:
@@ -163,10 +186,34 @@ def square_bins(bins: DataFrame, x: str = "covA", y: str = "covB", n: int = 40)
     return rows.groupBy(at(x, "x"), at(y, "y")).agg(F.sum("freq").alias("freq"))
 
 
-def colour_ramp(spark: SparkSession, n: int = 32, delay: int = 0) -> DataFrame:
-    """(step, colour): numbers of base colours along a ramp of n: the first is repeated `delay` times before the
-    others."""
-    return spark.range(n).select(F.col("id").cast("int").alias("step"), F.greatest(F.col("id") - delay, F.lit(0)).cast("int").alias("colour"))
+#: Colours of the palettes at equal distances, from the least to the largest value.
+PALETTES = {
+    "viridis": ("440154", "472d7b", "3b528b", "2c728e", "21918c", "28ae80", "5ec962", "addc30", "fde725"),
+    "magma": ("000004", "1c1044", "4f127b", "812581", "b5367a", "e55064", "fb8761", "fec287", "fcfdbf"),
+    "mako": ("0b0405", "2e1e3c", "413d7b", "37659e", "348fa7", "40b7ad", "8bdab2", "def5e5"),
+    "grey": ("000000", "ffffff"),
+}
+
+
+def palette_colours(palette: str, n: int, invert: bool = False) -> list[str]:
+    """n colours as #rrggbb, at equal distances; between the fixed ones they are mixed evenly."""
+    if palette not in PALETTES:
+        raise ValueError(f"palettes are {', '.join(PALETTES)}")
+    fixed = [[int(c[i : i + 2], 16) for i in (0, 2, 4)] for c in PALETTES[palette]]
+    out = []
+    for i in range(n):
+        at = i * (len(fixed) - 1) / max(1, n - 1)
+        k = min(int(at), len(fixed) - 2)
+        out.append("#" + "".join(f"{round(a + (b - a) * (at - k)):02x}" for a, b in zip(fixed[k], fixed[k + 1], strict=True)))
+    return out[::-1] if invert else out
+
+
+def colour_ramp(spark: SparkSession, n: int = 32, delay: int = 0, palette: str = "viridis", invert: bool = False) -> DataFrame:
+    """(step, colour, rgb): the ramp of n steps that boxes() number: n - delay colours of a palette, turned round if
+    asked for, of which the first is repeated `delay` times before the others."""
+    colours = palette_colours(palette, n - delay, invert)
+    rows = [(i, max(0, i - delay), colours[max(0, i - delay)]) for i in range(n)]
+    return spark.createDataFrame(rows, "step int, colour int, rgb string")
 
 
 def titles(totals: DataFrame, stem: str, cov: float) -> DataFrame:

@@ -123,3 +123,32 @@ def test_weighted_percentile_is_numpys(spark):
     df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, w, strict=True)], "x int, w int")
     for q in (5, 50, 95):
         assert fit.weighted_percentile(df, "x", "w", q).first().value == np.percentile(x, q, weights=w, method="inverted_cdf")
+
+
+def test_grid_lines_by_hand(spark):
+    bins = spark.createDataFrame([(10, 20, 5), (12, 30, 7)], "covB int, covA int, freq bigint")
+    rows = {(r.kind, r.copies, r.step): (round(r.x, 6), round(r.y, 6)) for r in report.iso_lines(bins, 20.0, 100).collect()}
+    assert {rows["A", 0.5, s] for s in range(500)} == {(0.5, 20.0)}
+    assert (rows["A", 1.5, 0], rows["A", 1.5, 499]) == ((0.25, 40.0), (0.5, 60.0))
+    assert ("A", 4.5, 0) not in rows and ("A", 3.5, 499) not in rows and rows["A", 3.5, 0] == (0.125, 80.0)
+    assert (rows["B", 0.5, 0], rows["B", 0.5, 499]) == ((round(10 / 18, 6), 18.0), (0.1, 100.0))
+    assert rows["B", 7.5, 0] == (round(150 / 298, 6), 298.0) and ("B", 8.5, 0) not in rows
+    assert (rows["error", 0, 0], rows["error", 0, 499]) == ((0.5, 18.0), (round(9 / 42, 6), 42.0))
+
+
+def test_grid_labels_by_hand(spark):
+    bins = spark.createDataFrame([(10, 20, 5), (12, 30, 7)], "covB int, covA int, freq bigint")
+    got = {r.label: (round(r.x, 6), r.y, r.side) for r in report.grid_labels(bins, 20.0, 100).collect()}
+    assert got == {
+        "1Aerr": (0.5, 30.0, "above"), "2Aerr": (0.25, 50.0, "right"), "3Aerr": (round(1 / 6, 6), 70.0, "right"), "4Aerr": (0.125, 90.0, "right"),
+        "1A1B": (0.49, 40.0, "left"), "2A1B": (round(1 / 3, 6), 60.0, "below"), "3A1B": (0.25, 80.0, "below"), "2A2B": (0.49, 80.0, "left"), "4A1B": (0.2, 100.0, "below"), "3A2B": (0.4, 100.0, "below"),
+    }
+
+
+def test_palettes(spark):
+    assert report.palette_colours("viridis", 9) == [f"#{c}" for c in report.PALETTES["viridis"]]
+    assert report.palette_colours("grey", 3) == ["#000000", "#808080", "#ffffff"] and report.palette_colours("grey", 3, invert=True)[0] == "#ffffff"
+    rows = report.colour_ramp(spark, 32, 16, "magma", True).orderBy("step").collect()
+    assert len(rows) == 32 and {r.rgb for r in rows[:17]} == {"#fcfdbf"} and rows[-1].rgb == "#000004" and rows[-1].colour == 15
+    with pytest.raises(ValueError, match="palettes are"):
+        report.palette_colours("none", 3)

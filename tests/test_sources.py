@@ -202,6 +202,25 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert {r.label for r in spark.read.parquet(at("again_plot/labels")).collect()} == {"AB", "AAB"}
 
 
+def test_command_line_options(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "r.fastq.gz").write_bytes(gzip.compress(fastq([("a", "aacaa", "@acgt"), ("b", "aagaa", "+@@@@")] * 6).encode()))
+    cli.main(["pairs", at("r.fastq.gz"), "-k", "5", "-L", "2", "-o", at("x.y"), "--json_report", "-t", "2", "-tmp", "/tmp", "--verbose"], spark)
+    assert [tuple(r) for r in tables.read_bins(spark, at("x.y.smu")).collect()] == [(6, 6, 2)]
+    with pytest.raises(ValueError, match="sequences are read"):
+        cli.main(["pairs", at("r.bam"), "-k", "5", "-L", "2", "-o", at("z")], spark)
+    (tmp_path / "s.t.smu").write_text("".join(f"{b}\t{a}\t{f}\n" for b, a, f in [(5, 40, 5000), (20, 20, 4000), (20, 21, 3000), (7, 40, 2000), (20, 90, 2500)]))
+    (tmp_path / "s.t_report.json").write_text('{"of": "pairs"}')
+    cli.main(["all", at("s.t.smu"), "-cov", "45", "-o", at("fit"), "--json_report", "-t", "A title", "-col_ramp", "magma", "--invert_cols", "--format", "json"], spark)
+    said = capsys.readouterr()
+    assert "Unexpected smudge label" in said.out and "Total kmers: 16500\n" in said.err and "User defined coverage: 45.000" in said.err
+    assert json.load(open("fit_report.json"))["hetmers_input"] == {"of": "pairs"}
+    assert spark.read.json(at("fit_plot/title")).first().title.startswith("A title\n1n = 45\nerr = ")
+    ramp = {r.step: r.rgb for r in spark.read.json(at("fit_plot/ramp")).collect()}
+    assert (ramp[0], ramp[31]) == ("#fcfdbf", "#000004")
+
+
 def fastq(records):
     return "".join(f"@{name} x\n{seq}\n+\n{quality}\n" for name, seq, quality in records)
 
