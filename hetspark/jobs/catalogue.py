@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hetspark.functions import sequences as S
 from hetspark.functions.checkpoints import settled, use_checkpoints
-from hetspark.operators import cluster, fit, kmers, pairs, report
+from hetspark.operators import cluster, fit, intervals, kmers, pairs, report
 from hetspark.sources import binary, reads, stored, tables
 from hetspark.streaming.kmers import count_available
 
@@ -99,6 +99,14 @@ def _net_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.structure_table(fit.cells(labelled, [COV], genomic).select(S.structure(F.col("a"), F.col("b")).alias("structure"), "size"), genomic)
 
 
+def _given_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that suppliers' keys and nations spread over the histogram, overlapping ones among them."""
+    s = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    low_b, low_a = F.pmod(F.col("s_suppkey") * 7, F.lit(40)).cast("double"), F.pmod(F.col("s_suppkey") * 3, F.lit(30)).cast("double")
+    cells = s.select(F.col("s_suppkey").alias("name"), low_b.alias("low_b"), (low_b + F.col("s_nationkey")).alias("high_b"), low_a.alias("low_a"), (low_a + 20).alias("high_a"))
+    return intervals.given_cells(_labelled(spark, sf_dir), cells)
+
+
 def _centrality(centre: str, dist: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(fit.centrality(_cells(spark, sf_dir), [COV], centre, dist), "centrality")
@@ -262,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_totals": lambda s, d: _rounded(cluster.totals(_labelled(s, d)), "error_fraction"),
     "fishnet_cells": lambda s, d: _cells(s, d).select("cov", "a", "b", "size"),
     "fishnet_centres": lambda s, d: _rounded(_cells(s, d), "mean_a", "mean_b").drop("size"),
+    "given_cells": _given_cells,
     "structure_table": lambda s, d: _rounded(_net_table(s, d), "rel_size"),
     "structure_table_peaks": lambda s, d: report.structure_table(*_peaks(s, d)[1:]),
     "structure_labels": lambda s, d: _peaks(s, d)[1],
@@ -519,6 +528,8 @@ SQL: dict[str, str] = {
     "kmer_totals": f"WITH RECURSIVE {_TOTALS} SELECT *, round(errors / total_kmers, 6) AS error_fraction FROM totals",
     "fishnet_cells": f"WITH RECURSIVE {_CELLS} SELECT cov, a, b, size FROM cells",
     "fishnet_centres": f"WITH RECURSIVE {_CELLS} SELECT cov, a, b, mode_a, mode_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, min_a, max_a, min_b, max_b FROM cells",
+    "given_cells": f"""WITH RECURSIVE {_LABELLED}, given AS (SELECT s_suppkey AS name, s_suppkey * 7 % 40 AS low_b, s_suppkey * 7 % 40 + s_nationkey AS high_b, s_suppkey * 3 % 30 AS low_a FROM supplier)
+        SELECT name, sum(freq)::BIGINT AS size FROM labelled JOIN given ON covB > low_b AND covB < high_b AND covA > low_a AND covA < low_a + 20 WHERE smudge <> -1 GROUP BY name""",
     "structure_table": f"WITH RECURSIVE {_NET_TABLE} SELECT * FROM found",
     "structure_table_peaks": f"WITH RECURSIVE {_PEAKS} SELECT structure, sum(size)::BIGINT AS size, round_even(sum(size) / any_value(genomic)::DOUBLE, 4) AS rel_size FROM shown, totals GROUP BY 1",
     "structure_labels": f"WITH RECURSIVE {_PEAKS} SELECT * FROM shown",
