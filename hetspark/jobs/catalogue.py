@@ -226,6 +226,19 @@ def _binary_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_histogram(spark, path)
 
 
+def _binary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}.ktab"
+    binary.write_kmer_table(_kept(spark, sf_dir), path, K)
+    return spark.read.format("ktab").load(path)
+
+
+def _binary_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}.prof"
+    binary.write_profiles(kmers.profiles(_reads(spark, sf_dir), _kept(spark, sf_dir), K), path, K)
+    rows = spark.read.format("kprof").load(path)
+    return rows.select("read_id", F.array_join(F.col("profile").cast("array<string>"), ",").alias("profile"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parque[t]")
@@ -313,6 +326,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_report": _read_again(tables.write_report, tables.read_report, _report),
     "stored_pair_text": _read_again(tables.write_pair_text, tables.read_pair_text, lambda s, d: pairs.extract(_unique(s, d), _annotated(s, d), K)),
     "stored_spectrum": _binary_histogram,
+    "stored_kmer_table": _binary_table,
+    "stored_profiles": _binary_profiles,
     "streaming_kmer_count": _stream,
 }
 
@@ -588,6 +603,8 @@ SQL: dict[str, str] = {
     "stored_centralities": f"SELECT round(cov, 4) AS cov, round(centrality, 4) AS centrality FROM ({_central('abs((mode_@ - cells.cov * @) / cells.cov)', ', '.join(map(repr, fit.grid(0, LOW, HIGH))))})",
     "stored_report": _wide(),
     "stored_spectrum": f"WITH {_SPECTRUM} SELECT greatest(2, least(6, multiplicity)) AS multiplicity, sum(n_unique)::BIGINT AS n_unique, sum(n_instances)::BIGINT AS n_instances FROM spectrum GROUP BY 1",
+    "stored_kmer_table": f"WITH {_KEPT} SELECT kmer, count, row_number() OVER (ORDER BY kmer) - 1 AS ordinal FROM kept",
+    "stored_profiles": f"WITH {_KEPT}, p AS (SELECT read_id, string_agg(coalesce(count, 0)::VARCHAR, ',' ORDER BY spot) AS profile FROM occ LEFT JOIN kept ON kept.kmer = least(occ.kmer, {_RC.format('occ.kmer')}) GROUP BY read_id) SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, profile FROM p",
     "streaming_kmer_count": f"WITH {_COUNTED} SELECT * FROM counted",
 }
 SQL["stored_pair_text"] = SQL["extract_pairs"]

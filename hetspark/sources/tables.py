@@ -19,7 +19,7 @@ def read_bins(spark: SparkSession, path: str) -> DataFrame:
 def write_bins(bins: DataFrame, path: str, mode: str = "error") -> None:
     """Bins below the bound of covB, sorted by covA + covB, then covB. mode: error, overwrite or ignore."""
     kept = bins.where((F.col("covB") < schema.MINOR_BOUND) & (F.col("freq") > 0)).select("covB", "covA", "freq")
-    kept.coalesce(1).sortWithinPartitions(F.col("covA") + F.col("covB"), "covB").write.csv(path, sep="\t", mode=mode)
+    kept.repartition(1).sortWithinPartitions(F.col("covA") + F.col("covB"), "covB").write.csv(path, sep="\t", mode=mode)
 
 
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def read_histogram(spark: SparkSession, path: str) -> DataFrame:
 
 def write_annotated(annotated: DataFrame, path: str, mode: str = "error") -> None:
     """covB, covA, freq, smudge with a header, by structure."""
-    annotated.select("covB", "covA", "freq", "smudge").coalesce(1).sortWithinPartitions("smudge", "covA", "covB").write.csv(path, sep="\t", header=True, mode=mode)
+    annotated.select("covB", "covA", "freq", "smudge").repartition(1).sortWithinPartitions("smudge", "covA", "covB").write.csv(path, sep="\t", header=True, mode=mode)
 
 
 def read_annotated(spark: SparkSession, path: str) -> DataFrame:
@@ -52,11 +52,11 @@ def read_annotated(spark: SparkSession, path: str) -> DataFrame:
 def write_centralities(found: DataFrame, path: str, mode: str = "error") -> None:
     """coverage and centrality with four digits, in the order of the search."""
     shown = [F.format_string("%.4f", F.round(c, 6)).alias(c) for c in ("cov", "centrality")]
-    found.coalesce(1).sortWithinPartitions("level", "cov").select(*shown).write.csv(path, sep="\t", mode=mode)
+    found.repartition(1).sortWithinPartitions("level", "cov").select(*shown).write.csv(path, sep="\t", mode=mode)
 
 
 def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
-    report.coalesce(1).write.csv(path, sep="\t", header=True, mode=mode)
+    report.repartition(1).write.csv(path, sep="\t", header=True, mode=mode)
 
 
 def write_pair_text(extracted: DataFrame, path: str, mode: str = "error") -> None:
@@ -82,12 +82,12 @@ def read_centralities(spark: SparkSession, path: str) -> DataFrame:
 
 def write_sizes(sizes: DataFrame, path: str, mode: str = "error") -> None:
     """structure, size, rel_size without a header, largest first."""
-    sizes.select("structure", "size", "rel_size").coalesce(1).sortWithinPartitions(F.desc("size"), "structure").write.csv(path, sep="\t", mode=mode)
+    sizes.select("structure", "size", "rel_size").repartition(1).sortWithinPartitions(F.desc("size"), "structure").write.csv(path, sep="\t", mode=mode)
 
 
 def write_histogram(histogram: DataFrame, path: str, mode: str = "error") -> None:
     """(value, n) as lines of both, by value."""
-    lines = histogram.coalesce(1).sortWithinPartitions("value").select(F.concat_ws("\t", "value", "n").alias("value"))
+    lines = histogram.repartition(1).sortWithinPartitions("value").select(F.concat_ws("\t", "value", "n").alias("value"))
     lines.write.mode(mode).text(path)
 
 

@@ -167,6 +167,25 @@ def test_profiles(spark, tmp_path, monkeypatch, slice_):
     assert {r.read_id: r.profile for r in spark.read.format("kprof").load(str(tmp_path / "p.prof")).collect()} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("k, lead, parts", [(6, 1, 3), (9, 2, 5), (21, 1, 1), (40, 2, 2)])
+def test_binary_tables_written_and_read(spark, tmp_path, k, lead, parts):
+    rng = random.Random(k)
+    rows = sorted({("".join(rng.choices("acgt", k=k))): rng.randrange(1, 40_000) for _ in range(300)}.items())
+    binary.write_kmer_table(spark.createDataFrame(rng.sample(rows, len(rows)), "kmer string, count bigint"), str(tmp_path / "w.ktab"), k, parts, lead)
+    got = spark.read.format("ktab").load(str(tmp_path / "w.ktab")).orderBy("ordinal").collect()
+    assert [tuple(r) for r in got] == [(w, min(n, 32767), i) for i, (w, n) in enumerate(rows)]
+    assert [r.kmer for r in binary.seek(spark, str(tmp_path / "w.ktab"), "kmer", rows[40][0], rows[44][0]).collect()] == [w for w, _ in rows[40:45]]
+
+
+def test_profiles_written_and_read(spark, tmp_path):
+    rng = random.Random(1)
+    profiles = [[], [5], [300], [7] * 200, [0, 31, -1 + 1, 32767, 0, 32, 0, 31]] + [[rng.choice((3, 3, 3, 4, 40, 4000)) for _ in range(rng.randrange(300))] for _ in range(40)]
+    assert [binary.decode_profile(binary.encode_profile(p)) for p in profiles] == profiles
+    df = spark.createDataFrame([(10 * i, p) for i, p in enumerate(profiles)], "read_id bigint, profile array<int>")
+    binary.write_profiles(df.repartition(3), str(tmp_path / "w.prof"), 21, 3)
+    assert {r.read_id: r.profile for r in spark.read.format("kprof").load(str(tmp_path / "w.prof")).collect()} == dict(enumerate(profiles))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from hetspark.operators.kmers import count_kmers
 
