@@ -335,8 +335,9 @@ def format_conversations(turns: DataFrame, template: str = CHAT, conv_col: str =
     is what its one result row has to hold anyway.
 
     Defined cases: null texts and roles are empty. Turns of a null conversation form one with a null id. Null turn
-    numbers come first; rows of one turn number are ordered by role and text, and repeated rows stay. Other columns
-    are ignored. An empty table gives an empty result.
+    numbers come first; rows of one turn number are ordered by role and text, and repeated rows stay. Conversation ids
+    are whole numbers; others end the job with an error. Very long texts stay whole. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
     compiled(template)  # a template that can't be read fails here, on the driver
 
@@ -378,7 +379,11 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """What format_conversations(), with CHAT, made, read back: id, n_turns, digests of turns and of masked text, sizes."""
+    """What format_conversations(), with CHAT, made, read back: id, n_turns, digests of turns and of masked text, sizes.
+
+    Defined cases: a row for each row of formatted, repeated ones too, whose texts and spans are not null; very long
+    texts are read back whole; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -81,12 +81,18 @@ class Manifest:
 
 
 def byte_ids(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(tokens binary): each text as its UTF-8 bytes, ids below 256 of width 1. Bytes 0xFF and 0xFE are free there."""
+    """(tokens binary): each text as its UTF-8 bytes, ids below 256 of width 1. Bytes 0xFF and 0xFE are free there.
+
+    Defined cases: null texts are null tokens, very long ones stay whole, repeated rows stay, other columns are ignored,
+    an empty table gives an empty result."""
     return docs.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("tokens"))
 
 
 def short_ids(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """(tokens binary): arrays of ids below 65536 as little-endian numbers of width 2."""
+    """(tokens binary): arrays of ids below 65536 as little-endian numbers of width 2.
+
+    Defined cases: null arrays are no tokens, arrays of any length stay whole, repeated rows stay, other columns are
+    ignored, an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +106,10 @@ def short_ids(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
 
 def bpe_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> tuple[DataFrame, int]:
     """(tokens binary, ids of the vocabulary): each text's BPE ids of width 2. Encoded once, in one pass, into a
-    compressed table under the checkpoint folder, from which all later jobs read."""
+    compressed table under the checkpoint folder, from which all later jobs read.
+
+    Defined cases: null and empty texts have no tokens, very long ones are encoded whole, repeated rows stay, other
+    columns are ignored, an empty table gives an empty result."""
     spark = docs.sparkSession
     use_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/ids-{uuid.uuid4().hex}"
@@ -121,7 +130,9 @@ def materialise(tokens: DataFrame, folder: str | None = None, seq_len: int = 102
     The input has to be a stored table or follow from one row by row, so that both jobs and repeated tasks read the same
     partitions; if a partition's count changes between the jobs, the job fails rather than leave holes.
 
-    Defined cases: null tokens are an empty document, which is `end` alone. An empty table gives no shard and n = 0.
+    Defined cases: null tokens are an empty document, which is `end` alone. Very long documents run over as many sequences
+    as they need. Repeated rows are documents of their own. Columns but tokens are ignored, whatever their names. An
+    empty table gives no shard and n = 0.
     """
     spark = tokens.sparkSession
     if folder is None:
