@@ -75,3 +75,44 @@ def test_on_spark(spark):
     assert len(out) == len(rows)
     assert got == {1: ("com/", "allow"), 2: (None, got[2][1]), 3: (None, got[2][1]), None: ("www.example.com/en/", "allow"), 5: ("net/es/", "block"), 6: ("example.com/en/", "block"), 7: (None, "block"), 8: (None, "allow")}
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def plain_split(url):
+    """Host and path as they are defined, character by character."""
+    at = (url or "").find("://")
+    if at < 0:
+        return "", ""
+    host, path, inside = [], [], "host"
+    for c in url[at + 3 :]:
+        if c in "?#":
+            break
+        if c == "/" and inside == "host":
+            inside = "path"
+        if inside == "host":
+            host.append(chr(ord(c) + 32) if "A" <= c <= "Z" else c)
+        else:
+            path.append(c)
+    return "".join(host), "".join(path)
+
+
+def test_stored_pages_against_a_plain_reading(spark):
+    """Host, path, rule and the rules' verdicts of all stored pages; what no rule fits gets the model's own verdict."""
+    from hetspark.llm.queries import op4_url_filter
+
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in op4_url_filter(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+    assert len(got) == len(pages)
+    fitted = 0
+    for p in pages:
+        host, path = plain_split(p.url)
+        fit = [(len(h) + len(start), h + start, kind) for kind, h, start in rules if (host == h or host.endswith("." + h)) and path.startswith(start)]
+        r = got[p.page_id]
+        assert (r.host, r.path) == (host, path) and r.verdict in ("allow", "block")
+        if fit:
+            fitted += 1
+            assert (r.rule, r.verdict) == (max(fit)[1], max(fit)[2])
+        else:
+            assert r.rule is None
+    assert fitted > 20
