@@ -246,13 +246,19 @@ class Encoder(bpe.Encoder):
         super().__init__(automaton, PIECES.format(r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))
         self.plain, self.special, self.find = self.find, [*automaton.special], self.pieces
         self.marks = automaton.marks
-        self.strange = regex.compile(f"[{strange}]") if strange else None
-        self.first = chr(int(strange[2:10], 16)) if strange else "\U0010ffff"
+        self.strange = regex.compile(f"[{strange}]").search if strange else None
         self.other = regex.compile(PIECES.format(rf"(?:(?![{strange}])\p{{L}})", rf"(?:(?![{strange}])\p{{N}})", rf"(?:[^\s\p{{L}}\p{{N}}]|[{strange}])")).findall if strange else None
+        self.first = chr(int(strange[2:10], 16)) if strange else ""
 
     def cut(self, text: str) -> list[str]:
-        plain = self.strange is None or text.isascii() or max(text) < self.first or not self.strange.search(text)
-        return self.plain(text) if plain else self.other(text)
+        if self.strange is None:
+            return self.plain(text)
+        try:
+            text.encode("latin-1")
+            odd = self.first < "\u0100" and self.strange(text)
+        except UnicodeEncodeError:
+            odd = self.strange(text)
+        return self.other(text) if odd else self.plain(text)
 
     def pieces(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):

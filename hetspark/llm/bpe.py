@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -171,6 +172,57 @@ class Ranks:
         return assembled(done, len(pieces))
 
 
+def _below(kind: str, end: int = 0x100) -> str:
+    """The characters below `end` that a class holds, as the inside of another class."""
+    member = regex.compile(kind).match
+    points = [c for c in range(end) if member(chr(c))]
+    return "".join(f"\\x{c:02x}" for c in points)
+
+
+def narrowed(pattern: str) -> Callable[[str], list[str]] | None:
+    """findall() of a pattern for texts of characters below U+0100: its classes written out for the standard library's
+    engine, which is over twice as fast. None if the pattern has more than letters, digits and spaces by class."""
+    out, at, inside = [], 0, False
+    if "(?i" in pattern:
+        return None
+    while at < len(pattern):
+        kind = next((k for k in (r"\p{L}", r"\p{N}", r"\s", r"\S") if pattern.startswith(k, at)), None)
+        if kind == r"\S":
+            if inside:
+                return None
+            out.append(f"[^{_below(chr(92) + 's')}]")
+        elif kind:
+            out.append(_below(kind) if inside else f"[{_below(kind)}]")
+        elif pattern[at] == "\\":
+            if pattern[at + 1].isalnum():
+                return None
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        else:
+            inside = (inside or pattern[at] == "[") and pattern[at] != "]"
+            out.append(pattern[at])
+        at += len(kind or "x")
+    try:
+        return re.compile("".join(out)).findall
+    except re.error:
+        return None
+
+
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """findall() of a pattern."""
+    full, narrow = regex.compile(pattern).findall, narrowed(pattern)
+
+    def find(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return full(text)
+        return narrow(text)
+
+    return find if narrow else full
+
+
 class _Numbers(dict):
     """Pieces to numbers in order of appearance."""
 
@@ -183,7 +235,7 @@ class Encoder:
     """Texts to ids. Pieces that were met before are looked up; new ones are merged together, in matrices."""
 
     def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find = ranks, finder(pattern)
         self.forget()
 
     def forget(self) -> None:

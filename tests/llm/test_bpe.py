@@ -89,3 +89,15 @@ def test_any_names_of_other_columns(spark):
     again = bpe.decode(out.withColumnRenamed("Tokens", "DECODED"), PATH)
     assert again.columns == ["doc id", "text", "q`r", "ids", "A.B", "decoded"] and all(r[-1] == r[-2] for r in again.collect())
     assert bpe.encode(df.where("false"), PATH, P.PATTERN).collect() == [] == bpe.packed_ids(df.where("false"), PATH, P.PATTERN).collect()
+
+
+def test_narrow_texts_are_cut_alike():
+    narrow, full = bpe.narrowed(P.PATTERN), bpe.regex.compile(P.PATTERN).findall
+    rng = random.Random(8)
+    every = [chr(c) for c in range(256)]
+    for alphabet in (every, list(" \t\n\x1c\x85\xa0aZé1²½'stdmrelv_-")):
+        for _ in range(3000):
+            text = "".join(rng.choices(alphabet, k=rng.randrange(30)))
+            assert narrow(text) == full(text)
+    assert bpe.finder(P.PATTERN)("aé 日本 x") == full("aé 日本 x")
+    assert bpe.narrowed(r"\w+") is None is bpe.narrowed(r"(?i:a)\s") and bpe.narrowed(r"[\S]") is None
