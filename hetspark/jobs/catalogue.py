@@ -576,11 +576,11 @@ SQL: dict[str, str] = {
     "legend_ticks": _legend("top * x[tick + 1] / 6"),
     "legend_ticks_log": _legend("pow(10::DOUBLE, log10(top) * x[tick + 1] / 6)"),
     "iso_grid_lines": f"""WITH {_PLOT}, low AS (SELECT min(covB)::DOUBLE AS l, max(total_pair_cov)::DOUBLE AS top FROM p), t AS (SELECT unnest(range(0, 500))::INT AS step), i AS (SELECT unnest(range(0, 16))::INT AS i),
-        a AS (SELECT i, step, (i + 0.5::DOUBLE) * {COV} AS at, l + ((i + 0.5::DOUBLE) * {COV} - l) * step / 499::DOUBLE AS b FROM low, t, i),
-        b AS (SELECT i, step, (i + 0.5::DOUBLE) * {COV} AS at, 2 * (i + 0.5::DOUBLE) * {COV} - 2 + (120 - (2 * (i + 0.5::DOUBLE) * {COV} - 2)) * step / 499::DOUBLE AS y FROM t, i WHERE i < 8),
+        a AS (SELECT i, step, (i + 0.5::DOUBLE) * {COV} AS mid, l + ((i + 0.5::DOUBLE) * {COV} - l) * step / 499::DOUBLE AS b FROM low, t, i),
+        b AS (SELECT i, step, (i + 0.5::DOUBLE) * {COV} AS mid, 2 * (i + 0.5::DOUBLE) * {COV} - 2 + (120 - (2 * (i + 0.5::DOUBLE) * {COV} - 2)) * step / 499::DOUBLE AS y FROM t, i WHERE i < 8),
         e AS (SELECT step, l, 2 * l - 2 + (top - (2 * l - 2)) * step / 499::DOUBLE AS y FROM low, t)
-        SELECT 'A' AS kind, i + 0.5::DOUBLE AS copies, step, round(b / (b + at), 6) AS x, round(b + at, 6) AS y FROM a WHERE b + at < 120
-        UNION ALL SELECT 'B', i + 0.5::DOUBLE, step, round(at / y, 6), round(y, 6) FROM b
+        SELECT 'A' AS kind, i + 0.5::DOUBLE AS copies, step, round(b / (b + mid), 6) AS x, round(b + mid, 6) AS y FROM a WHERE b + mid < 120
+        UNION ALL SELECT 'B', i + 0.5::DOUBLE, step, round(mid / y, 6), round(y, 6) FROM b
         UNION ALL SELECT 'error', 0, step, round((l - 1) / y, 6), round(y, 6) FROM e WHERE y <> 0""",
     "grid_labels": f"""WITH {_BINS}, low AS (SELECT min(covB)::DOUBLE AS l FROM bins), n AS (SELECT unnest(range(1, 1 + floor(120 / {COV})::INT))::INT AS n)
         SELECT n || 'Aerr' AS label, round(l / (n * {COV}::DOUBLE), 6) AS x, round(n * {COV}::DOUBLE + l, 6) AS y, CASE WHEN n = 1 THEN 'above' ELSE 'right' END AS side FROM low, n WHERE n < floor(120 / {COV})
