@@ -56,6 +56,12 @@ def test_columns_and_rows(spark, docs, name):
         assert rows.keys() == pages.keys()
         for i, r in rows.items():
             assert (r.host, r.path) == urls.split_url(pages[i]) and r.verdict in ("allow", "block") and (r.rule is None or r.verdict == dict(urls.RULES)[r.rule])
+    elif name == "op11_lexical_search":
+        ranks = sorted((r.item_id, r.rank) for r in df.collect())
+        assert ranks == [(i, k) for i in sorted(rows) for k in range(1, 21)] and len(rows) == spark.read.parquet(f"{SF}/benchmark.parquet").count()
+    elif name == "op12_prefix_trie":
+        nodes = df.collect()
+        assert len({(r.conv_id, r.depth) for r in nodes}) == len(nodes) and sum(r.parent_conv_id is None for r in nodes) == 1
     elif name != "op10_token_shards":
         assert rows.keys() == docs.keys() and df.count() == len(docs)
     if name == "op5_byte_bpe":
