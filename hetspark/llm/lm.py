@@ -22,16 +22,20 @@ CLASSES = 64
 OWN = CLASSES * CLASSES - 1
 EDGE = OWN + 1
 WIDTH = 16
-#: Every STRIDE-th token of each text is trained on (more of them where that makes fewer than WINDOWS), once in each
-#: round, with these rates; the first one follows from the text, so that no layout of the table bears on the choice. A
-#: replica of the network gets about WINDOWS of these tokens.
-STRIDE, WINDOWS, RATES = 64, 500_000, (0.3, 0.15, 0.05)
+#: The last round trains on every token of every text. The rounds before it only find where to begin: they take every
+#: STRIDE-th piece (more of them where that makes fewer than WINDOWS tokens), in small corpora all. Rates are by round. A
+#: replica of the network gets about WINDOWS tokens, and in the last round WHOLE times as many.
+STRIDE, WINDOWS, WHOLE, RATES = 64, 500_000, 8, (0.3, 0.15, 0.1)
+#: Tokens of a text that stay together when they are dealt to replicas.
+PIECE = 256
 #: Weights that are averaged together: what a task adds up at a time.
 TOGETHER = 1 << 13
-#: Tokens to a step; where a replica would take fewer than STEPS steps, fewer.
-BATCH, STEPS, PACKED = 2048, 150, 64
-#: Tokens scored at a time, which bounds memory only.
-BLOCK = 1 << 13
+#: Tokens to a step, and in the last round; where a replica would take fewer than STEPS steps, fewer.
+BATCH, LARGE, STEPS = 2048, 1 << 14, 150
+#: Tokens scored at a time, and rows that stand in a matrix at a time, which bound memory only.
+BLOCK, ROWS = 1 << 14, 2048
+AROUND = (*range(-SIDE, 0), *range(1, SIDE + 1))
+ONES = np.ones(CLASSES, np.float32)
 
 
 @dataclass
@@ -45,30 +49,30 @@ class Network:
     to_place: np.ndarray  # CLASSES x WIDTH x CLASSES
     place_bias: np.ndarray  # CLASSES x CLASSES
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.embed[0].take(around[:, 0], 0)
+    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
+        """Of the places at each position of the window, one array a position."""
+        h = self.embed[0].take(around[0], 0)
         for p in range(1, 2 * SIDE):
-            h += self.embed[p].take(around[:, p], 0)
+            h += self.embed[p].take(around[p], 0)
         h += self.bias
         return np.tanh(h, out=h)
 
+    def small(self) -> bool:
+        """Whether exp() of all that the softmaxes can meet is known to be finite: hidden values lie between -1 and 1."""
+        return max(np.abs(w).sum(-2).max() + np.abs(b).max() for w, b in ((self.to_class, self.class_bias), (self.to_place, self.place_bias))) < 80
+
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | around) of each row: log p(class) + log p(place | class)."""
         order, ends = _by_class(target)
-        h, target = self.hidden(around[order]), target[order]
-        # Hidden values lie between -1 and 1, so weights bound what exp() meets.
-        small = max(np.abs(w).sum(-2).max() + np.abs(b).max() for w, b in ((self.to_class, self.class_bias), (self.to_place, self.place_bias))) < 80
+        h, target, small = self.hidden([around[:, p].take(order) for p in range(2 * SIDE)]), target.take(order), self.small()
         of, place = target // CLASSES, target % CLASSES
-        z = h @ self.to_class
-        z += self.class_bias
-        got = z[np.arange(len(of)), of]
-        got -= _log_sum(z, small)
+        got = np.empty(len(target), np.float32)
+        for a in range(0, len(target), ROWS):
+            r = slice(a, a + ROWS)
+            got[r] = _log_softmax(h[r], self.to_class, self.class_bias, of[r], small)
         for c in np.flatnonzero(np.diff(ends)):
-            a, b = ends[c], ends[c + 1]
-            z = h[a:b] @ self.to_place[c]
-            z += self.place_bias[c]
-            got[a:b] += z[np.arange(b - a), place[a:b]]
-            got[a:b] -= _log_sum(z, small)
+            r = slice(ends[c], ends[c + 1])
+            got[r] += _log_softmax(h[r], self.to_place[c], self.place_bias[c], place[r], small)
         out = np.empty(len(target), np.float32)
         out[order] = got
         return out
@@ -83,24 +87,37 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(of, kind="stable"), np.r_[0, np.cumsum(np.bincount(of, minlength=CLASSES))]
 
 
-def _log_sum(z: np.ndarray, small: bool = False) -> np.ndarray:
-    """log of the sum of exp over each row; z is overwritten by exp(z less the row's largest), or by exp(z) where all
-    of it is known to be small."""
-    if small:
-        return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
-    top = z.max(1)
-    z -= top[:, None]
+def _exp(z: np.ndarray, small: bool) -> np.ndarray:
+    """exp(z), or where z is not known to be small exp(z less the row's largest); overwrites z and returns what was
+    taken off each row."""
+    top = np.float32(0) if small else z.max(1)
+    if not small:
+        z -= top[:, None]
     np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], np.float32)) + top
+    return top
+
 
+def _log_softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndarray, small: bool) -> np.ndarray:
+    """log softmax(h @ weights + bias)[which] of each row."""
+    z = h @ weights
+    z += bias
+    got = z[np.arange(len(h)), which]
+    top = _exp(z, small)
+    got -= np.log(z @ ONES) + top
+    return got
 
-def _less_target(z: np.ndarray, which: np.ndarray, scale: float) -> np.ndarray:
-    """The gradient by z of -log softmax(z)[which], times scale; overwrites z."""
-    _log_sum(z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(z)), which] -= 1
-    z *= scale
-    return z
+
+def _gradients(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndarray, scale: np.float32, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradients by h, weights and bias of the sum of -log softmax(h @ weights + bias)[which], times scale."""
+    z = h @ weights
+    z += bias
+    _exp(z, small)
+    total = z @ ONES
+    z[np.arange(len(h)), which] -= total
+    total = scale / total  # z times this is the gradient by the logits; the narrower factors are multiplied instead
+    back = z @ weights.T
+    back *= total[:, None]
+    return back, (h * total[:, None]).T @ z, total @ z
 
 
 def network(weights: np.ndarray) -> Network:
@@ -131,25 +148,41 @@ class Trainer:
         getattr(self.net, name)[at] -= self.rate * grad / np.sqrt(seen[at])
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        net, scale = self.net, np.float32(BATCH / len(target))  # the sum over BATCH tokens
+        """On windows that don't stand in a line: each one is a line of its own."""
+        line = np.column_stack([around[:, :SIDE], target, around[:, SIDE:]]).astype(np.uint16)
+        self.step_line(line.ravel(), np.arange(len(target)) * line.shape[1] + SIDE)
+
+    def step_line(self, line: np.ndarray, at: np.ndarray) -> None:
+        """On the tokens at these points of a line of places, each with its neighbours in the line."""
+        net, scale, small = self.net, np.float32(BATCH / len(at)), self.net.small()  # the sum over BATCH tokens
+        target = line.take(at)
         order, ends = _by_class(target)
-        around, target = around[order], target[order]
+        at, target = at.take(order), target.take(order)
         of, place = target // CLASSES, target % CLASSES
-        h = net.hidden(around)
-        g = _less_target(h @ net.to_class + net.class_bias, of, scale)
-        back = g @ net.to_class.T
-        moves = [("to_class", ..., h.T @ g), ("class_bias", ..., g.sum(0))]
+        h = net.hidden([line.take(at + d) for d in AROUND])
+        back, by_class, by_bias = np.empty_like(h), 0, 0
+        for a in range(0, len(h), ROWS):
+            r = slice(a, a + ROWS)
+            back[r], w, b = _gradients(h[r], net.to_class, net.class_bias, of[r], scale, small)
+            by_class, by_bias = by_class + w, by_bias + b
+        moves = [("to_class", ..., by_class), ("class_bias", ..., by_bias)]
         for c in np.flatnonzero(np.diff(ends)):
-            a, b = ends[c], ends[c + 1]
-            g = _less_target(h[a:b] @ net.to_place[c] + net.place_bias[c], place[a:b], scale)
-            back[a:b] += g @ net.to_place[c].T
-            moves += [("to_place", c, h[a:b].T @ g), ("place_bias", c, g.sum(0))]
+            r = slice(ends[c], ends[c + 1])
+            x, w, b = _gradients(h[r], net.to_place[c], net.place_bias[c], place[r], scale, small)
+            back[r] += x
+            moves += [("to_place", c, w), ("place_bias", c, b)]
         back *= 1 - h * h
         moves.append(("bias", ..., back.sum(0)))
-        for p in range(2 * SIDE):
-            order = np.argsort(around[:, p], kind="stable")
-            tokens, starts = np.unique(around[order, p], return_index=True)
-            moves.append(("embed", (p, tokens), np.add.reduceat(back[order], starts, axis=0)))
+        # A token is a neighbour of the targets before and after it: what these send back, shifted, and sorted by tokens
+        # once for all positions, is added up along rows.
+        sent = np.zeros((len(line) + 2 * SIDE, WIDTH), np.float32)
+        sent[at + SIDE] = back
+        sent, order = np.ascontiguousarray(sent.T), np.argsort(line, kind="stable")
+        tokens = line.take(order)
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        tokens = tokens[starts]
+        for p, d in enumerate(AROUND):
+            moves.append(("embed", (p, tokens), np.add.reduceat(sent.take(order + (SIDE - d), 1), starts, axis=1).T))
         for m in moves:
             self._move(*m)
 
@@ -221,52 +254,79 @@ def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, tail, np.bincount(place, weights=counts, minlength=OWN + 1)
 
 
-def training_windows(tokens: DataFrame, place: np.ndarray, stride: int, replicas: int) -> DataFrame:
-    """(replica, windows binary): every stride-th token of each text with the tokens around it, PACKED windows a row,
-    dealt to replicas by their hash, one partition each and sorted by it, so that each one's are from texts of all
-    places and come in an order of their own. Grows with the corpus."""
-    shared = tokens.sparkSession.sparkContext.broadcast(place)
+def pieces(tokens: DataFrame, place: np.ndarray, stride: int = 1) -> DataFrame:
+    """(line binary): the places of every PIECE tokens of each text, with the SIDE tokens or edges before and after them,
+    as numbers of width 2. With a stride only those whose checksum it divides."""
+    shared, edge = tokens.sparkSession.sparkContext.broadcast(place), np.full(SIDE, EDGE, "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value.astype("<u2")
         for batch in batches:
             for _, _, texts in _texts(batch):
-                first = [zlib.crc32(x.tobytes()) % stride for x in texts]
-                counts = [max(0, -(-(len(x) - f) // stride)) for x, f in zip(texts, first, strict=True)]
-                around, target = windows([shared.value[x] for x in texts], stride, first)
-                rows, at, packed = np.column_stack([around, target]).astype("<u2"), 0, []
-                for n in counts:
-                    packed += [rows[a : min(a + PACKED, at + n)].tobytes() for a in range(at, at + n, PACKED)]
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["windows"])
-
-    rows = tokens.select("tokens").mapInArrow(run, "windows binary")
-    hashed = rows.select(F.xxhash64("windows").alias("hash"), "windows").withColumn("replica", F.pmod("hash", F.lit(replicas)).cast("int"))
-    return settled(hashed.repartitionById(replicas, "replica").sortWithinPartitions("hash", "windows").select("replica", "windows"))
-
-
-def trained(windows: DataFrame, net: Network, rate: float, batch: int = BATCH) -> Network:
-    """The mean of replicas that start from net and take a step for each `batch` of their own windows, weighted by the
-    number of these. A replica streams its windows, so that their number doesn't bear on its memory. Weights travel in
-    blocks of TOGETHER, and the blocks of one place are added up in the order of replicas."""
-    shared = windows.sparkSession.sparkContext.broadcast(net.weights())
+                lines = []
+                for x in texts:
+                    raw = np.concatenate([edge, place.take(x), edge]).tobytes()
+                    lines += [raw[2 * a : 2 * (a + PIECE + 2 * SIDE)] for a in range(0, len(x), PIECE)]
+                if stride > 1:
+                    lines = [x for x in lines if zlib.crc32(x) % stride == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["line"])
+
+    return tokens.select("tokens").mapInArrow(run, "line binary")
+
+
+def dealt(pieces: DataFrame, replicas: int) -> DataFrame:
+    """(replica, times, line): the pieces, one partition a replica, in an order of their own that mixes texts of all
+    places. A piece's hash says where it goes; its copies, whose number alone counts, go to one replica after the other,
+    so that many of them burden none, and beyond one for each replica they are sent once with their number."""
+    counted = pieces.groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("hash", F.xxhash64("line"))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(replicas)).cast("int") - 1)))
+    times = F.expr(f"cast(n div {replicas} as int)") + F.when(F.col("copy") < F.col("n") % replicas, 1).otherwise(0)
+    replica = F.pmod(F.pmod("hash", F.lit(replicas)) + F.col("copy"), F.lit(replicas)).cast("int")
+    rows = each.select(replica.alias("replica"), times.alias("times"), "line", F.xxhash64("hash", "copy").alias("order"))
+    return rows.repartitionById(replicas, "replica").sortWithinPartitions("order", "line").select("replica", "times", "line")
+
+
+def trained(given: DataFrame, net: Network, rate: float, batch: int = BATCH) -> Network:
+    """The mean of replicas that start from net and take a step for each `batch` tokens of what dealt() gives them,
+    weighted by the number of these. A replica streams its pieces, so that their number doesn't bear on its memory.
+    Weights travel in blocks of TOGETHER, and the blocks of one place are added up in the order of replicas."""
+    shared = given.sparkSession.sparkContext.broadcast(net.weights())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, n, replica = Trainer(network(shared.value), rate), 0, 0
-        rest = np.zeros((0, 2 * SIDE + 1), "<u2")
+        held, waiting = [], 0
+
+        def steps(last: bool = False) -> None:
+            nonlocal held, n, waiting
+            sizes = np.array([len(x) // 2 - 2 * SIDE for x in held], np.int64)
+            line = np.frombuffer(b"".join(held), "<u2").astype(np.uint16)
+            at = np.arange(waiting) + np.repeat(2 * SIDE * np.arange(len(held)) + SIDE, sizes)
+            for a in range(0, waiting if last else waiting // batch * batch, batch):
+                part = at[a : a + batch]
+                low = part[0] - SIDE
+                trainer.step_line(line[low : part[-1] + SIDE + 1], part - low)
+                n += len(part)
+            # What waits for the next step begins anew as a piece, with its neighbours before it.
+            left = at[waiting // batch * batch :]
+            if len(left) and not last:
+                k = np.searchsorted(np.cumsum(sizes), waiting - len(left), "right")
+                end = int(np.cumsum(sizes + 2 * SIDE)[k])
+                held = [line[left[0] - SIDE : end].tobytes(), *held[k + 1 :]]
+            else:
+                held = []
+            waiting = len(left) if not last else 0
+
         for b in batches:
-            if not len(b):
-                continue
-            replica = b.column(0)[0].as_py()
-            raw = b"".join(b.column(1).to_pylist())
-            rest = np.concatenate([rest, np.frombuffer(raw, "<u2").reshape(-1, 2 * SIDE + 1)])
-            for at in range(0, len(rest) - batch + 1, batch):
-                part = rest[at : at + batch]
-                trainer.step(part[:, :-1], part[:, -1])
-                n += batch
-            rest = rest[len(rest) // batch * batch :]
-        if len(rest):
-            trainer.step(rest[:, :-1], rest[:, -1])
-            n += len(rest)
+            if len(b):
+                replica = b.column(0)[0].as_py()
+            for times, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for _ in range(times):
+                    held.append(raw)
+                    waiting += len(raw) // 2 - 2 * SIDE
+                    if waiting >= batch:
+                        steps()
+        if held:
+            steps(last=True)
         if n:
             w = trainer.net.weights()
             blocks = [w[a : a + TOGETHER].tobytes() for a in range(0, len(w), TOGETHER)]
@@ -285,9 +345,9 @@ def trained(windows: DataFrame, net: Network, rate: float, batch: int = BATCH) -
         if total:
             yield done()
 
-    each = windows.mapInArrow(run, "block int, replica int, n bigint, weights binary")
-    dealt = each.repartition("block").sortWithinPartitions("block", "replica").select("block", "n", "weights")
-    rows = dealt.mapInArrow(mean, "block int, weights binary").collect()  # the weights of one network
+    each = given.mapInArrow(run, "block int, replica int, n bigint, weights binary")
+    by_block = each.repartition("block").sortWithinPartitions("block", "replica").select("block", "n", "weights")
+    rows = by_block.mapInArrow(mean, "block int, weights binary").collect()  # the weights of one network
     if not rows:
         return net
     return network(np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(rows, key=lambda r: r.block)]))
@@ -303,20 +363,24 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
 def fit(tokens: DataFrame, size: int, stride: int = STRIDE, rates: tuple[float, ...] = RATES) -> Model:
     """A model of tokens(tokens binary, as encoded() gives them), whatever their number.
 
-    Counts of ids come from all texts. The network is trained by replicas: windows around every stride-th token of the
-    corpus are dealt to as many replicas as there are WINDOWS of them; in each round all replicas start from the shared
-    weights, take Adagrad steps and are averaged. Only the mean, some hundred thousand numbers, comes to the driver.
-    What is trained on what, and in which order, follows from the texts alone: neither the table's partitions nor the
-    cluster's cores bear on the model.
+    Counts of ids come from all texts, and every token of every text is trained on. The network is trained by replicas:
+    in each round all of them start from the shared weights, take Adagrad steps on the pieces of text that are dealt to
+    them, and are averaged. The first rounds, on some pieces (in small corpora on all), make a network to start from;
+    the last one goes over all pieces of all texts, by as many replicas as there are WHOLE * WINDOWS tokens. Only the
+    mean, some hundred thousand numbers, comes to the driver. What is trained on what, and in which order, follows from
+    the texts alone: neither the table's partitions nor the cluster's cores bear on the model.
     """
     counts = id_counts(tokens, size)
     place, tail, by_place = places(counts)
     total = int(counts.sum())
     stride = max(1, min(stride, total // WINDOWS))
-    replicas = max(1, round(total / stride / WINDOWS))
-    net, given = untrained(by_place), training_windows(tokens, place, stride, replicas)
-    for rate in rates:
-        net = trained(given, net, rate, max(64, min(BATCH, total // (stride * replicas * STEPS))))
+    net = untrained(by_place)
+    some, n = total // stride, max(1, round(total / stride / WINDOWS))
+    first = settled(dealt(pieces(tokens, place, stride), n))
+    for rate in rates[:-1]:
+        net = trained(first, net, rate, max(64, min(BATCH, some // (n * STEPS))))
+    n = max(1, round(total / (WHOLE * WINDOWS)))
+    net = trained(dealt(pieces(tokens, place), n), net, rates[-1], max(64, min(LARGE, total // (n * STEPS))))
     return Model(net, place, tail)
 
 

@@ -173,3 +173,52 @@ def test_partitions_and_cores_do_not_bear_on_the_model(spark, monkeypatch, per_r
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert np.allclose(scores[0], scores[1], rtol=1e-6) and np.allclose(scores[0], scores[2], rtol=1e-6)
+
+
+def trained_on(rows):
+    """Replica, and window, of everything that the pieces dealt to replicas make them train on."""
+    for r in rows:
+        line = np.frombuffer(r.line, "<u2").tolist()
+        for i in range(lm.SIDE, len(line) - lm.SIDE):
+            for _ in range(r.times):
+                yield r.replica, (*line[i - lm.SIDE : i], *line[i + 1 : i + 1 + lm.SIDE], line[i])
+
+
+def test_every_token_of_every_text_is_trained_on(make, monkeypatch):
+    monkeypatch.setattr(lm, "WINDOWS", 300)
+    r, rounds, plain = random.Random(6), [], lm.trained
+    texts = [" ".join(r.choice(["the", "cat", "sees", "a", "dog."]) for _ in range(r.randrange(600))) for _ in range(30)]
+    texts += ["the same text. " * 9] * 40 + [None, "", "one", "word " * 3000]
+    monkeypatch.setattr(lm, "trained", lambda given, *a: rounds.append(given.collect()) or plain(given, *a))
+    tokens, size = encoded(make([(i, t, "s") for i, t in enumerate(texts)]).repartition(3))
+    model = lm.fit(tokens, size)
+    want = Counter((*map(int, a), int(t)) for a, t in slow_windows([model.place[x] for x in ids_of([t or "" for t in texts])]))
+    got = [*trained_on(rounds[-1])]
+    assert Counter(w for _, w in got) == want and len(rounds) == len(lm.RATES)
+    by_replica = Counter(n for n, _ in got)
+    assert len(by_replica) > 3 and max(by_replica.values()) < 3 * sum(want.values()) / len(by_replica)
+
+
+def test_many_copies_burden_no_replica(make):
+    tokens, size = encoded(make([(i, "a text that stands in the corpus often.", "s") for i in range(103)] + [(200, "another one", "s")]))
+    rows = lm.dealt(lm.pieces(tokens, np.minimum(np.arange(size), lm.OWN).astype(np.uint16)), 4).collect()
+    often = Counter()
+    for x in rows:
+        often[x.line, x.replica] += x.times
+    assert sorted(often.values()) == [1, 25, 26, 26, 26] and len(rows) == 5
+
+
+@pytest.mark.parametrize("batch", [7, 300])
+def test_steps_are_of_one_size_wherever_pieces_end(spark, batch):
+    """What a replica trains on, step by step, are its pieces' windows in their order."""
+    rng = np.random.default_rng(8)
+    lines = [rng.integers(0, 90, n + 2 * lm.SIDE).astype("<u2").tobytes() for n in (1, 5, 256, 40, 7, 3, 256)]
+    df = spark.createDataFrame([(0, t, bytearray(x)) for t, x in zip((1, 1, 2, 1, 3, 1, 1), lines)], "replica int, times int, line binary").coalesce(1)
+    net, rate = noisy(9), 0.05
+    got = lm.trained(df, net, rate, batch)
+    rows = [w for _, w in trained_on([type("Row", (), {"replica": 0, "times": 1, "line": x}) for t, x in zip((1, 1, 2, 1, 3, 1, 1), lines) for _ in range(t)])]
+    trainer = lm.Trainer(lm.network(net.weights()), rate)
+    for a in range(0, len(rows), batch):
+        part = np.array(rows[a : a + batch])
+        trainer.step(part[:, :-1], part[:, -1])
+    assert np.allclose(got.weights(), trainer.net.weights(), atol=1e-4)
