@@ -249,6 +249,7 @@ class Encoder(bpe.Encoder):
         self.strange = regex.compile(f"[{strange}]").search if strange else None
         self.other = regex.compile(PIECES.format(rf"(?:(?![{strange}])\p{{L}})", rf"(?:(?![{strange}])\p{{N}})", rf"(?:[^\s\p{{L}}\p{{N}}]|[{strange}])")).findall if strange else None
         self.first = chr(int(strange[2:10], 16)) if strange else ""
+        self.in_numpy = self.in_numpy and not (strange and self.first < "\u0100")
 
     def cut(self, text: str) -> list[str]:
         if self.strange is None:
@@ -260,6 +261,10 @@ class Encoder(bpe.Encoder):
             odd = self.strange(text)
         return self.other(text) if odd else self.plain(text)
 
+    def all_pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        marked = any(s in t for t in texts for s in self.special)
+        return self.found(texts) if marked else super().all_pieces(texts)
+
     def pieces(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
             return self.cut(text)

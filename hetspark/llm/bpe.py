@@ -7,10 +7,10 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ WIDEST = 256
 #: Columns of the matrix for pieces of each length: steps of four up to 32 bytes, powers of two beyond.
 WIDTHS = np.array([max(4, -(-n // 4) * 4) if n <= 32 else 1 << (n - 1).bit_length() for n in range(WIDEST + 1)], np.int64)
 #: Pieces a worker remembers before it starts anew, and characters taken at a time: both bound memory only.
-REMEMBERED, AT_A_TIME = 150_000, 500_000
+REMEMBERED, AT_A_TIME = 200_000, 2_000_000
 
 
 class PairTable:
@@ -100,31 +100,42 @@ class Ranks:
     def merge_matrix(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of padded ids, all merged. In each round every row that still can merges its leftmost pair of least
         rank, closes the gap and looks up the two new pairs; the others leave the matrix. All rows that stay get
-        shorter by one, so the matrix loses a column each round. Returns the padded ids and their lengths."""
-        out, sizes = np.full_like(ids, -1), lengths.copy()
-        alive, ranks = np.arange(len(ids)), self.lookup(ids[:, :-1], ids[:, 1:])
-        while ranks.shape[1] and len(alive):
-            at = ranks.argmin(1)
-            least = ranks[np.arange(len(alive)), at]
-            live = least < NONE
+        shorter by one, so the matrix loses a column each round. Returns the padded ids and their lengths.
+
+        Inside, a row stands in a column, and a pair is its rank and its place as one number, whose least one is both."""
+        ids = np.ascontiguousarray(ids.T)
+        bits = max(1, (len(ids) - 1).bit_length())
+        kind = np.int32 if len(self.token) << bits < 1 << 29 else np.int64
+        none = kind(1 << (30 if kind is np.int32 else 60))
+
+        def keys_of(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+            ranks = self.lookup(left, right)
+            return np.where(ranks < NONE, ranks.astype(kind) << kind(bits) | at, none)
+
+        places = np.arange(len(ids), dtype=kind)[:, None]
+        out, sizes, alive = np.full_like(ids, -1), lengths.copy(), np.arange(ids.shape[1])
+        keys = keys_of(ids[:-1], ids[1:], places[:-1])
+        while len(keys) and len(alive):
+            least = keys.min(0)
+            live = least < none // 2  # what moves by a place loses one, so none does not stay exactly that
             if not live.all():
-                out[alive[~live], : ids.shape[1]] = ids[~live]
-                alive, ids, ranks, at, least = alive[live], ids[live], ranks[live], at[live], least[live]
+                out[: len(ids), alive[~live]] = ids[:, ~live]
+                live = np.flatnonzero(live)
+                alive, ids, keys, least = alive[live], ids.take(live, 1), keys.take(live, 1), least[live]
                 if not len(alive):
-                    return out, sizes
-            rows, width = np.arange(len(alive)), ids.shape[1] - 1
-            columns = np.arange(width)
-            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
-            ids[rows, at] = least
+                    return out.T, sizes
+            at, least, width = least & kind((1 << bits) - 1), (least >> kind(bits)).astype(np.int32), len(ids) - 1
+            ids = np.where(places[:width] <= at, ids[:-1], ids[1:])
+            ids[at, np.arange(len(alive))] = least
             sizes[alive] -= 1
-            columns = columns[: width - 1]
-            ranks = np.take_along_axis(ranks, columns + (columns >= at[:, None]), 1)
-            left = at > 0
-            ranks[rows[left], at[left] - 1] = self.lookup(ids[rows[left], at[left] - 1], least[left])
-            right = at < width - 1
-            ranks[rows[right], at[right]] = self.lookup(least[right], ids[rows[right], at[right] + 1])
-        out[alive, : ids.shape[1]] = ids
-        return out, sizes
+            keys = np.where(places[: width - 1] < at, keys[:-1], keys[1:] - kind(1))
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < width - 1)
+            here = at[left] - kind(1)
+            keys[here, left] = keys_of(ids[here, left], least[left], here)
+            here = at[right]
+            keys[here, right] = keys_of(least[right], ids[here + 1, right], here)
+        out[: len(ids), alive] = ids
+        return out.T, sizes
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """One long piece: a heap of (rank, place), and links to the neighbours that are left."""
@@ -223,43 +234,106 @@ def finder(pattern: str) -> Callable[[str], list[str]]:
     return find if narrow else full
 
 
-class _Numbers(dict):
-    """Pieces to numbers in order of appearance."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        return n
+#: GPT-2's pattern, which most byte-level vocabularies cut by.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Kinds of the characters below U+0100 in it: space, letter, digit, other.
+KINDS = np.array([next((k for k, c in enumerate((r"\s", r"\p{L}", r"\p{N}")) if regex.match(c, chr(i))), 3) for i in range(0x100)], np.uint8)
+
+
+def gpt2_starts(chars: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces of GPT-2's pattern start in texts of characters below U+0100 that follow each other without a
+    gap, each (none empty) from its begin on: pieces cover a text, so starts say all."""
+    if not len(chars):
+        return np.zeros(0, np.int64)
+    kind, begin = KINDS[chars], np.zeros(len(chars), bool)
+    begin[begins] = True
+    last, blank = np.r_[begin[1:], True], kind == 0
+    changed = np.r_[True, kind[1:] != kind[:-1]]
+    # A run of one kind, with the space before it; of other blanks the one before a run stands alone.
+    start = changed & ~blank & ~np.r_[False, chars[:-1] == 0x20]
+    start |= blank & (changed | np.r_[~blank[1:], False] & ~last)
+    start |= begin
+    # Where a piece starts with an apostrophe, the ending after it is of that piece, and what follows is not.
+    at = np.flatnonzero(start & (chars == ord("'")) & ~last)
+    following = chars[at + 1]
+    short = at[np.isin(following, np.frombuffer(b"stmd", np.uint8))]
+    at = at[~last[at + 1]]
+    pair = chars[at + 1].astype(int) << 8 | chars[at + 2]
+    long = at[np.isin(pair, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])]
+    start[np.r_[short, long] + 1] = False
+    after = np.r_[short + 2, long + 3]
+    start[after[after < len(chars)]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """Texts to ids. Pieces that were met before are looked up; new ones are merged together, in matrices."""
 
     def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.find = ranks, finder(pattern)
+        self.ranks, self.find, self.in_numpy = ranks, finder(pattern), pattern == GPT2
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.flat, self.starts, self.counts = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.flat, self.starts, self.counts, self.met = pa.array([], pa.binary()), np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def forget_rare(self) -> None:
+        """Pieces met once go; all, if the others are too many to leave room."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > REMEMBERED // 2:
+            return self.forget()
+        self.known, self.flat = self.known.take(pa.array(kept)), self.flat[_runs(self.starts[kept], self.counts[kept])]
+        self.counts, self.met = self.counts[kept], self.met[kept] // 2
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text)."""
-        if len(self.numbers) > REMEMBERED:
-            self.forget()
-        pieces, ends = [], []
-        for t in texts:
-            pieces += self.find(t)
-            ends.append(len(pieces))
-        known = len(self.numbers)
-        which = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-        if len(self.numbers) > known:
-            new = [w.encode() for w in islice(self.numbers, known, None)]
-            flat, counts = self.ranks.encode_pieces(new)
+        if len(self.known) > REMEMBERED:
+            self.forget_rare()
+        pieces, sizes = self.all_pieces(texts)
+        which = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            new = pieces.take(pa.array(missing)).dictionary_encode()
+            which[missing] = len(self.known) + new.indices.to_numpy()
+            flat, counts = self.ranks.encode_pieces(new.dictionary.to_pylist())
+            self.known = pa.concat_arrays([self.known, new.dictionary])
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(counts) - counts]
-            self.flat, self.counts = np.r_[self.flat, flat], np.r_[self.counts, counts]
+            self.flat, self.counts, self.met = np.r_[self.flat, flat], np.r_[self.counts, counts], np.r_[self.met, np.zeros(len(counts), np.int64)]
+        self.met += np.bincount(which, minlength=len(self.met))
         counts = self.counts[which]
-        upto = np.cumsum(counts)
-        ids = self.flat[np.arange(int(counts.sum())) + np.repeat(self.starts[which] - (upto - counts), counts)]
-        return ids, np.diff(np.r_[0, np.r_[0, upto][np.array(ends, np.int64)]])
+        ids = self.flat[_runs(self.starts[which], counts)]
+        return ids, np.diff(np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(sizes)]])
+
+    def all_pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(all pieces in order as UTF-8, how many each text has)."""
+        if not self.in_numpy:
+            return self.found(texts)
+        try:
+            raw = "".join(texts).encode("latin-1")
+        except UnicodeEncodeError:  # runs of texts that have further characters, and of texts that have none
+            wide = np.array([not t.isascii() and max(t) > "\xff" for t in texts])
+            bounds = [0, *(np.flatnonzero(np.diff(wide)) + 1).tolist(), len(texts)]
+            parts = [(self.found if wide[a] else self.all_pieces)(texts[a:b]) for a, b in zip(bounds, bounds[1:])]
+            return pa.concat_arrays([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+        chars = np.frombuffer(raw, np.uint8)
+        bounds = np.r_[0, np.cumsum([*map(len, texts)])].astype(np.int64)
+        starts = gpt2_starts(chars, bounds[:-1][np.diff(bounds) > 0])
+        ends = np.r_[starts, len(raw)]
+        if not raw.isascii():  # characters from U+0080 on have two bytes
+            ends, raw = ends + np.r_[0, np.cumsum(chars >= 0x80)][ends], "".join(texts).encode()
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+        return pieces, np.diff(np.searchsorted(starts, bounds))
+
+    def found(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """all_pieces() by the pattern itself."""
+        found = [self.find(t) for t in texts]
+        return pa.array([w.encode() for f in found for w in f], pa.binary()), np.array([*map(len, found)], np.int64)
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all runs of so many from these starts on, one run after the other."""
+    upto = np.cumsum(counts)
+    return np.arange(int(counts.sum())) + np.repeat(starts - (upto - counts), counts)
 
 
 _LOADED: dict[str, Ranks] = {}
@@ -348,8 +422,8 @@ def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(loaded(shared.value), pattern)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, len(batch), 1024):
+                rows = batch.slice(at, 1024)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 for a, b in slices(texts):
                     ids, counts = encoder.encode(texts[a:b])

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -101,3 +102,28 @@ def test_narrow_texts_are_cut_alike():
             assert narrow(text) == full(text)
     assert bpe.finder(P.PATTERN)("aé 日本 x") == full("aé 日本 x")
     assert bpe.narrowed(r"\w+") is None is bpe.narrowed(r"(?i:a)\s") and bpe.narrowed(r"[\S]") is None
+
+
+def test_pieces_by_numpy_are_those_of_the_pattern():
+    assert bpe.GPT2 == P.PATTERN
+    rng, find = random.Random(11), bpe.regex.compile(P.PATTERN).findall
+    e = bpe.Encoder(RANKS, P.PATTERN)
+    e.find = None  # so that it is not asked
+    for n in range(1500):
+        letters = "aslltvremdé9'' ' \n\t\xa0\x85\x1c.,-½²" if n % 4 else "".join(map(chr, range(0x100)))
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(16))) for _ in range(rng.randrange(5))]
+        pieces, sizes = e.all_pieces(texts)
+        assert pieces.to_pylist() == [w.encode() for t in texts for w in find(t)] and sizes.tolist() == [len(find(t)) for t in texts]
+
+
+def test_texts_of_all_characters_among_others(monkeypatch):
+    """Runs of texts below U+0100 and others, in one call, while rare pieces are forgotten and others stay."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    rng, e = random.Random(12), bpe.Encoder(RANKS, P.PATTERN)
+    word = lambda: "".join(rng.choice("abcdeéñ") for _ in range(rng.randrange(1, 4))) + rng.choice(["", "", "'s", " 日本", "\n"])
+    for _ in range(40):
+        texts = [" ".join(word() for _ in range(rng.randrange(12))) for _ in range(6)] + ["", "the end", "x" * 300]
+        ids, counts = e.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [KNOWN.encode_ordinary(t) for t in texts]
+        assert len(e.known) == len(e.met) == len(e.counts) == len(e.starts) and len(e.flat) == e.counts.sum()
+    assert len(e.known) < 200
