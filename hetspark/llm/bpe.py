@@ -24,8 +24,9 @@ NONE = np.int32(2**31 - 1)
 WIDEST = 256
 #: Columns of the matrix for pieces of each length: steps of four up to 32 bytes, powers of two beyond.
 WIDTHS = np.array([max(4, -(-n // 4) * 4) if n <= 32 else 1 << (n - 1).bit_length() for n in range(WIDEST + 1)], np.int64)
-#: Pieces a worker remembers before it starts anew, and characters taken at a time: both bound memory only.
-REMEMBERED, AT_A_TIME = 200_000, 2_000_000
+#: Pieces a worker remembers before it starts anew (and where they are kept from task to task), and characters taken at
+#: a time: all bound memory only.
+REMEMBERED, KEPT, AT_A_TIME = 200_000, 800_000, 2_000_000
 
 
 class PairTable:
@@ -269,7 +270,8 @@ def gpt2_starts(chars: np.ndarray, begins: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to ids. Pieces that were met before are looked up; new ones are merged together, in matrices."""
 
-    def __init__(self, ranks: Ranks, pattern: str):
+    def __init__(self, ranks: Ranks, pattern: str, remembered: int | None = None):
+        self.remembered = remembered or REMEMBERED
         self.ranks, self.find, self.in_numpy = ranks, finder(pattern), pattern == GPT2
         self.forget()
 
@@ -279,7 +281,7 @@ class Encoder:
     def forget_rare(self) -> None:
         """Pieces met once go; all, if the others are too many to leave room."""
         kept = np.flatnonzero(self.met > 1)
-        if len(kept) > REMEMBERED // 2:
+        if len(kept) > self.remembered // 2:
             return self.forget()
         self.known, self.flat = self.known.take(pa.array(kept)), self.flat[_runs(self.starts[kept], self.counts[kept])]
         self.counts, self.met = self.counts[kept], self.met[kept] // 2
@@ -287,7 +289,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text)."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.forget_rare()
         pieces, sizes = self.all_pieces(texts)
         which = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
@@ -300,9 +302,11 @@ class Encoder:
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(counts) - counts]
             self.flat, self.counts, self.met = np.r_[self.flat, flat], np.r_[self.counts, counts], np.r_[self.met, np.zeros(len(counts), np.int64)]
         self.met += np.bincount(which, minlength=len(self.met))
-        counts = self.counts[which]
-        ids = self.flat[_runs(self.starts[which], counts)]
-        return ids, np.diff(np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(sizes)]])
+        counts = self.counts.take(which)
+        ends = np.cumsum(counts)
+        at = np.repeat(self.starts.take(which) - ends + counts, counts)
+        at += np.arange(len(at))
+        return self.flat.take(at), np.diff(np.r_[0, ends].take(np.r_[0, np.cumsum(sizes)]))
 
     def all_pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """(all pieces in order as UTF-8, how many each text has)."""
@@ -347,12 +351,23 @@ def loaded(raw: bytes) -> Ranks:
     return _LOADED[name]
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about AT_A_TIME characters, one text at least."""
+_KEPT: dict[tuple[int, str], Encoder] = {}
+
+
+def kept(raw: bytes, pattern: str) -> Encoder:
+    """An encoder that a worker process keeps from task to task, with the pieces it has met: ids don't depend on them."""
+    ranks = loaded(raw)
+    if (id(ranks), pattern) not in _KEPT:
+        _KEPT[id(ranks), pattern] = Encoder(ranks, pattern, KEPT)
+    return _KEPT[id(ranks), pattern]
+
+
+def slices(texts: list[str], size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about AT_A_TIME characters (or size), one text at least."""
     at, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
-        if held >= AT_A_TIME or i == len(texts) - 1:
+        if held >= (size or AT_A_TIME) or i == len(texts) - 1:
             yield at, i + 1
             at, held = i + 1, 0
 
@@ -406,9 +421,10 @@ def vocabulary_size(ranks_path: str) -> int:
         return 1 + max(int(line.split()[1]) for line in f)
 
 
-def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
+def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "tokens", keep: bool = False) -> DataFrame:
     """docs with the binary out_col in place of the text: its ids, as encode() gives them, as little-endian numbers of
-    width 2. Two ids are left for marks; a vocabulary that leaves none is an error.
+    width 2. Two ids are left for marks; a vocabulary that leaves none is an error. With keep, workers remember more pieces,
+    and from task to task, and take more texts at a time, which takes memory and saves time.
 
     Defined cases: null and empty texts give no bytes. Very long texts are encoded whole. Of pairs of equal rank the
     leftmost merges. Other columns pass through, whatever their names; one already called out_col (in any case) is
@@ -420,12 +436,13 @@ def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(loaded(shared.value), pattern)
+        encoder = kept(shared.value, pattern) if keep else Encoder(loaded(shared.value), pattern)
+        step, size = (4096, 4 * AT_A_TIME) if keep else (1024, AT_A_TIME)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                rows = batch.slice(at, 1024)
+            for at in range(0, len(batch), step):
+                rows = batch.slice(at, step)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
-                for a, b in slices(texts):
+                for a, b in slices(texts, size):
                     ids, counts = encoder.encode(texts[a:b])
                     ends = np.r_[0, np.cumsum(counts * 2)].astype(np.int32)
                     made = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])

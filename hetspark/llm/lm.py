@@ -32,10 +32,12 @@ PIECE = 256
 TOGETHER = 1 << 13
 #: Tokens to a step, and in the last round; where a replica would take fewer than STEPS steps, fewer.
 BATCH, LARGE, STEPS = 2048, 1 << 14, 150
-#: Tokens scored at a time, and rows that stand in a matrix at a time, which bound memory only.
-BLOCK, ROWS = 1 << 14, 2048
+#: Tokens scored at a time, and rows that stand in a matrix at a time: as many as OpenBLAS multiplies without copying them
+#: first (960 by 16 by 64 is below a million). Both bear on time and memory only.
+BLOCK, ROWS = 1 << 15, 960
 AROUND = (*range(-SIDE, 0), *range(1, SIDE + 1))
-ONES = np.ones(CLASSES, np.float32)
+#: Where the rows of a matrix of CLASSES columns begin.
+BEGINS = np.arange(2 * ROWS) * CLASSES
 
 
 @dataclass
@@ -51,28 +53,30 @@ class Network:
 
     def hidden(self, around: list[np.ndarray]) -> np.ndarray:
         """Of the places at each position of the window, one array a position."""
-        h = self.embed[0].take(around[0], 0)
+        h, more = (np.empty((len(around[0]), WIDTH), np.float32) for _ in range(2))
+        _rows(self.embed[0], around[0], h)
         for p in range(1, 2 * SIDE):
-            h += self.embed[p].take(around[p], 0)
+            h += _rows(self.embed[p], around[p], more)
         h += self.bias
         return np.tanh(h, out=h)
 
     def small(self) -> bool:
-        """Whether exp() of all that the softmaxes can meet is known to be finite: hidden values lie between -1 and 1."""
-        return max(np.abs(w).sum(-2).max() + np.abs(b).max() for w, b in ((self.to_class, self.class_bias), (self.to_place, self.place_bias))) < 80
+        """Whether exp() of all that the softmaxes can meet is known to be finite, and stays so over exp() of a bias: hidden
+        values lie between -1 and 1."""
+        return max(np.abs(w).sum(-2).max() + 2 * np.abs(b).max() for w, b in ((self.to_class, self.class_bias), (self.to_place, self.place_bias))) < 80
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | around) of each row: log p(class) + log p(place | class)."""
         order, ends = _by_class(target)
-        h, target, small = self.hidden([around[:, p].take(order) for p in range(2 * SIDE)]), target.take(order), self.small()
-        of, place = target // CLASSES, target % CLASSES
+        h, small = self.hidden([around[:, p].take(order) for p in range(2 * SIDE)]), self.small()
+        of, place = _split(target.take(order))
         got = np.empty(len(target), np.float32)
-        for a in range(0, len(target), ROWS):
-            r = slice(a, a + ROWS)
+        for r in _parts(0, len(target)):
             got[r] = _log_softmax(h[r], self.to_class, self.class_bias, of[r], small)
-        for c in np.flatnonzero(np.diff(ends)):
-            r = slice(ends[c], ends[c + 1])
-            got[r] += _log_softmax(h[r], self.to_place[c], self.place_bias[c], place[r], small)
+        for c, r, rows, inside in _groups(ends):
+            at = r if rows is None else rows
+            each = _log_softmax(h[r] if rows is None else h.take(rows, 0, mode="clip"), self.to_place[c], self.place_bias[c], place[at], small)
+            got[r] += each if rows is None else each[inside]
         out = np.empty(len(target), np.float32)
         out[order] = got
         return out
@@ -81,43 +85,90 @@ class Network:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
 
+def _rows(table: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """table[at], written to out. All of at lie in the table: that they would be clipped only saves a second copy."""
+    return table.take(at, 0, out=out, mode="clip")
+
+
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(an order of the rows by class, where each class starts in it)."""
     of = (target // CLASSES).astype(np.uint8)
     return np.argsort(of, kind="stable"), np.r_[0, np.cumsum(np.bincount(of, minlength=CLASSES))]
 
 
-def _exp(z: np.ndarray, small: bool) -> np.ndarray:
-    """exp(z), or where z is not known to be small exp(z less the row's largest); overwrites z and returns what was
-    taken off each row."""
-    top = np.float32(0) if small else z.max(1)
+def _split(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, place inside it) of each, as numbers that index."""
+    of = (target // CLASSES).astype(np.intp)
+    return of, target - of * CLASSES
+
+
+def _parts(begin: int, end: int) -> Iterator[slice]:
+    """The rows from begin to end, ROWS at a time."""
+    return (slice(a, min(a + ROWS, end)) for a in range(begin, end, ROWS))
+
+
+def _groups(ends: np.ndarray) -> Iterator[tuple[int | slice, slice, np.ndarray | None, np.ndarray | None]]:
+    """The rows of each class, which starts at its end: (class, at most ROWS of its rows, None, None), or where classes
+    have few rows (classes, their rows, the same one line a class, which of a line are the class's own)."""
+    sizes, c = np.diff(ends).tolist(), 0
+    while c < len(sizes):
+        most = total = sizes[c]
+        last = c + 1
+        while most <= ROWS // 4 and last < len(sizes) and sizes[last] <= ROWS // 4:
+            longest = max(most, sizes[last])
+            if (wide := longest * (last + 1 - c)) > 2 * ROWS or wide > 1.25 * (total + sizes[last]) + 64:
+                break
+            most, total, last = longest, total + sizes[last], last + 1
+        if last > c + 1 and most:
+            columns = np.arange(most)
+            inside = columns < np.array(sizes[c:last])[:, None]
+            yield slice(c, last), slice(ends[c], ends[last]), np.minimum(ends[c:last, None] + columns, ends[-1] - 1), inside
+        else:
+            for r in _parts(ends[c], ends[c + 1]):
+                yield c, r, None, None
+        c = last
+
+
+def _exp(z: np.ndarray, bias: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray | np.float32]:
+    """Makes z such that z * lift is exp(z + bias), or where that is not known to be small exp(z + bias less the row's
+    largest); returns lift, and what was taken off each row. So a bias costs no pass over the matrix."""
+    top, lift = np.float32(0), np.exp(bias)
     if not small:
-        z -= top[:, None]
+        z += bias[..., None, :]
+        top, lift = z.max(-1), np.ones_like(bias)
+        z -= top[..., None]
     np.exp(z, out=z)
-    return top
+    return lift, top
+
+
+def _of_each(table: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """table[which], or of several tables and lines each line's from its own."""
+    return table.take(which) if which.ndim == 1 else np.take_along_axis(table, which, 1)
 
 
 def _log_softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndarray, small: bool) -> np.ndarray:
-    """log softmax(h @ weights + bias)[which] of each row."""
+    """log softmax(h @ weights + bias)[which] of each row; or of lines of rows, each line with weights of its own."""
     z = h @ weights
-    z += bias
-    got = z[np.arange(len(h)), which]
-    top = _exp(z, small)
-    got -= np.log(z @ ONES) + top
+    got = z.ravel().take(BEGINS[: which.size].reshape(which.shape) + which)
+    got += _of_each(bias, which)
+    lift, top = _exp(z, bias, small)
+    got -= np.log((z @ lift[..., None])[..., 0]) + top
     return got
 
 
-def _gradients(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndarray, scale: np.float32, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The gradients by h, weights and bias of the sum of -log softmax(h @ weights + bias)[which], times scale."""
+def _gradients(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndarray, scale: np.ndarray | np.float32, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradients by h, weights and bias of the sum of -log softmax(h @ weights + bias)[which] times scale over the
+    rows; or over the rows of each line, each line with weights of its own."""
     z = h @ weights
-    z += bias
-    _exp(z, small)
-    total = z @ ONES
-    z[np.arange(len(h)), which] -= total
-    total = scale / total  # z times this is the gradient by the logits; the narrower factors are multiplied instead
-    back = z @ weights.T
-    back *= total[:, None]
-    return back, (h * total[:, None]).T @ z, total @ z
+    lift, _ = _exp(z, bias, small)
+    total = (z @ lift[..., None])[..., 0]
+    flat, at = z.reshape(-1), BEGINS[: which.size].reshape(which.shape) + which
+    flat[at] -= total / _of_each(lift, which)
+    total = scale / total  # z times this and lift is the gradient by the logits; the narrower factors are multiplied instead
+    back = z @ (weights * lift[..., None, :]).swapaxes(-1, -2)
+    back *= total[..., None]
+    by_weights = (z.swapaxes(-1, -2) @ (h * total[..., None])).swapaxes(-1, -2)
+    return back, by_weights * lift[..., None, :], (total[..., None, :] @ z)[..., 0, :] * lift
 
 
 def network(weights: np.ndarray) -> Network:
@@ -143,9 +194,20 @@ class Trainer:
         self.net, self.rate, self.seen = net, rate, {f.name: np.full_like(getattr(net, f.name), 0.1) for f in fields(net)}
 
     def _move(self, name: str, at: object, grad: np.ndarray) -> None:
-        seen = self.seen[name]
-        seen[at] += grad * grad
-        getattr(self.net, name)[at] -= self.rate * grad / np.sqrt(seen[at])
+        seen, weights = self.seen[name], getattr(self.net, name)
+        if isinstance(at, tuple):  # rows of one of several tables
+            table, at = at
+            seen, weights = seen[table], weights[table]
+            now, moved = (_rows(x, at, np.empty_like(grad)) for x in (seen, weights))
+        else:
+            now, moved = seen[at], weights[at]
+        now += grad * grad
+        by = np.sqrt(now)
+        np.divide(grad, by, out=by)
+        by *= self.rate
+        moved -= by
+        if now.base is None:
+            seen[at], weights[at] = now, moved
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         """On windows that don't stand in a line: each one is a line of its own."""
@@ -155,34 +217,46 @@ class Trainer:
     def step_line(self, line: np.ndarray, at: np.ndarray) -> None:
         """On the tokens at these points of a line of places, each with its neighbours in the line."""
         net, scale, small = self.net, np.float32(BATCH / len(at)), self.net.small()  # the sum over BATCH tokens
+        line = line.astype(np.intp)
         target = line.take(at)
         order, ends = _by_class(target)
         at, target = at.take(order), target.take(order)
-        of, place = target // CLASSES, target % CLASSES
+        of, place = _split(target)
         h = net.hidden([line.take(at + d) for d in AROUND])
-        back, by_class, by_bias = np.empty_like(h), 0, 0
-        for a in range(0, len(h), ROWS):
-            r = slice(a, a + ROWS)
+        sent = np.zeros((len(h) + 1, WIDTH), np.float32)  # the last row is that of points which are no targets
+        back, by_class, by_bias = sent[:-1], 0, 0
+        for r in _parts(0, len(h)):
             back[r], w, b = _gradients(h[r], net.to_class, net.class_bias, of[r], scale, small)
             by_class, by_bias = by_class + w, by_bias + b
         moves = [("to_class", ..., by_class), ("class_bias", ..., by_bias)]
+        by_place, by_bias = np.zeros_like(net.to_place), np.zeros_like(net.place_bias)
+        for c, r, rows, inside in _groups(ends):
+            if rows is None:
+                x, w, b = _gradients(h[r], net.to_place[c], net.place_bias[c], place[r], scale, small)
+                back[r] += x
+            else:
+                x, w, b = _gradients(h.take(rows, 0, mode="clip"), net.to_place[c], net.place_bias[c], place.take(rows), scale * inside, small)
+                back[r] += x[inside]
+            by_place[c] += w
+            by_bias[c] += b
         for c in np.flatnonzero(np.diff(ends)):
-            r = slice(ends[c], ends[c + 1])
-            x, w, b = _gradients(h[r], net.to_place[c], net.place_bias[c], place[r], scale, small)
-            back[r] += x
-            moves += [("to_place", c, w), ("place_bias", c, b)]
-        back *= 1 - h * h
+            moves += [("to_place", c, by_place[c]), ("place_bias", c, by_bias[c])]
+        h *= h
+        np.subtract(np.float32(1), h, out=h)
+        back *= h
         moves.append(("bias", ..., back.sum(0)))
-        # A token is a neighbour of the targets before and after it: what these send back, shifted, and sorted by tokens
-        # once for all positions, is added up along rows.
-        sent = np.zeros((len(line) + 2 * SIDE, WIDTH), np.float32)
-        sent[at + SIDE] = back
-        sent, order = np.ascontiguousarray(sent.T), np.argsort(line, kind="stable")
+        # A token is a neighbour of the targets before and after it: what these send back, sorted by tokens once for all
+        # positions, is added up.
+        sender = np.full(len(line) + 2 * SIDE, len(h))
+        sender[at + SIDE] = np.arange(len(h))
+        order = np.argsort(line.astype(np.uint16), kind="stable")
         tokens = line.take(order)
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        tokens = tokens[starts]
+        tokens = tokens.take(starts)
+        sent, taken = sent.view(np.complex64), np.empty((len(line), WIDTH // 2), np.complex64)  # half as many additions
         for p, d in enumerate(AROUND):
-            moves.append(("embed", (p, tokens), np.add.reduceat(sent.take(order + (SIDE - d), 1), starts, axis=1).T))
+            sums = np.add.reduceat(_rows(sent, sender.take(order + (SIDE - d)), taken), starts, axis=0)
+            moves.append(("embed", (p, tokens), sums.view(np.float32)))
         for m in moves:
             self._move(*m)
 
@@ -208,10 +282,10 @@ class Model:
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Sum over all tokens of each text of log p(token | SIDE tokens on either side)."""
-        around, target = windows([self.place[x] for x in texts])
+        around, target = windows([self.place.take(x) for x in texts])
         each = np.concatenate([np.zeros(0), *(self.network.log_probabilities(around[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, len(target), BLOCK))])
         if len(texts):
-            each = each + self.tail[np.concatenate(texts)]
+            each = each + self.tail.take(np.concatenate(texts))
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
         return np.bincount(owner, weights=each, minlength=len(texts))
 
@@ -357,7 +431,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
     """((row, tokens), ids of the vocabulary): the columns of docs but the text as one struct, so that none of their
     names can clash, and BPE ids as numbers of width 2. Encoded once and kept in the checkpoint folder."""
     rows = docs.select(F.struct(F.lit(0).alias("none"), *columns_of(docs, text_col)).alias("row"), F.col(text_col).alias("text"))
-    return settled(bpe.packed_ids(rows, ranks_path, pattern)), bpe.vocabulary_size(ranks_path)
+    return settled(bpe.packed_ids(rows, ranks_path, pattern, keep=True)), bpe.vocabulary_size(ranks_path)
 
 
 def fit(tokens: DataFrame, size: int, stride: int = STRIDE, rates: tuple[float, ...] = RATES) -> Model:

@@ -127,3 +127,16 @@ def test_texts_of_all_characters_among_others(monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [KNOWN.encode_ordinary(t) for t in texts]
         assert len(e.known) == len(e.met) == len(e.counts) == len(e.starts) and len(e.flat) == e.counts.sum()
     assert len(e.known) < 200
+
+
+def test_an_encoder_that_is_kept_gives_the_same_ids(monkeypatch):
+    """Also where it meets more pieces than it remembers."""
+    r = random.Random(3)
+    monkeypatch.setattr(bpe, "_KEPT", {})
+    monkeypatch.setattr(bpe, "KEPT", 50)
+    for _ in range(6):
+        texts = ["".join(r.choice("ab c'é\n1") for _ in range(r.randrange(200))) for _ in range(20)]
+        ids, n = bpe.kept(RAW, P.PATTERN).encode(texts)
+        again, m = bpe.Encoder(RANKS, P.PATTERN).encode(texts)
+        assert ids.tolist() == again.tolist() and n.tolist() == m.tolist()
+    assert len(bpe._KEPT) == 1

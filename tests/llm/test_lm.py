@@ -222,3 +222,34 @@ def test_steps_are_of_one_size_wherever_pieces_end(spark, batch):
         part = np.array(rows[a : a + batch])
         trainer.step(part[:, :-1], part[:, -1])
     assert np.allclose(got.weights(), trainer.net.weights(), atol=1e-4)
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_no_class_fills_a_matrix_of_its_own_size(monkeypatch, scale):
+    """However many tokens one class has, matrices have a bounded number of rows; few tokens of many classes share one.
+    Weights of any size give the same as one by one."""
+    net, rng, sizes = noisy(10), np.random.default_rng(11), []
+    net = lm.network(net.weights() * scale)
+    assert net.small() == (scale == 1)
+    target = np.r_[rng.integers(0, lm.CLASSES, 5 * lm.ROWS), rng.integers(0, lm.OWN + 1, lm.CLASSES * 20), [lm.OWN]]
+    around = rng.integers(0, lm.EDGE + 1, (len(target), 2 * lm.SIDE))
+    for name in ("_log_softmax", "_gradients"):
+        monkeypatch.setattr(lm, name, lambda h, *a, plain=getattr(lm, name): sizes.append(h[..., 0].size) or plain(h, *a))
+    got = net.log_probabilities(around, target)
+    some = [*range(0, len(target), 97), len(target) - 1]
+    assert np.allclose(got[some], [slow_log_p(net, around[i], target[i]) for i in some], atol=1e-3, rtol=1e-4)
+    lm.Trainer(net, 0.1).step(around, target)
+    assert max(sizes) <= 2 * lm.ROWS and len(sizes) < 2 * lm.CLASSES
+
+
+def test_rows_of_all_classes_are_taken_once():
+    rng = np.random.default_rng(12)
+    for top in (0, 1, 3, 400, 5000):
+        sizes = rng.integers(0, top + 1, lm.CLASSES) * (rng.random(lm.CLASSES) < 0.7)
+        ends, seen = np.r_[0, np.cumsum(sizes)], []
+        for c, r, rows, inside in lm._groups(ends):
+            at = np.arange(r.start, r.stop) if rows is None else rows[inside]
+            of = np.full(len(at), c) if rows is None else np.broadcast_to(np.arange(c.start, c.stop)[:, None], rows.shape)[inside]
+            assert at.tolist() == [*range(r.start, r.stop)] and (ends[of] <= at).all() and (at < ends[of + 1]).all()
+            seen += at.tolist()
+        assert seen == [*range(ends[-1])]
