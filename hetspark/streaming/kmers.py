@@ -5,10 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hetspark.functions.checkpoints import use_checkpoints
-from hetspark.operators.kmers import count_kmers
+from hetspark.operators.kmers import count_kmers, counted_runs, runs, spelled
 
 
 def running_counts(reads: DataFrame, k: int) -> DataFrame:
@@ -17,19 +16,21 @@ def running_counts(reads: DataFrame, k: int) -> DataFrame:
 
 
 def count_available(reads: DataFrame, k: int, folder: str | None = None) -> DataFrame:
-    """Counts all that the stream holds now, in micro-batches; each batch writes the counts it changed.
+    """(kmer, count) of all that the stream holds now, read in micro-batches; each batch writes its k-mers as packed runs.
 
-    A batch that is repeated after a failure overwrites its own folder, so the newest count of a k-mer is right.
+    Counts are sums, so no state is kept between batches: the runs of all batches are counted together in the end. A
+    batch that is repeated after a failure overwrites its own folder, so nothing counts twice.
     """
     spark = reads.sparkSession
     if folder is None:
         use_checkpoints(spark)
         folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
-    def put(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+    def put(found: DataFrame, batch: int) -> None:
+        found.write.mode("overwrite").parquet(f"{folder}/runs/batch={batch}")
 
-    query = running_counts(reads, k).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").foreachBatch(put).start()
+    packed = runs(reads, k)
+    query = packed.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").foreachBatch(put).start()
     query.awaitTermination()
-    changes = spark.read.schema("kmer string, count bigint, batch int").parquet(f"{folder}/changes")
-    return changes.groupBy("kmer").agg(F.max("count").alias("count"))
+    held = spark.read.schema(f"{', '.join(f'{x.name} {x.dataType.simpleString()}' for x in packed.schema)}, batch int").parquet(f"{folder}/runs")
+    return spelled(counted_runs(held.drop("batch"), k), k)

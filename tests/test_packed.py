@@ -77,7 +77,7 @@ def test_strands_against_the_whole_table(spark, k):
     assert degrees(pairs.degrees_on_strands(table, k)) == degrees(pairs.degrees(whole))
 
 
-@pytest.mark.parametrize("name", ["extract_pairs", "hamming1_pairs", "neighbours_of_frequent", "pair_histogram", "pairs_by_composition", "stored_pair_text", "unique_pairs", "unique_pairs_long", "kmer_degree", "self_revcomp_pairs"])
+@pytest.mark.parametrize("name", ["extract_pairs", "hamming1_pairs", "neighbours_of_frequent", "pair_histogram", "pairs_by_composition", "stored_pair_text", "unique_pairs", "unique_pairs_long", "kmer_degree", "self_revcomp_pairs", "kmer_symmetric_check", "streaming_kmer_count"])
 def test_little_is_shuffled(spark, name):
     """A place of a k-mer costs some 8 bytes of shuffles in all; every k-mer under k masks cost over 100."""
     places = kmers.occurrences(catalogue._reads(spark, SF), catalogue.K).count()
@@ -97,3 +97,25 @@ def test_buckets_are_counted_whole(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(rows) == len(want) and {x.w0: x["count"] for x in rows} == want
+
+
+@pytest.mark.parametrize("k", [4, 5, 40])
+def test_codes_without_their_other_strand(spark, k):
+    r = random.Random(k)
+    seqs = {"".join(r.choices("acgt", k=k)) for _ in range(60)} | {(h := "".join(r.choices("acgt", k=k // 2))) + "a" * (k % 2) + rc(h) for _ in range(6)}
+    table = spark.createDataFrame([(s, i + 1) for i, s in enumerate(sorted(seqs | {rc(s) for s in sorted(seqs)[::3]}))], "kmer string, count bigint").cache()
+    rows = lambda df: sorted((x.kmer, x["count"]) for x in df.collect())
+    codes = pairs.coded(table, k)
+    assert rows(kmers.spelled(kmers.asymmetric_codes(codes, k), k)) == rows(kmers.asymmetric_rows(table)) != []
+    forms = table.where(kmers.S.canonical(kmers.F.col("kmer")) == kmers.F.col("kmer"))
+    assert rows(kmers.spelled(kmers.symmetric_codes(pairs.coded(forms, k), k), k)) == rows(kmers.symmetric(forms))
+
+
+def test_a_stream_keeps_no_state(spark):
+    """What a stream of k-mers leaves between batches are its packed runs, no table of counts."""
+    path = catalogue._folder(spark)
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{SF}/documents.parque[t]")
+    kmers_of = catalogue.count_available(catalogue.reads.from_documents(stream), 21, path)
+    assert kmers_of.count() == catalogue._counted(spark, SF).count() and not spark.read.parquet(f"{path}/runs").isEmpty()
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/progress/state")
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
