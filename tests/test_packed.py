@@ -77,11 +77,11 @@ def test_strands_against_the_whole_table(spark, k):
     assert degrees(pairs.degrees_on_strands(table, k)) == degrees(pairs.degrees(whole))
 
 
-@pytest.mark.parametrize("name", ["extract_pairs", "hamming1_pairs", "neighbours_of_frequent", "pair_histogram", "pairs_by_composition", "stored_pair_text", "unique_pairs", "unique_pairs_long", "kmer_degree", "self_revcomp_pairs", "kmer_symmetric_check", "streaming_kmer_count"])
+@pytest.mark.parametrize("name", ["extract_pairs", "hamming1_pairs", "neighbours_of_frequent", "pair_histogram", "pairs_by_composition", "stored_pair_text", "unique_pairs", "unique_pairs_long", "kmer_degree", "self_revcomp_pairs", "kmer_symmetric_check", "streaming_kmer_count", "kmer_lookup", "kmer_lower_bound"])
 def test_little_is_shuffled(spark, name):
     """A place of a k-mer costs some 8 bytes of shuffles in all; every k-mer under k masks cost over 100."""
     places = kmers.occurrences(catalogue._reads(spark, SF), catalogue.K).count()
-    assert shuffled(spark, catalogue.QUERIES[name]) < 16 * places
+    assert shuffled(spark, catalogue.QUERIES[name]) < (24 if name in ("kmer_lookup", "kmer_lower_bound") else 16) * places
 
 
 def test_buckets_are_counted_whole(spark, monkeypatch):
@@ -119,3 +119,21 @@ def test_a_stream_keeps_no_state(spark):
     assert kmers_of.count() == catalogue._counted(spark, SF).count() and not spark.read.parquet(f"{path}/runs").isEmpty()
     fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/progress/state")
     assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
+def test_lookups_by_parts(spark, monkeypatch):
+    """Questions by code give what those by k-mer do, whatever parts the table is cut into; on and beyond its ends too."""
+    r = random.Random(3)
+    words = sorted({"".join(r.choices("acgt", k=6)) for _ in range(500)})
+    table = catalogue._stored(spark.createDataFrame([(w, i + 1) for i, w in enumerate(w for w in words[20:-20:2] if w <= rc(w))], "kmer string, count bigint"), 3)
+    wanted = spark.createDataFrame([(w,) for w in words], "kmer string")
+    codes = pairs.coded(wanted.withColumn("count", pairs.F.lit(1)), 6)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr)
+    monkeypatch.setattr(catalogue.stored, "PART", 7)
+    found = catalogue.stored.lower_bound_codes(table, codes, 6)
+    found = kmers.spelled(found.withColumn("found", pairs.S.kmer_of(pairs.F.col("found"), 6)), 6)
+    assert rows(found) == rows(catalogue.stored.lower_bound(table, wanted))
+    seen = kmers.strands_seen(wanted.select(pairs.F.lit(1).alias("read_id"), pairs.F.col("kmer").alias("seq")), 6)
+    assert rows(kmers.spelled(catalogue.stored.lookup_codes(table, seen, 6), 6)) == rows(catalogue.stored.lookup(table, wanted))
+    empty = catalogue._stored(wanted.limit(0).withColumn("count", pairs.F.lit(1).cast("bigint")), 1)
+    assert {(x.exact, x.ordinal, x.found) for x in catalogue.stored.lower_bound_codes(empty, codes, 6).collect()} == {(False, 0, None)}
