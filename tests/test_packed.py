@@ -77,11 +77,11 @@ def test_strands_against_the_whole_table(spark, k):
     assert degrees(pairs.degrees_on_strands(table, k)) == degrees(pairs.degrees(whole))
 
 
-@pytest.mark.parametrize("name", ["extract_pairs", "hamming1_pairs", "neighbours_of_frequent", "pair_histogram", "pairs_by_composition", "stored_pair_text", "unique_pairs", "unique_pairs_long", "kmer_degree", "self_revcomp_pairs", "kmer_symmetric_check", "streaming_kmer_count", "kmer_lookup", "kmer_lower_bound"])
+@pytest.mark.parametrize("name", ["extract_pairs", "hamming1_pairs", "neighbours_of_frequent", "pair_histogram", "pairs_by_composition", "stored_pair_text", "unique_pairs", "unique_pairs_long", "kmer_degree", "self_revcomp_pairs", "kmer_symmetric_check", "streaming_kmer_count", "kmer_lookup", "kmer_lower_bound", "read_profile", "stored_profiles"])
 def test_little_is_shuffled(spark, name):
     """A place of a k-mer costs some 8 bytes of shuffles in all; every k-mer under k masks cost over 100."""
     places = kmers.occurrences(catalogue._reads(spark, SF), catalogue.K).count()
-    assert shuffled(spark, catalogue.QUERIES[name]) < (24 if name in ("kmer_lookup", "kmer_lower_bound") else 16) * places
+    assert shuffled(spark, catalogue.QUERIES[name]) < (24 if name in ("kmer_lookup", "kmer_lower_bound", "read_profile", "stored_profiles") else 16) * places
 
 
 def test_buckets_are_counted_whole(spark, monkeypatch):
@@ -137,3 +137,20 @@ def test_lookups_by_parts(spark, monkeypatch):
     assert rows(kmers.spelled(catalogue.stored.lookup_codes(table, seen, 6), 6)) == rows(catalogue.stored.lookup(table, wanted))
     empty = catalogue._stored(wanted.limit(0).withColumn("count", pairs.F.lit(1).cast("bigint")), 1)
     assert {(x.exact, x.ordinal, x.found) for x in catalogue.stored.lower_bound_codes(empty, codes, 6).collect()} == {(False, 0, None)}
+
+
+@pytest.mark.parametrize("k", [4, 21, 40])
+def test_profiles_by_runs(spark, monkeypatch, k):
+    """Profiles by packed runs are those of joined k-mers, for long reads, cut ones and a table that is not of these reads."""
+    r = random.Random(k)
+    seqs = ["".join(r.choices("acgt", k=n)) for n in (0, k - 1, k, k + 1, 300, 513, 30_000)]
+    seqs += [seqs[4], seqs[6][:700]]
+    reads = spark.createDataFrame([*enumerate(seqs)], "read_id bigint, seq string").repartition(2)
+    table = kmers.trim(kmers.count_kmers(reads.where("read_id > 3"), k), 2).cache()
+    monkeypatch.setattr(C, "SLICE", 500)
+    rows = lambda df: sorted((x.read_id, x.n, x.profile) for x in df.collect())
+    assert rows(kmers.profiles_of_codes(reads, pairs.coded(table, k), k)) == rows(kmers.profiles(reads, table, k)) != []
+    v = C.values("".join(seqs).encode())
+    bucket, n, words = C.runs(v, k)
+    row, found = C.opened(n, words, k)
+    assert (C.bucket_of(found, k) == bucket[row]).all()
