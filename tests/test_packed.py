@@ -154,3 +154,10 @@ def test_profiles_by_runs(spark, monkeypatch, k):
     bucket, n, words = C.runs(v, k)
     row, found = C.opened(n, words, k)
     assert (C.bucket_of(found, k) == bucket[row]).all()
+
+
+@pytest.mark.parametrize("name", ["hamming2_pairs", "hamming3_pairs", "kmer_families", "family_coverage"])
+def test_distant_pairs_shuffle_a_row_for_each_stretch(spark, name):
+    """distance + 1 rows a k-mer, not one for each choice of parts."""
+    places = kmers.occurrences(catalogue._reads(spark, SF), catalogue.K).count()
+    assert shuffled(spark, catalogue.QUERIES[name]) < 32 * places
