@@ -161,3 +161,13 @@ def test_distant_pairs_shuffle_a_row_for_each_stretch(spark, name):
     """distance + 1 rows a k-mer, not one for each choice of parts."""
     places = kmers.occurrences(catalogue._reads(spark, SF), catalogue.K).count()
     assert shuffled(spark, catalogue.QUERIES[name]) < 32 * places
+
+
+@pytest.mark.parametrize("k", [9, 40])
+def test_links_of_families_come_from_one_search(spark, k):
+    from tests.test_pairs import close_kmers, combinations, differing
+
+    seqs = close_kmers(k, 120, k)
+    found = pairs.linked(spark.createDataFrame([(s, 5) for s in seqs], "kmer string, count bigint"), k)
+    assert sorted((x.kmer_a, x.kmer_b) for x in pairs.named(found, k).collect()) == [(a, b) for a, b in combinations(seqs, 2) if differing(a, b) in (1, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
